@@ -82,7 +82,8 @@ def token_text(content: Column, language: Column) -> Column:
 
     def scan(text: Column, name: str) -> Column:
         tokens = F.array_join(F.regexp_extract_all(text, F.lit(PATTERNS[name]), F.lit(0)), SEPARATOR)
-        return F.concat(F.lit(SEPARATOR), tokens)
+        # Only an empty list leaves a separator at the end.
+        return F.rtrim(F.concat(F.lit(SEPARATOR), tokens), F.lit(SEPARATOR))
 
     def lines_scan(name: str) -> Column:
         # Of consecutive line breaks only the last counts, reduced to its indentation.
