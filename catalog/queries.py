@@ -474,7 +474,7 @@ def attach_references(spark: SparkSession, d: str) -> DataFrame:
 
 @register(query(
     "SELECT path, CASE WHEN doc_id % 3 = 0 THEN '{' || chr(10) || '  \"git-diff\": ' || "
-    + s.js("'+' || content") + " || ',' || chr(10) || '  \"context\": \"ctx\"' || chr(10) || '}' "
+    + s.js("('+' || content)") + " || ',' || chr(10) || '  \"context\": \"ctx\"' || chr(10) || '}' "
     "ELSE '{' || chr(10) || '  \"context\": \"ctx\"' || chr(10) || '}' END AS context FROM src"
 ))
 def build_context(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glosswork.functions.text import is_blank, py_splitlines, py_strip
+from glosswork.functions.text import is_blank, let, py_splitlines, py_strip
 
 # Tags that mark review and requirement comments.
 REVIEW_TAG = "\\/"
@@ -146,12 +146,15 @@ def without_tagged_lines(
 
 def insert_line(source: Column, line: Column, text: Column) -> Column:
     """Insert ``text`` before a line; negative counts from the end, clamped to the file."""
-    lines = py_splitlines(source)
-    n = F.size(lines)
-    at = F.greatest(F.lit(0), F.least(n, F.when(line < 0, line + n).otherwise(line)))
-    return F.array_join(
-        F.concat(F.slice(lines, F.lit(1), at), F.array(text), F.slice(lines, at + 1, n)), "\n"
-    )
+
+    def insert(lines: Column) -> Column:
+        n = F.size(lines)
+        at = F.greatest(F.lit(0), F.least(n, F.when(line < 0, line + n).otherwise(line)))
+        return F.array_join(
+            F.concat(F.slice(lines, F.lit(1), at), F.array(text), F.slice(lines, at + 1, n)), "\n"
+        )
+
+    return let(py_splitlines(source), insert)
 
 
 def comment_language(reviews: Column) -> Column:

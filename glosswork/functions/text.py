@@ -81,7 +81,9 @@ def json_string(c: Column) -> Column:
     # Splitting at escaped backslashes first keeps a literal "\u001F" in the text as it is.
     pair = "\\\\"
     lowered = F.array_join(F.transform(F.split(quoted, r"\\\\", -1), lower_hex), pair)
-    return F.when(F.rlike(c, F.lit(r"[\x0b\x0e\x0f\x1a-\x1f]")), lowered).otherwise(quoted)
+    return F.when(F.rlike(c, F.lit(r"[\x0b\x0e\x0f\x1a-\x1f]")), lowered).when(
+        c.isNotNull(), quoted
+    )
 
 
 def json_members(members: list[tuple[str, Column]]) -> Column:

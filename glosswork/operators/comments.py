@@ -14,6 +14,7 @@ from glosswork.functions import comments as c
 from glosswork.functions.paths import file_extension
 from glosswork.functions.render import render_review
 from glosswork.functions.text import is_blank, py_splitlines, strip_newlines
+from glosswork.operators.steps import compute_once
 from glosswork.languages import LANGUAGES, Language, known_extensions, languages
 
 MARKER_COLUMNS = ["language", "line_prefix", "block_prefix", "block_suffix"]
@@ -80,7 +81,7 @@ def extract_tagged_comments(
         raise ValueError("Negative `first` indexes are not supported")
     kept = files.columns
     # Columns of their own, so that the text is split and searched once.
-    df = with_language(files).withColumn("_lines", py_splitlines(F.col("content")))
+    df = compute_once(with_language(files), _lines=py_splitlines(F.col("content")))
     lines, n = F.col("_lines"), F.size("_lines")
     stop = n + last if last < 0 else F.least(F.lit(last), n - 1)
     whole = first == 0 and last == -1
@@ -132,7 +133,7 @@ def append_line_comments(files: DataFrame, edits: DataFrame) -> DataFrame:
     applied to the stored text and gives one row: the edit with ``content`` (NULL on error)
     and ``err``.
     """
-    df = _edit_rows(files, edits).withColumn("_lines", py_splitlines(F.col("content")))
+    df = compute_once(_edit_rows(files, edits), _lines=py_splitlines(F.col("content")))
     n = F.size("_lines")
     at = F.when(F.col("line") < 0, F.col("line") + n).otherwise(F.col("line"))
     err = F.coalesce(
@@ -184,23 +185,22 @@ def extract_reviews(files: DataFrame) -> DataFrame:
 
     Requirement comments follow under a heading of their own. Works on streams as well.
     """
-    df = with_language(files).withColumn("_lines", py_splitlines(F.col("content")))
+    df = compute_once(with_language(files), _lines=py_splitlines(F.col("content")))
     # Requirements need no second pass over the residual: no line can carry both tags.
-    df = df.withColumn("_reviews", c.tagged_lines(F.col("_lines"), c.REVIEW_TAG)).withColumn(
-        "_requirements", c.tagged_lines(F.col("_lines"), c.REQUIREMENT_TAG)
+    df = compute_once(
+        df,
+        _reviews=c.tagged_lines(F.col("_lines"), c.REVIEW_TAG),
+        _requirements=c.tagged_lines(F.col("_lines"), c.REQUIREMENT_TAG),
     )
     reviewed = F.exists(F.col("_reviews"), lambda r: F.startswith(r, F.lit(c.REVIEW_MARK)))
     heading = F.when(F.size("_requirements") > 0, F.array(F.lit(c.REQUIREMENTS_MARK))).otherwise(
         F.array().cast("array<string>")
     )
-    return df.select(
-        "path",
-        F.when(
-            F.col("language").isNotNull() & reviewed,
-            F.array_join(F.concat(F.col("_reviews"), heading, F.col("_requirements")), "\n"),
-        ).alias("review"),
-        "err",
+    review = F.when(
+        F.col("language").isNotNull() & reviewed,
+        F.array_join(F.concat(F.col("_reviews"), heading, F.col("_requirements")), "\n"),
     )
+    return compute_once(df, review=review).select("path", "review", "err")
 
 
 def apply_review_annotations(
@@ -220,8 +220,10 @@ def apply_review_annotations(
     )
     extra = [name for name in ("ai", "ts") if name in payloads.columns]
     df = needed.join(payloads.select("path", "data", *extra), "path")
-    df = df.withColumn("_lines", py_splitlines(F.col("data.output"))).withColumn(
-        "review", render_review(F.col("data"), ai, ts, F.col("_lang"))
+    df = compute_once(
+        df,
+        _lines=py_splitlines(F.col("data.output")),
+        review=render_review(F.col("data"), ai, ts, F.col("_lang")),
     )
     code = strip_newlines(
         F.array_join(
@@ -230,9 +232,9 @@ def apply_review_annotations(
     )
     required = F.concat(F.col("requirements"), F.lit("\n"))
     top = F.lit(0)
-    df = df.withColumn("_code", code).withColumn(
-        "_body",
-        F.when(
+    df = compute_once(
+        compute_once(df, _code=code),
+        _body=F.when(
             F.col("requirements") != "",
             c.insert_line(F.col("_code"), top, c.line_comment(required, c.REQUIREMENT_TAG)),
         ).otherwise(F.col("_code")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glosswork.functions.lexer import SEPARATOR, decode, token_kind, token_text
 from glosswork.functions.text import value_hash
 from glosswork.operators.comments import with_language
+from glosswork.operators.steps import compute_once
 
 # Fixed value: version of the fingerprint layout.
 VERSION = 1
@@ -48,12 +49,14 @@ def fingerprint(content: Column, language: Column) -> Column:
 
 def structural_fingerprints(files: DataFrame) -> DataFrame:
     """``path, language, version, fingerprint``: equal when only comments differ. No shuffle."""
-    df = with_language(files)
+    df = compute_once(
+        with_language(files), fingerprint=fingerprint(F.col("content"), F.col("language"))
+    )
     return df.select(
         "path",
         "language",
         F.when(F.col("language").isNotNull(), VERSION).alias("version"),
-        fingerprint(F.col("content"), F.col("language")).alias("fingerprint"),
+        "fingerprint",
     )
 
 
@@ -78,20 +81,17 @@ def verify_logic_preserved(requests: DataFrame, payloads: DataFrame) -> DataFram
         F.col("err").isNull(), fingerprint(F.col("data.output"), F.col("language"))
     )
     mismatch = F.col("err").isNull() & ~F.col("_expected").eqNullSafe(F.col("_returned"))
-    return (
-        joined.withColumn("_returned", returned)
-        .withColumn("_mismatch", mismatch)
-        .select(
-            *[name for name in payloads.columns if name not in ("err", "severity")],
-            "input",
-            F.when(
-                F.col("_mismatch"),
-                "[WARNING] _data_check: <output> does not match the input expected",
-            )
-            .otherwise(F.col("err"))
-            .alias("err"),
-            F.when(F.col("_mismatch"), "WARNING").otherwise(F.col("severity")).alias("severity"),
+    df = compute_once(compute_once(joined, _returned=returned), _mismatch=mismatch)
+    return df.select(
+        *[name for name in payloads.columns if name not in ("err", "severity")],
+        "input",
+        F.when(
+            F.col("_mismatch"),
+            "[WARNING] _data_check: <output> does not match the input expected",
         )
+        .otherwise(F.col("err"))
+        .alias("err"),
+        F.when(F.col("_mismatch"), "WARNING").otherwise(F.col("severity")).alias("severity"),
     )
 
 

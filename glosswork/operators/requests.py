@@ -19,6 +19,7 @@ from glosswork.functions.text import (
 )
 from glosswork.operators.comments import with_language
 from glosswork.operators.grouping import PART_BYTES, collect_in_parts
+from glosswork.operators.steps import compute_once
 
 
 def folder_references(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -82,9 +83,8 @@ def build_review_requests(
         df = df.withColumn("references", F.array().cast("array<string>"))
     if "context" not in df.columns:
         df = df.withColumn("context", context if isinstance(context, Column) else F.lit(context))
-    df = df.withColumn("_lines", py_splitlines(F.col("content"))).withColumn(
-        "_reviews", c.tagged_lines(F.col("_lines"), c.REVIEW_TAG)
-    )
+    df = compute_once(df, _lines=py_splitlines(F.col("content")))
+    df = compute_once(df, _reviews=c.tagged_lines(F.col("_lines"), c.REVIEW_TAG))
     code = F.array_join(
         c.without_tagged_lines(F.col("_lines"), c.REVIEW_TAG, c.REQUIREMENT_TAG), "\n"
     )
@@ -97,13 +97,14 @@ def build_review_requests(
         F.col("context"),
         strip_newlines(code).alias("input"),
     )
+    df = compute_once(df, request=F.when(F.col("language").isNotNull(), request))
     return df.select(
         "path",
         "language",
         "line_prefix",
         "block_prefix",
         "block_suffix",
-        F.when(F.col("language").isNotNull(), request).alias("request"),
+        "request",
         *([F.col("reference_parts")] if "reference_parts" in df.columns else []),
         "err",
     )

@@ -11,6 +11,7 @@ from glosswork.functions.paths import file_name, parent_folder, relative_path
 from glosswork.functions.render import LIST_SECTIONS, RULE, md_list, tree_lines
 from glosswork.functions.text import py_splitlines
 from glosswork.operators.comments import extract_reviews, filter_reviewable, with_language
+from glosswork.operators.steps import compute_once
 from glosswork.operators.grouping import PART_BYTES, collect_in_parts, place_in_parts
 
 # Fixed value: name of a folder's report.
@@ -262,7 +263,7 @@ def parse_review_sections(reviews: DataFrame) -> DataFrame:
     return (
         reviews.filter(F.col("review").isNotNull())
         .withColumn("_lines", F.split("review", "\n", -1))
-        .withColumn("_marks", marks)
+        .transform(lambda df: compute_once(df, _marks=marks))
         .select("path", F.inline(items))
         .filter(F.col("section") != "")
     )

@@ -21,6 +21,7 @@ from glosswork.functions.replies import (
     unfenced,
 )
 from glosswork.functions.text import let, py_splitlines, py_strip
+from glosswork.operators.steps import compute_once
 
 # Fixed value: characters of stderr kept in an error.
 STDERR_CHARS = 2000
@@ -109,7 +110,7 @@ def extract_run_payload(ai_runs: DataFrame) -> DataFrame:
     found = F.when(F.col("err").isNotNull(), None)
     for name, reader in PROVIDERS.items():
         found = found.when(F.col("provider") == name, reader(F.col("stdout")))
-    df = df.withColumn("_found", found.otherwise(none)).withColumn(
+    df = compute_once(df, _found=found.otherwise(none)).withColumn(
         "_fallback",
         F.when(
             F.col("err").isNull() & F.col("_found.payload").isNull(), strip_fence(F.col("stdout"))
@@ -143,15 +144,13 @@ def extract_json_objects(payloads: DataFrame) -> DataFrame:
     whole = F.struct(F.col("_text").alias("json_text"), F.lit(None).cast("string").alias("err"))
     # Text in braces is its own slice, so only other payloads need the trial parse.
     in_braces = F.startswith(F.col("_text"), F.lit("{")) & F.endswith(F.col("_text"), F.lit("}"))
-    df = payloads.withColumn("_text", text).withColumn(
-        "_json",
-        F.when(
+    df = compute_once(
+        compute_once(payloads, _text=text),
+        _json=F.when(
             F.col("_text").isNotNull(),
             F.when(
                 direct & (in_braces | v.strict_json(F.col("_text")).isNotNull()), whole
-            ).otherwise(
-                braces(F.col("_text"))
-            ),
+            ).otherwise(braces(F.col("_text"))),
         ),
     )
     return df.select(
@@ -231,10 +230,13 @@ def repair_json_rows(json_texts: DataFrame) -> DataFrame:
     Texts the strict parser accepts never reach Python: the function gets NULL for them. One
     scan serves both kinds, where a filter and a union would read the runs twice.
     """
-    df = json_texts.withColumn("_parsed", v.strict_json(F.col("json_text")))
+    df = compute_once(json_texts, _parsed=v.strict_json(F.col("json_text")))
     df = df.withColumn(
         "_fixed", _repair(F.when(F.col("_parsed").isNull(), F.col("json_text")))
-    ).withColumn("_data", F.coalesce(F.col("_parsed"), F.try_parse_json(F.col("_fixed.text"))))
+    )
+    df = compute_once(
+        df, _data=F.coalesce(F.col("_parsed"), F.try_parse_json(F.col("_fixed.text")))
+    )
     err = (
         F.when(F.col("err").isNotNull(), F.col("err"))
         .when(F.col("_data").isNull(), "[ERR] _extract_json: can't parse JSON")
@@ -306,9 +308,9 @@ def validate_review_payloads(payloads: DataFrame, check_output: bool = False) ->
     The first broken rule makes the error; optional fields that are empty in any way get
     their defaults. Fix replies are checked without ``check_output``.
     """
-    df = payloads.withColumn(
-        "_err",
-        F.coalesce(
+    df = compute_once(
+        payloads,
+        _err=F.coalesce(
             F.col("err"),
             F.when(F.col("data").isNull(), "[ERR] _extract_json: no data"),
             _first_error(F.col("data"), check_output),
@@ -338,8 +340,8 @@ def first_agent_message(run_events: DataFrame) -> DataFrame:
     Messages are found before the shuffle and pre-aggregated, so one row per run and input
     partition moves, also for a run that holds most events.
     """
-    messages = run_events.filter(may_be_message(F.col("line"))).select(
-        "request_id", "seq", agent_message(F.col("line")).alias("text")
+    messages = compute_once(
+        run_events.filter(may_be_message(F.col("line"))), text=agent_message(F.col("line"))
     )
     return (
         messages.filter(F.col("text").isNotNull())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glosswork.functions.replies import agent_message, may_be_message
 from glosswork.operators.comments import extract_reviews, filter_reviewable
+from glosswork.operators.steps import compute_once
 
 
 def stream_extract_reviews(files: DataFrame) -> DataFrame:
@@ -24,8 +25,8 @@ def stream_first_agent_message(
     a longer one splits the run. Without ``gap``, results are updated as events arrive (update
     or complete mode), with one row of state per run.
     """
-    messages = run_events.filter(may_be_message(F.col("line"))).withColumn(
-        "text", agent_message(F.col("line"))
+    messages = compute_once(
+        run_events.filter(may_be_message(F.col("line"))), text=agent_message(F.col("line"))
     )
     messages = messages.filter(F.col("text").isNotNull())
     first = F.min_by("text", "seq").alias("text")

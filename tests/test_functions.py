@@ -36,7 +36,7 @@ def test_file_extension(evaluate):
 
 
 def test_splitlines_matches_python(evaluate):
-    texts = ["", "\n", "a\n\n", "a\r\nb\rc", "a\x0bb\x0cc\x1cd\x1de\x1ef\x85g h i", "x", "\r\n\r\n", "a\x1fb"]
+    texts = ["", "\n", "a\n\n", "a\r\nb\rc", "a\x0bb\x0cc\x1cd\x1de\x1ef\x85g\u2028h\u2029i", "x", "\r\n\r\n", "a\x1fb"]
     assert evaluate(texts, t.py_splitlines(V)) == [s.splitlines() for s in texts]
 
 
@@ -46,7 +46,7 @@ def test_strip_matches_python(evaluate):
 
 
 def test_json_text_matches_python(evaluate):
-    texts = ["", 'q"b\\n', "\x00\x0b\x1f\\u001F\\\\\x1a", "é /\t\r\n\x7f", "\\\x0b"]
+    texts = ["", 'q"b\\n', "\x00\x0b\x1f\\u001F\\\\\x1a", "é\u2028/\t\r\n\x7f", "\\\x0b"]
     assert evaluate(texts, t.json_string(V)) == [json.dumps(s, ensure_ascii=False) for s in texts]
 
 
@@ -144,7 +144,7 @@ def test_agent_message(evaluate):
         '"msg":{"type":"agent_message","message":"both"}}',
         '{"msg":{"type":"agent\\u005fmessage","message":"esc"}}',
         '{"type":"item.completed","item":{"type":"reasoning","text":"agent_message"}}',
-        (message % '"x"') + " trailing", "noise agent_message", " " + (message % '"pad"') + "　",
+        (message % '"x"') + " trailing", "noise agent_message", " " + (message % '"pad"') + "\u3000",
     ]
     assert evaluate(lines, replies.agent_message(V)) == [
         "hi", None, " {} ", "", "old", "both", "esc", None, None, None, "pad",
