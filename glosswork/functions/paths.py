@@ -18,11 +18,19 @@ def file_extension(c: Column) -> Column:
 
 
 def parent_folder(c: Column) -> Column:
-    """Parent directory: ``.`` for a bare name, ``/`` for a file under the root."""
-    cut = F.length(c) - F.length(F.substring_index(c, "/", -1)) - 1
-    return (
-        F.when(cut < 0, ".").when((cut == 0), "/").otherwise(F.substring(c, F.lit(1), cut))
-    )
+    """Parent directory: ``.`` for a bare name, ``/`` for a file under the root.
+
+    The path occurs once in the expression: filters on folders are copied into scans, and
+    nested folders would otherwise multiply it.
+    """
+    bare = F.regexp_replace(c, r"\A([^/]*)\z", "./$1")
+    rooted = F.regexp_replace(bare, r"\A/([^/]*)\z", "//$1")
+    return F.regexp_replace(rooted, r"/[^/]*\z", "")
+
+
+def rooted_path(c: Column) -> Column:
+    """The path with exactly one leading separator added if it has none."""
+    return F.regexp_replace(c, r"\A/?", "/")
 
 
 def file_name(c: Column) -> Column:

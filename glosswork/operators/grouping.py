@@ -15,12 +15,14 @@ def place_in_parts(
     order: list[str],
     values: list[str] | None = None,
     part_bytes: int = PART_BYTES,
+    **summaries: Column,
 ) -> DataFrame:
     """Add ``part`` and ``parts``: where a row goes when its group is gathered.
 
     Group sizes come from a pre-aggregated count that moves keys only. The few oversized
     groups are joined back as a left join (its hot side can be split at run time) and their
     rows are spread by a hash of ``order``, so no task receives a whole oversized group.
+    ``summaries`` are aggregates added to the rows of oversized groups, NULL for others.
     """
     columns = [*order, *(values or [])]
     # Every item also costs its array slot.
@@ -29,11 +31,15 @@ def place_in_parts(
         weight = weight + F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))
     oversized = (
         rows.groupBy(*keys)
-        .agg(F.sum(weight.cast("long")).alias("_bytes"))
+        .agg(
+            F.sum(weight.cast("long")).alias("_bytes"),
+            *[value.alias(name) for name, value in summaries.items()],
+        )
         .filter(F.col("_bytes") > part_bytes)
         .select(
             *[F.col(k).alias(f"_key_{k}") for k in keys],
             F.ceil(F.col("_bytes") * 2 / part_bytes).cast("int").alias("_parts"),
+            *summaries,
         )
     )
     same_key = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
@@ -46,6 +52,7 @@ def place_in_parts(
         .otherwise(F.pmod(F.xxhash64(*order), parts))
         .cast("int")
         .alias("part"),
+        *summaries,
     )
 
 

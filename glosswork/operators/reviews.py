@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glosswork.functions import comments as c
 from glosswork.functions import variants as v
-from glosswork.functions.paths import file_name, parent_folder, relative_path
+from glosswork.functions.paths import file_name, parent_folder, relative_path, rooted_path
 from glosswork.functions.render import LIST_SECTIONS, RULE, md_list, tree_lines
 from glosswork.functions.text import py_splitlines
 from glosswork.operators.comments import extract_reviews, filter_reviewable, with_language
@@ -96,16 +96,12 @@ def project_entries(file_reviews: DataFrame, submodules: DataFrame) -> DataFrame
     files = file_reviews.filter(F.col("review").isNotNull()).select(
         parent_folder(F.col("path")).alias("folder"),
         F.lit(0).alias("kind"),
-        _rooted(F.col("path")).alias("path"),
+        rooted_path(F.col("path")).alias("path"),
     )
     subs = submodules.select("folder", F.lit(1).alias("kind"), F.col("report_path").alias("path"))
     return files.unionByName(subs)
 
 
-def _rooted(path: Column) -> Column:
-    return F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))
-
-
 def _report_head(ai: Column | str, ts: Column | str) -> Column:
     ai, ts = (x if isinstance(x, Column) else F.lit(x) for x in (ai, ts))
     folder = F.col("folder")
@@ -149,78 +145,94 @@ def render_project_reports(
     that are built apart, each sorted, files before sub-modules.
     """
     raw = F.col("raw")
-    own_files, own_subs = v.field(raw, "reviews"), v.field(raw, "sub_module_reviews")
-    has_files = v.is_object(own_files) & ~v.is_falsy(own_files)
-    has_subs = v.is_list(own_subs)
-    replies = payloads.filter(raw.isNotNull())
+    if "comment_language" not in payloads.columns:
+        payloads = payloads.withColumn("comment_language", F.lit(c.DEFAULT_LANGUAGE))
+    replies = compute_once(
+        payloads.filter(raw.isNotNull()),
+        _files=v.field(raw, "reviews"),
+        _subs=v.field(raw, "sub_module_reviews"),
+        _head=_report_head(ai, ts),
+        _tail=_report_tail(raw),
+    )
+    has_files = v.is_object(F.col("_files")) & ~v.is_falsy(F.col("_files"))
+    has_subs = v.is_list(F.col("_subs"))
     flags = replies.select("folder", has_files.alias("_files"), has_subs.alias("_subs"))
+    no_text = F.lit(None).cast("string").alias("text")
     requested = (
         entries.join(flags, "folder")
         .filter(F.when(F.col("kind") == 0, ~F.col("_files")).otherwise(~F.col("_subs")))
-        .select("folder", "kind", "path")
+        .select("folder", "kind", "path", no_text)
     )
-    names = F.when(has_files, F.map_keys(F.try_variant_get(raw, "$.reviews", "map<string,variant>")))
-    subs = F.when(has_subs, F.transform(v.items(own_subs), v.printed))
-    replied = [
-        replies.select("folder", F.lit(kind).alias("kind"), F.explode(paths).alias("path"))
-        for kind, paths in ((0, names), (1, subs))
+
+    # A reply's own lists, and the texts around the listing, are rows of the same form.
+    def row(kind: int, path: Column, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), path.alias("path"), text.alias("text"))
+
+    none = F.lit(None).cast("string")
+    names = F.map_keys(F.try_variant_get(F.col("_files"), "$", "map<string,variant>"))
+    own = [
+        F.transform(F.when(has_files, names), lambda p: row(0, p, none)),
+        F.transform(F.when(has_subs, v.items(F.col("_subs"))), lambda p: row(1, v.printed(p), none)),
     ]
-    # A row without a path stands for the report itself, so that empty folders have one.
-    heads = replies.select(
-        "folder", F.lit(-1).alias("kind"), F.lit(None).cast("string").alias("path")
-    )
-    listed = requested.unionByName(replied[0]).unionByName(replied[1]).unionByName(heads)
-    listed = listed.withColumn(
-        "rel",
-        F.when(F.col("path").isNotNull(), relative_path(F.col("path"), _rooted(F.col("folder")))),
-    )
-    placed = place_in_parts(listed, ["folder"], ["kind", "rel", "path"], part_bytes=part_bytes)
-    # Files come before sub-modules across parts too; the head of a cut report stands alone.
-    placed = placed.withColumn(
-        "part",
-        F.when(F.col("parts") == 1, 0)
-        .when(F.col("kind") < 0, -1)
-        .otherwise(F.col("kind") * F.col("parts") + F.col("part")),
+    frame = F.array(row(-1, none, F.col("_head")), row(2, none, F.col("_tail")))
+    rows = F.concat(frame, *[F.coalesce(x, F.slice(frame, 1, 0)) for x in own])
+    listed = requested.unionByName(replies.select("folder", F.inline(rows)))
+    rel = F.when(F.col("path").isNotNull(), relative_path(F.col("path"), rooted_path(F.col("folder"))))
+    outside = F.col("rel").isNull() & F.col("path").isNotNull()
+    placed = place_in_parts(
+        compute_once(listed, rel=rel),
+        ["folder"],
+        ["kind", "rel", "path"],
+        ["text"],
+        part_bytes,
+        _last=F.max(F.when(F.col("kind") < 2, F.struct("kind", "rel"))),
+        _outside=F.max(outside),
     )
-    ends = placed.groupBy("folder").agg(
-        F.min("part").alias("_first"),
-        F.max("part").alias("_last"),
-        F.max(F.col("rel").isNull() & F.col("path").isNotNull()).alias("_outside"),
+    # In a cut report the head comes first, then files, sub-modules, the last entry with the
+    # tail; all rows of a report with a path outside the folder but the head are of no use.
+    kind, parts = F.col("kind"), F.col("parts")
+    is_last = F.struct("kind", "rel") == F.col("_last")
+    part = (
+        F.when(parts == 1, 0)
+        .when(kind < 0, -1)
+        .when((kind == 2) | is_last, 2 * parts)
+        .otherwise(kind * parts + F.col("part"))
     )
     groups = (
-        placed.repartition("folder", "part")
-        .groupBy("folder", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("kind", "rel"))).alias("_items"))
-    )
-    closes = F.col("part") == F.col("_last")
-    files = F.filter(F.col("_items"), lambda e: e["kind"] == 0)["rel"]
-    modules = F.filter(F.col("_items"), lambda e: e["kind"] == 1)["rel"]
-    texts = groups.withColumn("_file_names", files).withColumn("_module_names", modules)
-    layout = payloads if "comment_language" in payloads.columns else payloads.withColumn(
-        "comment_language", F.lit(c.DEFAULT_LANGUAGE)
+        placed.withColumn("part", part)
+        .filter((F.col("part") <= 0) | ~F.coalesce(F.col("_outside"), F.lit(False)) | (parts == 1))
+        .repartition("folder", "part")
+        .groupBy("folder", "part", "parts")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("kind", "rel", "text"))).alias("_items"),
+            F.max(outside | F.coalesce(F.col("_outside"), F.lit(False))).alias("_bad"),
+        )
     )
-    frames = layout.filter(raw.isNotNull()).select(
-        "folder", _report_head(ai, ts).alias("_head"), _report_tail(raw).alias("_tail")
+
+    def of_kind(k: int, name: str) -> Column:
+        return F.filter(F.col("_items"), lambda e: e["kind"] == k)[name]
+
+    groups = compute_once(
+        groups,
+        _head=F.array_join(of_kind(-1, "text"), ""),
+        _files=of_kind(0, "rel"),
+        _subs=of_kind(1, "rel"),
+        _tail=F.array_join(of_kind(2, "text"), ""),
     )
+    closes = (parts == 1) | (F.col("part") == 2 * parts)
     report = F.concat(
-        F.when(F.col("part") == F.col("_first"), F.col("_head")).otherwise(""),
-        tree_lines(F.col("_file_names"), "", closes & (F.size("_module_names") == 0)),
-        tree_lines(F.col("_module_names"), "──", closes),
-        F.when(closes, F.col("_tail")).otherwise(""),
+        F.col("_head"),
+        tree_lines(F.col("_files"), "", closes & (F.size("_subs") == 0)),
+        tree_lines(F.col("_subs"), "──", closes),
+        F.col("_tail"),
     )
-    return (
-        texts.join(ends, "folder")
-        .join(frames, "folder")
-        .filter(~F.col("_outside") | (F.col("part") == F.col("_first")))
-        .select(
-            "folder",
-            "part",
-            F.when(~F.col("_outside"), report).alias("report"),
-            F.when(
-                F.col("_outside"),
-                F.concat(F.lit("Some path is not in the prefix "), F.col("folder")),
-            ).alias("err"),
-        )
+    return groups.filter(~F.col("_bad") | (F.col("part") == F.when(parts == 1, 0).otherwise(-1))).select(
+        "folder",
+        "part",
+        F.when(~F.col("_bad"), report).alias("report"),
+        F.when(
+            F.col("_bad"), F.concat(F.lit("Some path is not in the prefix "), F.col("folder"))
+        ).alias("err"),
     )
 
 

@@ -33,7 +33,8 @@ def stream_first_agent_message(
     if gap is None:
         return messages.groupBy("request_id").agg(first)
     return (
-        messages.withWatermark("ts", delay)
+        messages.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", delay)
         .groupBy("request_id", F.session_window("ts", gap).alias("_session"))
         .agg(first)
         .select("request_id", F.col("_session.start").alias("started"), "text")
