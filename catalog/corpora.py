@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glosswork.sources.files import spread
+
 _BS = "chr(92)"
 _NL = "chr(10)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; those with long texts are spread over the cores when they are small."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages", "conversations") else df
 
 
 def spark_steps(df: DataFrame, steps: list[list[str]], where: str | None = None) -> DataFrame:

@@ -32,7 +32,7 @@ _TRIPLE = r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''"
 _DOUBLE = r'"[^"\n]*"'
 _SINGLE = r"'[^'\n]*'"
 _BACKTICK = r"`[^`]*`"
-_NAME = r"[\p{L}_$][\p{L}\p{N}_$]*"
+_NAME = r"[A-Za-z_$\p{L}][0-9A-Za-z_$\p{L}\p{N}]*"
 _NUMBER = r"[0-9][0-9A-Za-z_.]*"
 _BREAK = r"[ \t]*(?:#[^\n]*)?\n[ \t]*"
 _WORD = r"""[^ \t\n\r\f"'#;&|()<>][^ \t\n\r\f"';&|()<>]*"""
@@ -40,11 +40,13 @@ _OTHER = SHIFT + r"?[^ \t\n\r\f]"
 _SLASH_COMMENTS = r"//[^\n]*|/\*[\s\S]*?\*/"
 _HTML_COMMENT = r"<!--[\s\S]*?-->"
 
+# Alternatives begin with different characters, except quotes, slashes and the last; the most
+# frequent kind comes first.
 PATTERNS = {
-    "python": "|".join((_TRIPLE, _DOUBLE, _SINGLE, _BREAK, _NAME, _NUMBER, _OTHER)),
-    "slash": "|".join((_SLASH_COMMENTS, _DOUBLE, _SINGLE, _BACKTICK, _NAME, _NUMBER, _OTHER)),
-    "bash": "|".join((_DOUBLE, r"'[^']*'", _BREAK, _WORD, _OTHER)),
-    "html": "|".join((_HTML_COMMENT, _NAME, _NUMBER, _OTHER)),
+    "python": "|".join((_NAME, _BREAK, _TRIPLE, _DOUBLE, _SINGLE, _NUMBER, _OTHER)),
+    "slash": "|".join((_NAME, _SLASH_COMMENTS, _DOUBLE, _SINGLE, _BACKTICK, _NUMBER, _OTHER)),
+    "bash": "|".join((_WORD, _BREAK, _DOUBLE, r"'[^']*'", _OTHER)),
+    "html": "|".join((_NAME, _HTML_COMMENT, _NUMBER, _OTHER)),
 }
 FAMILIES = {"python": "python", "bash": "bash", "html": "html"}  # all others: slash
 LINE_FAMILIES = ("python", "bash")

@@ -75,6 +75,18 @@ def reference_docs(listing: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that has fewer splits than there are cores.
+
+    For small inputs in one file or row group only, ahead of costly per-row work. Inputs with
+    enough splits, that is all large ones, are returned as they are, without an exchange.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_reference_docs(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """Markdown documents of a folder; contents are not read."""
     listing = (

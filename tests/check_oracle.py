@@ -63,7 +63,7 @@ def main():
     args = sys.argv[1:]
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
     spark = (
-        SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress","false")
         .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g").getOrCreate()
     )
