@@ -117,7 +117,7 @@ def stream_run_events(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_run_outputs(spark: SparkSession, folder: str) -> DataFrame:
     """Recorded standard output, one file per run: ``request_id, stdout``."""
-    return spark.read.option("wholetext", "true").text(folder).select(
+    return spark.read.text(folder, wholetext=True).select(
         F.regexp_replace(file_name(F.col("_metadata.file_path")), r"\.[^.]*$", "").alias("request_id"),
         F.col("value").alias("stdout"),
     )
