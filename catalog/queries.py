@@ -24,6 +24,7 @@ from glosswork.operators import fingerprint as fg
 from glosswork.operators import requests as rq
 from glosswork.operators import reviews as rv
 from glosswork.operators import runs as ru
+from glosswork.plans import flows
 from glosswork.sources import files as so
 from glosswork.streaming import streams as st
 
@@ -998,3 +999,178 @@ def stream_extract_reviews(spark: SparkSession, d: str) -> DataFrame:
 def stream_first_agent_message(spark: SparkSession, d: str) -> DataFrame:
     arriving = k.spark_steps(_stream(spark, d, "events"), k.EVENT_STEPS)
     return _run_to_end(spark, st.stream_first_agent_message(arriving, gap="12 hours"), "stream-messages")
+
+
+# ---------------------------------------------------------------- whole flows
+
+
+def _file_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded output of the runs behind ``_replies``, in both forms of standard output."""
+    given = _replies(spark, d)
+    reply = F.coalesce(
+        F.to_json("data"), F.lit('{"overview":"","review":"","output":"","error":"boom"}')
+    )
+    item = F.struct(F.lit("agent_message").alias("type"), F.col("reply").alias("text"))
+    event = F.to_json(F.struct(F.lit("item.completed").alias("type"), item.alias("item")))
+    result = F.to_json(F.struct(F.lit("result").alias("type"), F.col("reply").alias("result")))
+    return given.withColumn("reply", reply).select(
+        "request_id",
+        "attempt",
+        "provider",
+        F.lit(0).alias("returncode"),
+        F.when(F.col("provider") == "claude", result)
+        .otherwise(F.concat(F.lit("started\n"), event))
+        .alias("stdout"),
+    )
+
+
+@register(query(
+    "SELECT path, outcome, CASE WHEN outcome <> 'FAILED' THEN sha256(content) END AS digest, review, err FROM resolved LEFT JOIN "
+    "annotated USING (path) UNION ALL SELECT path, 'EMPTY', NULL, '', NULL FROM asked WHERE input = ''", *_ANNOTATED
+))
+def review_files(spark: SparkSession, d: str) -> DataFrame:
+    done = flows.apply_reviews(requests(spark, d), _file_runs(spark, d), AI, TS, retry=2)
+    return done.select("path", "outcome", F.sha2("content", 256).alias("digest"), "review", "err")
+
+
+_DIFFS = [
+    *_CHANGES,
+    (
+        "weights",
+        "SELECT path, line, sum(w) AS delta FROM ("
+        f"SELECT path, unnest({s.lines_of('after')}) AS line, 1 AS w FROM changes UNION ALL "
+        f"SELECT path, unnest({s.lines_of('before')}) AS line, -1 AS w FROM changes WHERE before IS NOT NULL) "
+        "GROUP BY path, line HAVING sum(w) <> 0",
+    ),
+    (
+        "diffs",
+        "SELECT path, string_agg(mark, chr(10) ORDER BY mark) AS diff FROM (SELECT path, CASE WHEN delta > 0 THEN '+' ELSE '-' END || line AS mark, "
+        "unnest(range(CAST(abs(delta) AS BIGINT))) FROM weights) GROUP BY path",
+    ),
+    ("changes_s", "SELECT path, after AS content FROM changes"),
+    *s.files_ctes("c", "changes_s"),
+]
+
+
+@register(query(
+    "SELECT path, language, sha256('{' || CASE WHEN coalesce(diff, '') <> '' THEN chr(10) || '  \"git-diff\": ' || " + s.js("diff")
+    + " || ',' ELSE '' END || chr(10) || '  \"context\": \"ctx\"' || chr(10) || '}') AS context, "
+    f"sha256({_INPUT}) AS input FROM c_t LEFT JOIN diffs USING (path) WHERE language IS NOT NULL",
+    *_DIFFS,
+))
+def review_changed_files(spark: SparkSession, d: str) -> DataFrame:
+    asked = flows.plan_changed_reviews(*snapshots(spark, d), context="ctx")
+    return asked.select(
+        "path", "language", F.sha2("request.context", 256).alias("context"), F.sha2("request.input", 256).alias("input")
+    )
+
+
+# ---------------------------------------------------------------- expressions
+
+
+@register(query(f"SELECT path, len(lines) AS n, sha256({s.joined('lines')}) AS digest FROM f_l"))
+def py_splitlines(spark: SparkSession, d: str) -> DataFrame:
+    lines = files(spark, d).select("path", ft.py_splitlines(F.col("content")).alias("lines"))
+    return lines.select("path", F.size("lines").alias("n"), F.sha2(F.array_join("lines", "\n"), 256).alias("digest"))
+
+
+_TEXTS = "SELECT conv_id, turn, text, {w} || text || {w} AS padded FROM conversations".format(w=quote(" \t\u3000\x1c"))
+
+
+@register(query(f"SELECT conv_id, turn, trim(padded, {s.WS}) AS stripped FROM ({_TEXTS})"))
+def py_strip(spark: SparkSession, d: str) -> DataFrame:
+    pad = F.lit(" \t\u3000\x1c")
+    return k.table(spark, d, "conversations").select(
+        "conv_id", "turn", ft.py_strip(F.concat(pad, "text", pad)).alias("stripped")
+    )
+
+
+_NAMES = "concat(CASE doc_id % 4 WHEN 0 THEN 'a.b/' WHEN 1 THEN '' ELSE 'd/.' END, CASE doc_id % 7 WHEN 0 THEN '.' WHEN 1 THEN '..x' ELSE 'n' END, source, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '.' ELSE '.tar.GZ' END)"
+
+
+@register(f"SELECT doc_id, {s.extension('name')} AS extension, {s.folder('name')} AS folder FROM (SELECT doc_id, {_NAMES} AS name FROM documents)")
+def file_extension_and_folder(spark: SparkSession, d: str) -> DataFrame:
+    names = k.table(spark, d, "documents").selectExpr("doc_id", f"{_NAMES} AS name")
+    return names.select(
+        "doc_id", fp.file_extension(F.col("name")).alias("extension"), fp.parent_folder(F.col("name")).alias("folder")
+    )
+
+
+@register(query(
+    f"SELECT path, line_comment, block_comment, err FROM (SELECT path, {s.line_comment('comment', 'tag')} AS line_comment, "
+    f"{s.block_comment('comment', 'tag')} AS block_comment, {s.comment_error('comment', 'true')} AS err "
+    f"FROM {_JOINED_EDITS} WHERE language IS NOT NULL)"
+))
+def line_and_block_comments(spark: SparkSession, d: str) -> DataFrame:
+    df = co.detect_language(edits(spark, d)).filter(F.col("language").isNotNull())
+    text, tag = F.col("comment"), F.col("tag")
+    return df.select(
+        "path", fc.line_comment(text, tag).alias("line_comment"), fc.block_comment(text, tag).alias("block_comment"),
+        fc.comment_error(text, True).alias("err"),
+    )
+
+
+_LANGS = "CASE doc_id % 4 WHEN 0 THEN '$lang:' WHEN 1 THEN concat('$lang: ', lang, ' x') WHEN 2 THEN 'other' ELSE concat('$lang:', lang) END"
+
+
+@register(
+    f"SELECT doc_id, coalesce(nullif(CASE WHEN starts_with(c, '$lang:') THEN string_split({s.strip('substr(c, 7)')}, ' ')[1] END, ''), 'English') AS comment_language, "
+    f"coalesce(nullif(CASE WHEN starts_with(c, '$lang:') THEN string_split({s.strip('substr(c, 7)')}, ' ')[1] END, ''), 'English') AS report_language, "
+    f"coalesce(nullif({s.strip('concat(chr(32), CASE WHEN doc_id % 3 = 0 THEN lang ELSE chr(32) END)')}, ''), c) AS chosen FROM (SELECT doc_id, lang, {_LANGS} AS c FROM documents)"
+)
+def comment_and_report_language(spark: SparkSession, d: str) -> DataFrame:
+    df = k.table(spark, d, "documents").selectExpr("doc_id", "lang", f"{_LANGS} AS c")
+    override = F.expr("concat(' ', CASE WHEN doc_id % 3 = 0 THEN lang ELSE ' ' END)")
+    return df.select(
+        "doc_id",
+        fc.comment_language(F.array(F.lit("first"), F.col("c"))).alias("comment_language"),
+        fc.report_language(F.concat("c", F.lit("\nrest"))).alias("report_language"),
+        fc.language_override(override, F.col("c")).alias("chosen"),
+    )
+
+
+_PIECES = "coalesce(nullif(substr(text, 1, conv_id % 30), ''), '')"
+
+
+@register(
+    "SELECT conv_id, turn, CASE WHEN p <> '' THEN '[Bug fix]' || chr(10) || p || chr(10) ELSE '' END || '[Discussion]' || chr(10) || role || chr(10) AS summary, "
+    "chr(10) || '# Notes:' || chr(10) || '- ' || role || chr(10) || '- ' || p || chr(10) AS listed, "
+    "'    ├── ' || role || chr(10) || CASE WHEN turn % 2 = 0 THEN '    ├── b' || chr(10) || '    └──── ' || conv_id || chr(10) ELSE '    └── b' || chr(10) END AS tree, "
+    "turn || CASE WHEN turn % 10 = 1 THEN 'st' WHEN turn % 10 = 2 THEN 'nd' WHEN turn % 10 = 3 THEN 'rd' ELSE 'th' END AS ordinal, "
+    f"left(sha256(text), 32) AS value_hash FROM (SELECT *, {_PIECES} AS p FROM conversations)"
+)
+def rendered_texts(spark: SparkSession, d: str) -> DataFrame:
+    df = k.table(spark, d, "conversations").withColumn("p", F.expr(_PIECES))
+    subs = F.when(F.col("turn") % 2 == 0, F.array(F.col("conv_id").cast("string"))).otherwise(F.array().cast("array<string>"))
+    return df.select(
+        "conv_id", "turn",
+        fr.fix_summary(F.col("p"), F.col("role")).alias("summary"),
+        fr.md_list(F.array("role", "p"), "Notes").alias("listed"),
+        fr.file_tree(F.array(F.col("role"), F.lit("b")), subs).alias("tree"),
+        ft.ordinal(F.col("turn")).alias("ordinal"),
+        ft.value_hash(F.col("text")).alias("value_hash"),
+    )
+
+
+_RAW_PATHS = "CASE doc_id % 5 WHEN 0 THEN concat('a/../', source, '.py') WHEN 1 THEN concat('/w/p/', source) WHEN 2 THEN concat('../', source) WHEN 3 THEN concat('./x//', source) ELSE '/w/p/q/..' END"
+
+
+@register(
+    "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN source || '.py' WHEN 1 THEN source WHEN 3 THEN 'x/' || source WHEN 4 THEN '.' END AS rel FROM documents"
+)
+def relative_path(spark: SparkSession, d: str) -> DataFrame:
+    df = k.table(spark, d, "documents").selectExpr("doc_id", f"{_RAW_PATHS} AS raw")
+    return df.select("doc_id", fp.relative_path(F.col("raw"), F.lit("/w/p")).alias("rel"))
+
+
+@register(query(f"SELECT request_id, attempt, {fenced('stdout')} AS inner_text FROM runs"))
+def strip_fence(spark: SparkSession, d: str) -> DataFrame:
+    return run_log(spark, d).select("request_id", "attempt", fl.strip_fence(F.col("stdout")).alias("inner_text"))
+
+
+@register(query(
+    "SELECT request_id, seq, CASE WHEN contains(line, 'agent_message') THEN line ->> CASE WHEN starts_with(line, '{\"msg\"') "
+    "THEN '$.msg.message' ELSE '$.item.text' END END AS message FROM ev"
+))
+def agent_message(spark: SparkSession, d: str) -> DataFrame:
+    return event_lines(spark, d).select("request_id", "seq", fl.agent_message(F.col("line")).alias("message"))
