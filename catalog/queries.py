@@ -371,7 +371,7 @@ def filter_reviewable(spark: SparkSession, d: str) -> DataFrame:
 
 @register(query(f"SELECT path, language, lp AS line_prefix, bp AS block_prefix, bs AS block_suffix, {_UNKNOWN} AS err FROM f_d"))
 def detect_language(spark: SparkSession, d: str) -> DataFrame:
-    return co.detect_language(files(spark, d)).drop("content")
+    return co.detect_language(files(spark, d)).drop("content", "tag_open", "tag_close")
 
 
 @register(query(f"SELECT path, review FROM (SELECT path, {s.REVIEW_TEXT} AS review, language FROM f_t) WHERE language IS NOT NULL"))

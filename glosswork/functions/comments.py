@@ -22,15 +22,32 @@ REQUIREMENTS_MARK = "---------- [Requirements]"
 
 
 class Markers(NamedTuple):
-    """Comment markers of a row; the defaults are the columns ``detect_language`` adds."""
+    """Comment markers of a row; the defaults are the columns ``detect_language`` adds.
+
+    ``tag_open`` and ``tag_close`` are the markers around a tagged one-line comment: the line
+    marker alone, or those of a block in languages without line comments.
+    """
 
     line: Column
     open: Column
     close: Column
+    tag_open: Column
+    tag_close: Column
 
     @staticmethod
     def of_row() -> "Markers":
-        return Markers(F.col("line_prefix"), F.col("block_prefix"), F.col("block_suffix"))
+        names = ("line_prefix", "block_prefix", "block_suffix", "tag_open", "tag_close")
+        return Markers(*map(F.col, names))
+
+    @staticmethod
+    def of(line: Column, open: Column, close: Column) -> "Markers":
+        return Markers(
+            line,
+            open,
+            close,
+            F.when(line != "", line).otherwise(open),
+            F.when(line != "", "").otherwise(close),
+        )
 
 
 def _lit(value: Column | str) -> Column:
@@ -89,35 +106,32 @@ def comment_error(c: Column, block: Column | bool = False, markers: Markers | No
     )
 
 
-def _tag_bounds(tag: Column, m: Markers) -> tuple[Column, Column]:
-    opening = F.concat(F.when(m.line != "", m.line).otherwise(m.open), tag)
-    closing = F.when(m.line != "", "").otherwise(m.close)
-    return opening, closing
-
-
 def is_tagged_line(line: Column, tag: Column | str, markers: Markers | None = None) -> Column:
     """Whether a line is a full-line comment carrying ``tag``."""
     m = markers or Markers.of_row()
-    opening, closing = _tag_bounds(_lit(tag), m)
+    opening = F.concat(m.tag_open, _lit(tag))
     text = py_strip(line)
     # The containment test is implied; it spares most lines the strip.
     return (
         F.contains(line, opening)
         & F.startswith(text, opening)
-        & F.endswith(text, closing)
-        & ((m.line != "") | (m.open != ""))
+        & F.endswith(text, m.tag_close)
+        & (m.tag_open != "")
     )
 
 
+def tag_text(line: Column, tag: Column | str, markers: Markers | None = None) -> Column:
+    """What a tagged line says, without checking that it is one."""
+    m = markers or Markers.of_row()
+    text = py_strip(line)
+    start = F.length(F.concat(m.tag_open, _lit(tag)))
+    return py_strip(F.substring(text, start + 1, F.length(text) - start - F.length(m.tag_close)))
+
+
 def match_tagged_line(line: Column, tag: Column | str, markers: Markers | None = None) -> Column:
     """Text of a full-line comment carrying ``tag``, stripped; NULL for any other line."""
     m = markers or Markers.of_row()
-    opening, closing = _tag_bounds(_lit(tag), m)
-    text = py_strip(line)
-    inner = F.substring(
-        text, F.length(opening) + 1, F.length(text) - F.length(opening) - F.length(closing)
-    )
-    return F.when(is_tagged_line(line, tag, m), py_strip(inner))
+    return F.when(is_tagged_line(line, tag, m), tag_text(line, tag, m))
 
 
 def tagged_lines(lines: Column, tag: Column | str, markers: Markers | None = None) -> Column:
@@ -125,7 +139,7 @@ def tagged_lines(lines: Column, tag: Column | str, markers: Markers | None = Non
     m = markers or Markers.of_row()
     return F.transform(
         F.filter(lines, lambda line: is_tagged_line(line, tag, m)),
-        lambda line: match_tagged_line(line, tag, m),
+        lambda line: tag_text(line, tag, m),
     )
 
 

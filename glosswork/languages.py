@@ -52,19 +52,26 @@ def known_extensions(registry: tuple[Language, ...] = LANGUAGES) -> list[str]:
     return [ext.lower() for lang in registry for ext in lang.extensions]
 
 
+def _tag_markers(lang: Language) -> tuple[str, str]:
+    return (lang.line_prefix, "") if lang.line_prefix else (lang.block_prefix, lang.block_suffix)
+
+
 def languages(spark: SparkSession, registry: tuple[Language, ...] = LANGUAGES) -> DataFrame:
-    """One row per extension, as a local relation the planner knows the size of."""
+    """One row per extension, as a local relation the planner knows the size of.
+
+    ``tag_open`` and ``tag_close`` are the markers around a tagged one-line comment.
+    """
     check_registry(registry)
 
     def literal(text: str) -> str:
         return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
     rows = ", ".join(
-        "(" + ", ".join(map(literal, (lang.name, ext.lower(), *lang[2:]))) + ")"
+        "(" + ", ".join(map(literal, (lang.name, ext.lower(), *lang[2:], *_tag_markers(lang)))) + ")"
         for lang in registry
         for ext in lang.extensions
     )
     return spark.sql(
         f"SELECT * FROM VALUES {rows} "
-        "AS t(language, extension, line_prefix, block_prefix, block_suffix)"
+        "AS t(language, extension, line_prefix, block_prefix, block_suffix, tag_open, tag_close)"
     )

@@ -5,7 +5,7 @@ All of them but the edits are narrow: one row per file in, one out, no shuffle.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +17,15 @@ from glosswork.functions.text import is_blank, py_splitlines, strip_newlines
 from glosswork.operators.steps import compute_once
 from glosswork.languages import LANGUAGES, Language, known_extensions, languages
 
-MARKER_COLUMNS = ["language", "line_prefix", "block_prefix", "block_suffix"]
+MARKER_COLUMNS = [
+    "language", "line_prefix", "block_prefix", "block_suffix", "tag_open", "tag_close",
+]
 
 
 def is_reviewable(path: Column, registry: tuple[Language, ...] = LANGUAGES) -> Column:
     """Whether a path ends with a known extension, in any case."""
-    name = F.lower(path)
-    tests = [F.endswith(name, F.lit(ext)) for ext in known_extensions(registry)]
-    return reduce(lambda a, b: a | b, tests)
+    endings = "|".join(re.escape(ext) for ext in known_extensions(registry))
+    return F.rlike(F.lower(path), F.lit(rf"(?:{endings})\z"))
 
 
 def filter_reviewable(files: DataFrame, registry: tuple[Language, ...] = LANGUAGES) -> DataFrame:
@@ -90,7 +91,7 @@ def extract_tagged_comments(
         tagged = c.is_tagged_line(line, tag)
         return tagged if whole else (i >= first) & (i <= stop) & tagged
 
-    found = F.transform(F.filter(lines, taken), lambda line: c.match_tagged_line(line, tag))
+    found = F.transform(F.filter(lines, taken), lambda line: c.tag_text(line, tag))
     rest = F.array_join(F.filter(lines, lambda line, i: ~taken(line, i)), "\n")
     empty = stop < first
     return df.select(

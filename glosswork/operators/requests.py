@@ -17,7 +17,7 @@ from glosswork.functions.text import (
     py_splitlines,
     strip_newlines,
 )
-from glosswork.operators.comments import with_language
+from glosswork.operators.comments import MARKER_COLUMNS, with_language
 from glosswork.operators.grouping import PART_BYTES, collect_in_parts
 from glosswork.operators.steps import compute_once
 
@@ -100,10 +100,7 @@ def build_review_requests(
     df = compute_once(df, request=F.when(F.col("language").isNotNull(), request))
     return df.select(
         "path",
-        "language",
-        "line_prefix",
-        "block_prefix",
-        "block_suffix",
+        *MARKER_COLUMNS,
         "request",
         *([F.col("reference_parts")] if "reference_parts" in df.columns else []),
         "err",

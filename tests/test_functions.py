@@ -25,7 +25,7 @@ def column(spark):
 
 def markers(name):
     lang = BY_NAME[name]
-    return c.Markers(F.lit(lang.line_prefix), F.lit(lang.block_prefix), F.lit(lang.block_suffix))
+    return c.Markers.of(F.lit(lang.line_prefix), F.lit(lang.block_prefix), F.lit(lang.block_suffix))
 
 
 def test_file_extension(evaluate):
