@@ -209,22 +209,27 @@ def apply_review_annotations(
 ) -> DataFrame:
     """New text of each reviewed file: review header, requirements, then the reply's output.
 
-    ``files(path, requirements, comment_language)`` as built by ``build_review_requests``;
+    ``files`` as built by ``build_review_requests``;
     ``payloads(path, data)`` with the reply's ``output`` in ``data.output``.
     Returns ``path, content, review, err``.
     """
-    needed = files.select(
-        "path",
-        F.col("request.requirements").alias("requirements"),
-        c.language_override(lang, F.col("request.comment_language")).alias("_lang"),
-        *MARKER_COLUMNS,
-    )
-    extra = [name for name in ("ai", "ts") if name in payloads.columns]
-    df = needed.join(payloads.select("path", "data", *extra), "path")
+    asked = files.select("path", "request", *MARKER_COLUMNS)
+    return annotate(asked.join(payloads.select("path", "data"), "path"), ai, ts, lang)
+
+
+def annotate(rows: DataFrame, ai: Column | str, ts: Column | str, lang: str = "") -> DataFrame:
+    """``apply_review_annotations`` on requests and replies that are already in one row.
+
+    Columns besides ``path, request, data`` and the markers are kept; rows without data have
+    neither content nor review.
+    """
+    kept = [n for n in rows.columns if n not in (*MARKER_COLUMNS, "path", "request", "data", "err")]
+    language = c.language_override(lang, F.col("request.comment_language"))
     df = compute_once(
-        df,
+        rows,
         _lines=py_splitlines(F.col("data.output")),
-        review=render_review(F.col("data"), ai, ts, F.col("_lang")),
+        requirements=F.col("request.requirements"),
+        review=F.when(F.col("data").isNotNull(), render_review(F.col("data"), ai, ts, language)),
     )
     code = strip_newlines(
         F.array_join(
@@ -246,6 +251,7 @@ def apply_review_annotations(
     )
     return df.select(
         "path",
+        *kept,
         F.when(
             err.isNull(),
             c.insert_line(F.col("_body"), top, c.line_comment(F.col("review"), c.REVIEW_TAG)),

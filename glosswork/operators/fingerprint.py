@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glosswork.functions.lexer import SEPARATOR, decode, token_kind, token_text
 from glosswork.functions.text import value_hash
 from glosswork.operators.comments import with_language
+from glosswork.operators.grouping import PART_BYTES, collect_in_parts, share
 from glosswork.operators.steps import compute_once
 
 # Fixed value: version of the fingerprint layout.
@@ -95,21 +96,16 @@ def verify_logic_preserved(requests: DataFrame, payloads: DataFrame) -> DataFram
     )
 
 
-def clone_groups(fingerprints: DataFrame, part_bytes: int | None = None) -> DataFrame:
+def clone_groups(fingerprints: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Structurally equal files: ``fingerprint, part, parts, paths, n`` for groups of 2 or more.
 
     ``n`` counts the whole group. The paths of a very large group come in several parts.
     """
-    from glosswork.operators.grouping import PART_BYTES, collect_in_parts
-
     known = fingerprints.filter(F.col("fingerprint").isNotNull()).select("fingerprint", "path")
+    # Tokenizing is the costly step; counting and gathering read one exchange of its result.
+    known = share(known, "fingerprint", "path")
     counts = known.groupBy("fingerprint").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    groups = collect_in_parts(
-        known.join(counts.select("fingerprint"), "fingerprint", "left_semi"),
-        ["fingerprint"],
-        ["path"],
-        part_bytes=part_bytes or PART_BYTES,
-    )
-    return groups.join(counts, "fingerprint").select(
-        "fingerprint", "part", "parts", F.col("items.path").alias("paths"), "n"
-    )
+    # The count travels with the paths: a left side that can be split where a group is large.
+    copies = known.join(counts, "fingerprint")
+    groups = collect_in_parts(copies, ["fingerprint", "n"], ["path"], part_bytes=part_bytes)
+    return groups.select("fingerprint", "part", "parts", F.col("items.path").alias("paths"), "n")

@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 PART_BYTES = 32 * 1024 * 1024
 
 
+def share(rows: DataFrame, *identity: str) -> DataFrame:
+    """Exchange rows by their identity, evenly, so that several readers use one shuffle.
+
+    The readers' plans are equal up to this exchange, so Spark runs what precedes it once, and
+    the shuffle files outlive lost executors. Select the needed columns before.
+    """
+    return rows.repartition(*identity)
+
+
 def place_in_parts(
     rows: DataFrame,
     keys: list[str],
@@ -25,6 +34,7 @@ def place_in_parts(
     ``summaries`` are aggregates added to the rows of oversized groups, NULL for others.
     """
     columns = [*order, *(values or [])]
+    rows = share(rows.select(*keys, *columns), *keys, *order)
     # Every item also costs its array slot.
     weight: Column = F.lit(16)
     for name in columns:

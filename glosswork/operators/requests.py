@@ -39,9 +39,16 @@ def attach_references(
     copied to the files: ``references`` is NULL there and ``reference_parts`` says how many
     rows of ``folder_references`` hold the whole list.
     """
-    lists = folder_references(docs, part_bytes).filter(F.col("part") == 0)
+    # One row per folder; the arrays of a list in several parts are not moved at all.
+    lists = (
+        folder_references(docs, part_bytes)
+        .select("folder", "parts", F.when(F.col("parts") == 1, F.col("references")).alias("references"))
+        .groupBy(F.col("folder").alias("_folder"))
+        .agg(F.max("parts").alias("parts"), F.max("references").alias("references"))
+    )
+    # Files on the left: a folder with very many files is then the splittable side.
     by_folder = files.withColumn("_folder", parent_folder(F.col("path"))).join(
-        lists.withColumnRenamed("folder", "_folder").drop("part"), "_folder", "left"
+        lists, "_folder", "left"
     )
     parts = F.coalesce(F.col("parts"), F.lit(0))
     return by_folder.select(
