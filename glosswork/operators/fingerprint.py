@@ -11,8 +11,9 @@ from glosswork.operators.comments import with_language
 from glosswork.operators.grouping import PART_BYTES, collect_in_parts, share
 from glosswork.operators.steps import compute_once
 
-# Fixed value: version of the fingerprint layout.
+# Version of the fingerprint layout, warning for changed code.
 VERSION = 1
+WARN_CHANGED = "[WARNING] _data_check: <output> does not match the input expected"
 
 
 def tokenize_sources(files: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def verify_logic_preserved(requests: DataFrame, payloads: DataFrame) -> DataFram
         "input",
         F.when(
             F.col("_mismatch"),
-            "[WARNING] _data_check: <output> does not match the input expected",
+            WARN_CHANGED,
         )
         .otherwise(F.col("err"))
         .alias("err"),

@@ -23,6 +23,29 @@ from glosswork.functions.replies import (
 from glosswork.functions.text import let, py_splitlines, py_strip
 from glosswork.operators.steps import compute_once
 
+# Error texts of runs and replies.
+ERR_TIMEOUT = "[ERR] subprocess.TimeoutExpired: "
+ERR_EXCEPTION = "[ERR] subprocess.Exception: "
+ERR_RETURNCODE = "[ERR] subprocess.run: returncode="
+ERR_STDERR = ", stderr: "
+NO_STDERR = "no stderr"
+ERR_NO_MESSAGE = "[ERR] _parse_stdout: no target message found"
+ERR_STDOUT_JSON = "[ERR] _parse_stdout: can't parse JSON from stdout"
+ERR_STDOUT_KIND = "[ERR] _parse_stdout: not a dictionary"
+ERR_NO_RESULT = "[ERR] _parse_stdout: string <result> not found"
+ERR_EMPTY_RESULT = "[ERR] _parse_stdout: <result> is empty"
+ERR_PROVIDER = "Unsupported AI: "
+ERR_EMPTY_PAYLOAD = "[ERR] _extract_json: payload is empty"
+ERR_NO_OPEN = "[ERR] _extract_json: can't find { in payload"
+ERR_NO_CLOSE = "[ERR] _extract_json: can't find } in payload"
+ERR_JSON = "[ERR] _extract_json: can't parse JSON"
+ERR_NO_DATA = "[ERR] _extract_json: no data"
+ERR_NOT_OBJECT = "[ERR] _data_check: <data> must be a dictionary"
+ERR_REPORTED = "[ERR] _data_check: <error> = "
+ERR_KEYS = "[ERR] _data_check: required keys not found"
+ERR_TEXT = "[ERR] _data_check: <{}> must be a string"
+ERR_LIST = "[ERR] _data_check: <{}> must be a string list"
+
 # Fixed value: characters of stderr kept in an error.
 STDERR_CHARS = 2000
 LIST_FIELDS = ("notes", "issues", "imperfections", "impediments")
@@ -38,16 +61,16 @@ def classify_runs(ai_runs: DataFrame) -> DataFrame:
         "err",
         F.when(
             timed_out,
-            F.concat(F.lit("[ERR] subprocess.TimeoutExpired: "), F.coalesce(exception, F.lit(""))),
+            F.concat(F.lit(ERR_TIMEOUT), F.coalesce(exception, F.lit(""))),
         )
-        .when(exception.isNotNull(), F.concat(F.lit("[ERR] subprocess.Exception: "), exception))
+        .when(exception.isNotNull(), F.concat(F.lit(ERR_EXCEPTION), exception))
         .when(
             F.col("returncode") != 0,
             F.concat(
-                F.lit("[ERR] subprocess.run: returncode="),
+                F.lit(ERR_RETURNCODE),
                 F.col("returncode").cast("string"),
-                F.lit(", stderr: "),
-                F.coalesce(F.substring(stderr, 1, STDERR_CHARS), F.lit("no stderr")),
+                F.lit(ERR_STDERR),
+                F.coalesce(F.substring(stderr, 1, STDERR_CHARS), F.lit(NO_STDERR)),
             ),
         ),
     )
@@ -68,7 +91,7 @@ def event_stream_payload(stdout: Column) -> Column:
         payload,
         lambda p: F.struct(
             p.alias("payload"),
-            F.when(p.isNull(), "[ERR] _parse_stdout: no target message found").alias("err"),
+            F.when(p.isNull(), ERR_NO_MESSAGE).alias("err"),
         ),
     )
 
@@ -79,10 +102,10 @@ def result_object_payload(stdout: Column) -> Column:
     def find(data: Column) -> Column:
         result = py_strip(v.text_of(v.field(data, "result")))
         err = (
-            F.when(data.isNull(), "[ERR] _parse_stdout: can't parse JSON from stdout")
-            .when(~v.is_object(data), "[ERR] _parse_stdout: not a dictionary")
-            .when(result.isNull(), "[ERR] _parse_stdout: string <result> not found")
-            .when(result == "", "[ERR] _parse_stdout: <result> is empty")
+            F.when(data.isNull(), ERR_STDOUT_JSON)
+            .when(~v.is_object(data), ERR_STDOUT_KIND)
+            .when(result.isNull(), ERR_NO_RESULT)
+            .when(result == "", ERR_EMPTY_RESULT)
         )
         return F.struct(
             F.when(err.isNull(), unfenced(result)).alias("payload"), err.alias("err")
@@ -105,7 +128,7 @@ def extract_run_payload(ai_runs: DataFrame) -> DataFrame:
     df = ai_runs if "err" in ai_runs.columns else classify_runs(ai_runs)
     none = F.struct(
         F.lit(None).cast("string").alias("payload"),
-        F.concat(F.lit("Unsupported AI: "), F.col("provider")).alias("err"),
+        F.concat(F.lit(ERR_PROVIDER), F.col("provider")).alias("err"),
     )
     found = F.when(F.col("err").isNotNull(), None)
     for name, reader in PROVIDERS.items():
@@ -135,9 +158,9 @@ def extract_json_objects(payloads: DataFrame) -> DataFrame:
         rest = F.when(start > 0, F.substring(c, start, F.length(c)))
         body = let(rest, lambda r: F.concat(text_before_last(r, "}"), F.lit("}")))
         err = (
-            F.when(c == "", "[ERR] _extract_json: payload is empty")
-            .when(start == 0, "[ERR] _extract_json: can't find { in payload")
-            .when(~F.contains(rest, F.lit("}")), "[ERR] _extract_json: can't find } in payload")
+            F.when(c == "", ERR_EMPTY_PAYLOAD)
+            .when(start == 0, ERR_NO_OPEN)
+            .when(~F.contains(rest, F.lit("}")), ERR_NO_CLOSE)
         )
         return F.struct(F.when(err.isNull(), body).alias("json_text"), err.alias("err"))
 
@@ -239,8 +262,8 @@ def repair_json_rows(json_texts: DataFrame) -> DataFrame:
     )
     err = (
         F.when(F.col("err").isNotNull(), F.col("err"))
-        .when(F.col("_data").isNull(), "[ERR] _extract_json: can't parse JSON")
-        .when(v.kind(F.col("_data")) == "VOID", "[ERR] _extract_json: no data")
+        .when(F.col("_data").isNull(), ERR_JSON)
+        .when(v.kind(F.col("_data")) == "VOID", ERR_NO_DATA)
     )
     return df.select(
         *json_texts.drop("err").columns,
@@ -253,34 +276,31 @@ def repair_json_rows(json_texts: DataFrame) -> DataFrame:
 def _first_error(data: Column, check_output: bool) -> Column:
     """First broken rule of a reply, as an error text; NULL when all hold."""
 
-    def say(text: str) -> str:
-        return f"[ERR] _data_check: {text}"
-
     error = v.field(data, "error")
     said = v.printed(error)
     err = (
-        F.when(~v.is_object(data), say("<data> must be a dictionary"))
+        F.when(~v.is_object(data), ERR_NOT_OBJECT)
         .when(
             ~v.is_falsy(error) & (F.coalesce(py_strip(v.text_of(error)), said) != ""),
-            F.concat(F.lit(say("<error> = ")), said),
+            F.concat(F.lit(ERR_REPORTED), said),
         )
         .when(
             v.field(data, "overview").isNull() | v.field(data, "review").isNull(),
-            say("required keys not found"),
+            ERR_KEYS,
         )
     )
     design = v.field(data, "design")
     err = err.when(
-        ~v.is_falsy(design) & v.text_of(design).isNull(), say("<design> must be a string")
+        ~v.is_falsy(design) & v.text_of(design).isNull(), ERR_TEXT.format("design")
     )
     for name in LIST_FIELDS:
         value = v.field(data, name)
         err = err.when(
-            ~v.is_falsy(value) & ~v.is_list(value), say(f"<{name}> must be a string list")
+            ~v.is_falsy(value) & ~v.is_list(value), ERR_LIST.format(name)
         )
     if check_output:
         err = err.when(
-            v.text_of(v.field(data, "output")).isNull(), say("<output> must be a string")
+            v.text_of(v.field(data, "output")).isNull(), ERR_TEXT.format("output")
         )
     return err
 
@@ -312,7 +332,7 @@ def validate_review_payloads(payloads: DataFrame, check_output: bool = False) ->
         payloads,
         _err=F.coalesce(
             F.col("err"),
-            F.when(F.col("data").isNull(), "[ERR] _extract_json: no data"),
+            F.when(F.col("data").isNull(), ERR_NO_DATA),
             _first_error(F.col("data"), check_output),
         ),
     )

@@ -78,8 +78,7 @@ def main():
         try:
             df = run(spark, sf_dir)
             if name in oracles:
-                diff = compare(con, df, oracles[name])
-                n = "" if diff else df.count()
+                diff, n = compare(con, df, oracles[name]), ""
             else:
                 diff, n = "", f"{df.count()} (no sql)"
         except Exception as e:  # report and go on
