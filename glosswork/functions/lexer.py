@@ -24,6 +24,7 @@ ESCAPES = (
     ("\\`", "\ue005"),
 )
 SHIFT = "\ue008"
+UNCLOSED = "\ue006"
 _RESERVED = [chr(code) for code in range(0xE000, 0xE009)]
 _SHIFTED = {ch: SHIFT + chr(ord(ch) + 0x10) for ch in _RESERVED}
 
@@ -77,19 +78,34 @@ def decode(token: Column) -> Column:
     )
 
 
+def split_unclosed(c: Column, opening: str, closing: str) -> Column:
+    """Break up comment openings behind the last closing, which cannot open a comment.
+
+    Each of them would make the pattern search the rest of the text in vain, which is
+    quadratic in a text with many. The mark inside becomes a token that is dropped again.
+    """
+    tail = F.substring_index(c, closing, -1)
+    head = F.substring(c, F.lit(1), F.length(c) - F.length(tail))
+    broken = F.replace(tail, F.lit(opening), F.lit(opening[0] + UNCLOSED + opening[1:]))
+    return F.when(F.contains(tail, F.lit(opening)), F.concat(head, broken)).otherwise(c)
+
+
 def token_text(content: Column, language: Column) -> Column:
     """All tokens but comments, each preceded by the separator, escapes still encoded."""
     fam = family(language)
     source = encode(content)
 
-    def scan(text: Column, name: str) -> Column:
-        tokens = F.array_join(F.regexp_extract_all(text, F.lit(PATTERNS[name]), F.lit(0)), SEPARATOR)
-        # Only an empty list leaves a separator at the end.
-        return F.rtrim(F.concat(F.lit(SEPARATOR), tokens), F.lit(SEPARATOR))
+    def trimmed(opening: str, closing: str) -> Column:
+        return split_unclosed(F.ltrim(source, F.lit(" \t\r\n\f")), opening, closing)
+
+    def scan(text: Column, name: str, blanks: str) -> Column:
+        # Every character but blanks belongs to a token, so one replacement that swallows the
+        # blanks behind each token leaves nothing but tokens; no array of tokens is built.
+        return F.regexp_replace(text, f"({PATTERNS[name]})[{blanks}]*", f"{SEPARATOR}$1")
 
     def lines_scan(name: str) -> Column:
         # Of consecutive line breaks only the last counts, reduced to its indentation.
-        text = scan(F.concat(F.lit("\n"), source, F.lit("\n")), name)
+        text = scan(F.concat(F.lit("\n"), source, F.lit("\n")), name, r" \t\r\f")
         comment = r"[ \t]*(?:#[^\n]*)?\n"
         last = F.regexp_replace(
             text, rf"{SEPARATOR}{comment}[ \t]*(?={SEPARATOR}{comment})", ""
@@ -97,10 +113,12 @@ def token_text(content: Column, language: Column) -> Column:
         return F.regexp_replace(last, rf"{SEPARATOR}{comment}([ \t]*)", rf"{SEPARATOR}" "\n$1")
 
     def slash_scan() -> Column:
-        return F.regexp_replace(scan(source, "slash"), rf"{SEPARATOR}/[/*][^{SEPARATOR}]*", "")
+        text = scan(trimmed("/*", "*/"), "slash", r" \t\r\n\f")
+        return F.regexp_replace(text, rf"{SEPARATOR}(?:/[/*][^{SEPARATOR}]*|{UNCLOSED})", "")
 
     def html_scan() -> Column:
-        return F.regexp_replace(scan(source, "html"), rf"{SEPARATOR}<!--[^{SEPARATOR}]*", "")
+        text = scan(trimmed("<!--", "-->"), "html", r" \t\r\n\f")
+        return F.regexp_replace(text, rf"{SEPARATOR}(?:<!--[^{SEPARATOR}]*|{UNCLOSED})", "")
 
     return (
         F.when(fam == "python", lines_scan("python"))

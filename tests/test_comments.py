@@ -1,5 +1,7 @@
 """Comment jobs: golden rows, properties, annotation round trip."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +181,23 @@ def test_fingerprint_of_long_texts(spark):
     assert len(set(prints(spark, "a.py", *texts))) == 4
 
 
+@pytest.mark.parametrize("path, opening", [("a.c", "/* "), ("a.html", "<!-- "), ("a.ts", "` "), ("a.py", "   \t x" * 3), ("a.sh", "' ")])
+def test_unclosed_comments_and_quotes_stay_linear(spark, path, opening):
+    text = opening * 100_000 + " " * 200_000 + "x"
+    start = time.time()
+    assert len(set(prints(spark, path, text, text + "y"))) == 2
+    assert time.time() - start < 30
+
+
+def test_unclosed_comment_is_code(spark):
+    rows = [("a.c", "/* c */ a /* b"), ("b.c", "a /* b // d"), ("c.html", "<p> <!-- x")]
+    files = frame(spark, rows)
+    got = {}
+    for r in fg.tokenize_sources(files).orderBy("path", "pos").collect():
+        got.setdefault(r.path, []).append(r.length)
+    assert got == {"a.c": [1, 1, 1, 1], "b.c": [1, 1, 1, 1], "c.html": [1, 1, 1, 1, 1, 1, 1, 1]}
+
+
 def test_tokens_describe_source_bytes(spark):
     files = frame(spark, [("a.js", 'é = "a\\"b" // c')])
     rows = [(r.pos, r.kind, r.length) for r in fg.tokenize_sources(files).orderBy("pos").collect()]
