@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Joins keep their large side on the left, where adaptive execution can split a hot key; the
@@ -21,4 +25,19 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the recommended settings to a running session."""
     for key, value in RECOMMENDED.items():
         spark.conf.set(key, value)
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the Python workers, once for each application, so that they load its functions anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_glosswork_shipped", False):
+        return spark
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="glosswork-ship-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, Path(root.name) / path.relative_to(root))
+    context.addPyFile(str(archive))
+    context._glosswork_shipped = True
     return spark
