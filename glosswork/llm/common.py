@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glosswork.session import ship
+
 BATCH_ROWS = 1000  # documents that a Python worker holds at once
 
 
@@ -18,11 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches of texts small; a smaller setting of the session stays."""
+    """Send the package to the workers and keep Arrow batches of texts small; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
-    return spark
+    return ship(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -16,10 +17,12 @@ from glosswork.llm.common import components, prepared, settled
 BANDS, ROWS = 32, 4  # 128 registers; a pair at 0.8 shares no band with a chance of 5 in 100 million
 MANTISSA = 10  # bits kept behind the leading one
 EMPTY = 0xFFFF
+_LENDERS = np.argsort(np.random.default_rng(11).random((BANDS * ROWS, BANDS * ROWS)), axis=1)  # where an empty bucket looks, in order
 SIMILAR = 80  # percent of the union
 COLLISION = 2.0**-MANTISSA / 3  # chance that two different minima fall into one register value
 SIGMAS = 6  # pairs are verified unless their estimate lies this far below the threshold
-CROWDED = 64  # components in a bucket from which its members are banded once more
+CROWDED = 2000  # pairs across components in a bucket from which its members are compared in blocks
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19  # members, and values of their sets, in a block
 FILTER_BITS = 24  # log2 of the bits that pre-select documents whose sets are read
 WORDS_KEPT = 400_000  # word hashes that a worker keeps
 
@@ -61,7 +64,12 @@ def shingle_set(text: bytes | None, size: int = 2) -> np.ndarray:
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
-    """Per bucket of the value's top bits: leading zeros and mantissa bits of the smallest value; EMPTY without any."""
+    """Per bucket of the value's top bits: leading zeros and mantissa bits of the smallest value.
+
+    An empty bucket takes the register of the first filled one in an order of its own, so that
+    short texts fill every band and a register agrees with the chance of the similarity. Without
+    shingles all are EMPTY.
+    """
     count = BANDS * ROWS
     top = count.bit_length() - 1
     out = np.full(count, EMPTY, np.uint16)
@@ -74,6 +82,11 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     mantissa = ((fraction * 2 - 1) * (1 << MANTISSA)).astype(np.int64)
     value = ((52 - bits).astype(np.int64) << MANTISSA) | np.where(low == 0, 0, mantissa)
     out[bucket[first]] = value.astype(np.uint16)
+    if len(first) < count:
+        filled = np.zeros(count, bool)
+        filled[bucket[first]] = True
+        bare = np.flatnonzero(~filled)
+        out[bare] = out[_LENDERS[bare, filled[_LENDERS[bare]].argmax(1)]]
     return out
 
 
@@ -139,20 +152,21 @@ def _likely(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
     return joined.where(F.col("__e.jaccard") >= at - error).select("a", "b")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, similar: int) -> DataFrame:
-    """Those of the pairs (a, b) of document ids whose full shingle sets are similar enough.
+def _sets(docs: DataFrame, named: DataFrame, size: int) -> DataFrame:
+    """`id` and shingle set of the documents whose ids `named` (column id) lists.
 
-    Documents named by a pair are pre-selected by a bit for each hashed id, in a table of fixed
-    size; whatever else passes it falls out of the join.
+    Documents are pre-selected by a bit for each hashed id, in a table of fixed size; whatever
+    else passes it falls out of the join. Texts are not shuffled.
     """
-    spark = docs.sparkSession
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    words = named.select(F.shiftright(bit, 5).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int")).alias("m"))
+    words = named.select(
+        F.shiftright(bit, 5).cast("int").alias("w"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int")).alias("m"),
+    )
     rows = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # at most 2 ** (FILTER_BITS - 5) rows
     bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     bits[rows.column("w").to_numpy()] = rows.column("m").to_numpy().astype(np.uint32)
-    shared = spark.sparkContext.broadcast(bits.tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, np.uint32)
@@ -170,7 +184,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, similar: int) -> Dat
     ).select("id", bit.alias("bit"), "text")
     found = light.mapInArrow(sets, "id long, shingles binary")
     # Repeated rows of an id count once.
-    found = settled(found.join(named.distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    return settled(found.join(named.distinct(), "id", "left_semi").dropDuplicates(["id"]))
+
+
+def _verified(pairs: DataFrame, found: DataFrame, similar: int) -> DataFrame:
+    """Those of the pairs (a, b) of document ids whose full shingle sets are similar enough."""
 
     def similar_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,6 +207,62 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, similar: int) -> Dat
     return settled(both.select("a", "b", "x", "y").mapInArrow(similar_sets, "a long, b long"))
 
 
+def block_links(
+    ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, similar: int
+) -> list[tuple[int, int]]:
+    """Links between different labels among the documents of one block, or across the two sides if there are two.
+
+    Every such pair is compared on its full sets, unless links found before have already joined
+    its labels; so at most one link for each label comes out.
+    """
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    flat = np.concatenate([sets[i] for i in order])
+    values, flat = np.unique(flat, return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes[order])])
+    group = np.unique(labels, return_inverse=True)[1][order]
+    side, size, name = sides[order], sizes[order], ids[order]
+    two = len(set(sides.tolist())) > 1
+    mark = np.zeros(len(values), np.int64)
+    links = []
+    for i in range(len(order) - 1):
+        # Sets are ordered by size: partners reach up to the size that still allows the similarity.
+        end = int(np.searchsorted(size, 100 * size[i] / similar, "right"))
+        if end <= i + 1:
+            continue
+        own = flat[starts[i] : starts[i + 1]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[flat[starts[i + 1] : starts[end]]], starts[i + 1 : end] - starts[i + 1])
+        mark[own] = 0
+        near = 100 * common >= similar * (size[i] + size[i + 1 : end] - common)
+        for j in np.flatnonzero(near) + i + 1:
+            if group[i] != group[j] and not (two and side[i] == side[j]):
+                group[group == group[j]] = group[i]
+                links.append((int(name[i]), int(name[j])))
+    return links
+
+
+def _crowded_links(members: DataFrame, found: DataFrame, similar: int) -> DataFrame:
+    """Links across components among the members (key, id, n, component) of crowded buckets.
+
+    A bucket's members are dealt into blocks of bounded size, and each pair of blocks meets in a
+    task that gives no more links than it has members.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    dealt = members.join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component"
+    )
+
+    def compare(key: tuple, pdf) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        links = block_links(pdf["id"].to_numpy(), pdf["component"].to_numpy(), sets, pdf["own"].to_numpy(), similar)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return settled(met.join(found, "id").groupBy("key", "low", "high").applyInPandas(compare, "a long, b long"))
+
+
 def _crossing(members: DataFrame, similar: int) -> DataFrame:
     """Pairs (a < b) of members (key, id, n, component) of one bucket that lie in different components.
 
@@ -214,8 +288,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, similar: int = SIMILAR) -> D
     compressed registers are candidates: first each class is held against the class of smallest
     id in the bucket that it shares most bands with; verified links form components. Then every
     pair of one bucket that still lies in different components is estimated from the registers
-    and, unless clearly below the threshold, verified. Buckets in which many components meet are
-    banded once more by the other registers, so pairs do not grow with the square of a bucket.
+    and, unless clearly below the threshold, verified. Buckets where many such pairs meet are
+    compared in blocks inside tasks, which hand out links only, one for each component at most.
 
     Null and empty texts have no shingles and are linked with nothing. Rows without a doc_id take
     no part: their component_id is null and they are kept. Repeated rows of a doc_id get equal
@@ -236,27 +310,23 @@ def near_duplicates(docs: DataFrame, size: int = 2, similar: int = SIMILAR) -> D
         shares.groupBy("id").agg(F.max_by("center", F.struct(F.col("m"), -F.col("center"))).alias("b"))
         .select(F.col("id").alias("a"), "b")
     )
-    links = _verified(docs, stars, size, similar)
+    ends = F.explode(F.array("a", "b")).alias("id")
+    links = _verified(stars, _sets(docs, stars.select(ends), size), similar)
     found = components(links)
 
-    labelled = members.join(found.select(F.col("id").alias("__id"), "component"), F.col("id") == F.col("__id"), "left").select(
+    labelled = settled(members.join(found.select(F.col("id").alias("__id"), "component"), F.col("id") == F.col("__id"), "left").select(
         "key", "id", "n", F.coalesce("component", "id").alias("component")
-    )
-    labelled = settled(labelled)
-    meeting = labelled.select("key", "component").distinct().groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    ))
+    shares = labelled.groupBy("key", "component").agg(F.count("*").alias("m"))
+    meeting = shares.groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("across")).where("across > 0")
     open_rows = settled(labelled.join(meeting, "key"))
-    crowded = open_rows.where(F.col("c") > CROWDED)
-    finer = (
-        crowded.select("key", "id", "n", "component").join(classes.select("id", "bands"), "id")
-        .select(F.col("key").alias("old"), "id", "n", "component", F.posexplode("bands").alias("band", "value"))
-        .where((F.col("value") != -1) & (F.xxhash64("band", "value") != F.col("old")))
-        .select(F.xxhash64("old", "band", "value").alias("key"), "id", "n", "component")
-    )
-    pairs = _crossing(open_rows.where(F.col("c") <= CROWDED).drop("c"), similar).union(_crossing(finer, similar)).distinct()
-    # Equal pairs of the first round were in different components only if verified as unlike.
+    crowded = open_rows.where(F.col("across") > 2 * CROWDED).drop("across")
+    pairs = _crossing(open_rows.where(F.col("across") <= 2 * CROWDED).drop("across"), similar)
+    # Pairs of the first round that are still apart were found unlike.
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     likely = settled(_likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, similar))
-    more = _verified(docs, likely, size, similar)
+    sets = _sets(docs, likely.select(ends).union(crowded.select("id")), size)
+    more = _verified(likely, sets, similar).union(_crowded_links(crowded, sets, similar))
     final = components(links.union(more))
     class_of = settled(classes.join(final.select(F.col("id").alias("__id"), "component"), F.col("id") == F.col("__id"), "left").select(
         F.col("digest").alias("__digest"), F.coalesce("component", "id").alias("component")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glosswork.llm.common import settled
+from glosswork.llm.common import prepared, settled
 
 BLOCK = 8192  # candidates that a task holds at once
 CHUNK = 2048  # queries that a task holds at once
@@ -157,6 +157,7 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, scale:
     score to beat. A block of queries meets a block of candidates only if the product of their
     largest norms reaches what its queries need.
     """
+    prepared(vectors.sparkSession)
     rows = settled(whole_vectors(vectors, scale))
     facts = rows.agg(F.max(F.size("v")).alias("width"), F.count("*").alias("n")).first()
     width, n = facts["width"] or 0, facts["n"]
