@@ -21,7 +21,7 @@ _LENDERS = np.argsort(np.random.default_rng(11).random((BANDS * ROWS, BANDS * RO
 SIMILAR = 80  # percent of the union
 COLLISION = 2.0**-MANTISSA / 3  # chance that two different minima fall into one register value
 SIGMAS = 6  # pairs are verified unless their estimate lies this far below the threshold
-CROWDED = 2000  # pairs across components in a bucket from which its members are compared in blocks
+CROWDED = 500  # pairs across components in a bucket from which its members are compared in blocks
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19  # members, and values of their sets, in a block
 FILTER_BITS = 24  # log2 of the bits that pre-select documents whose sets are read
 WORDS_KEPT = 400_000  # word hashes that a worker keeps
@@ -158,6 +158,7 @@ def _sets(docs: DataFrame, named: DataFrame, size: int) -> DataFrame:
     Documents are pre-selected by a bit for each hashed id, in a table of fixed size; whatever
     else passes it falls out of the join. Texts are not shuffled.
     """
+    named = settled(named.distinct())
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
     words = named.select(
         F.shiftright(bit, 5).cast("int").alias("w"),
@@ -184,7 +185,11 @@ def _sets(docs: DataFrame, named: DataFrame, size: int) -> DataFrame:
     ).select("id", bit.alias("bit"), "text")
     found = light.mapInArrow(sets, "id long, shingles binary")
     # Repeated rows of an id count once.
-    return settled(found.join(named.distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    return settled(found.join(named, "id", "left_semi").dropDuplicates(["id"]))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
 
 
 def _verified(pairs: DataFrame, found: DataFrame, similar: int) -> DataFrame:
@@ -255,7 +260,7 @@ def _crowded_links(members: DataFrame, found: DataFrame, similar: int) -> DataFr
         "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component"
     )
 
-    def compare(key: tuple, pdf) -> pd.DataFrame:
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
         links = block_links(pdf["id"].to_numpy(), pdf["component"].to_numpy(), sets, pdf["own"].to_numpy(), similar)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
@@ -310,8 +315,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, similar: int = SIMILAR) -> D
         shares.groupBy("id").agg(F.max_by("center", F.struct(F.col("m"), -F.col("center"))).alias("b"))
         .select(F.col("id").alias("a"), "b")
     )
-    ends = F.explode(F.array("a", "b")).alias("id")
-    links = _verified(stars, _sets(docs, stars.select(ends), size), similar)
+    links = _verified(stars, _sets(docs, _ends(stars), size), similar)
     found = components(links)
 
     labelled = settled(members.join(found.select(F.col("id").alias("__id"), "component"), F.col("id") == F.col("__id"), "left").select(
@@ -325,7 +329,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, similar: int = SIMILAR) -> D
     # Pairs of the first round that are still apart were found unlike.
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     likely = settled(_likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, similar))
-    sets = _sets(docs, likely.select(ends).union(crowded.select("id")), size)
+    sets = _sets(docs, _ends(likely).union(crowded.select("id")), size)
     more = _verified(likely, sets, similar).union(_crowded_links(crowded, sets, similar))
     final = components(links.union(more))
     class_of = settled(classes.join(final.select(F.col("id").alias("__id"), "component"), F.col("id") == F.col("__id"), "left").select(
