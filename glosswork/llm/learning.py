@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,23 +15,24 @@ from pyspark.sql.window import Window
 from glosswork.llm.common import prepared
 
 SAMPLE_DOCS = 3000  # labelled documents of each class that a model is fitted on, at most
-SAMPLE_CHARS = 24_000_000  # characters of all their texts, at most
+SAMPLE_CHARS = 16_000_000  # characters of all their texts, at most
 
 
 def remainder(doc_id: Column, by: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(by)).cast("int")
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, training: Column,
+def fitted(
+    docs: DataFrame, labels: DataFrame, label: str, training: Column, fit: Callable[[list[str], np.ndarray, np.ndarray], Any],
     per_class: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS,
-) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels (0 or 1) and weights of a sample of the labelled documents where `training` holds.
+) -> Any:
+    """What `fit` makes of the texts, labels (0 or 1) and weights of a sample of the labelled rows where `training` holds.
 
     At most `per_class` documents of each label, the first by a hash of doc_id, and of those at
-    most `max_chars` characters. Weights give each label the share that it has among all training
-    labels. Labels that are null or neither 0 nor 1 take no part; of repeated labels of a document
-    the largest counts.
+    most `max_chars` characters, are brought to one task, which fits the model. Weights give each
+    label the share that it has among all training labels. Labels that are null or neither 0 nor 1
+    and documents without text take no part; of repeated labels of a document the largest counts.
+    Without any labelled document the model is fitted on none.
     """
     prepared(docs.sparkSession)
     known = (
@@ -44,15 +50,23 @@ def labelled_sample(
     running = Window.orderBy(order, "doc_id", "__text")
     rows = (
         texts.withColumn("__sum", F.sum(F.length("__text")).over(running))
-        .where(F.col("__sum") <= max_chars).select("__text", "__label").toArrow()
+        .where(F.col("__sum") <= max_chars).select("__text", "__label")
     )
-    y = rows.column("__label").to_numpy().astype(np.int64)
-    weights = np.ones(len(y))
-    total = sum(counts.values())
-    for k in (0, 1):
-        if (y == k).any():
-            weights[y == k] = counts[k] / total * len(y) / (y == k).sum()
-    return rows.column("__text").to_pylist(), y, weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: list[str] = []
+        marks: list[int] = []
+        for batch in batches:
+            given += batch.column(0).to_pylist()
+            marks += batch.column(1).to_pylist()
+        y, weights = np.array(marks, np.int64), np.ones(len(marks))
+        for k in (0, 1):
+            if (y == k).any():
+                weights[y == k] = counts[k] / sum(counts.values()) * len(y) / (y == k).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(given, y, weights))], pa.binary())], ["model"])
+
+    made = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit([], np.empty(0, np.int64), np.empty(0))
 
 
 def held_out(doc_id: Column, by: int, rest: int) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.llm.common import prepared
-from glosswork.llm.learning import held_out, labelled_sample, remainder
+from glosswork.llm.learning import fitted, held_out, remainder
 
 BITS = 17
 GRAMS = (1, 2, 3, 4)  # byte n-grams
@@ -133,8 +133,8 @@ def fit(texts: list[str], y: np.ndarray, weights: np.ndarray) -> QualityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Column | None = None) -> QualityModel:
-    """Fit on a bounded sample of the labelled rows where `training` holds (see `labelled_sample`)."""
-    return fit(*labelled_sample(docs, labels, "quality", F.lit(True) if training is None else training))
+    """Fit on a bounded sample of the labelled rows where `training` holds (see `fitted`)."""
+    return fitted(docs, labels, "quality", F.lit(True) if training is None else training, fit)
 
 
 def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:

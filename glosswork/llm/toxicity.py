@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.llm.common import prepared
-from glosswork.llm.learning import held_out, labelled_sample, remainder
+from glosswork.llm.learning import fitted, held_out, remainder
 
 FEATURES = 1 << 20
 SENTENCE = re.compile(r"[^.!?\n]+")
 MARKS = ".,;:!?()[]{}<>|*$%&#+=~^_/\\\"'`-\u2013\u2014\u2018\u2019\u201c\u201d\u00ab\u00bb\u2026\u00a1\u00bf"
-STEPS = 200
+STEPS = 150
 MIN_DOCS = 6  # documents of the sample that a feature needs
 RATE = 0.1
 DECAY = 1e-4
@@ -67,30 +68,35 @@ def fit(texts: list[str], y: np.ndarray, weights: np.ndarray, steps: int = STEPS
     gradient pulls the likeliest sentences of a labelled document up and all of a clean one down.
     """
     vocabulary: dict[str, int] = {}
-    word_of, sentence_of, document_of = [], [], []
+    word_of, sentence_of, document_of = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         for match in SENTENCE.finditer(text):
             found = {bare(w) for w in match.group().split()} - {""}
             if found:
                 ids = [vocabulary.setdefault(w, len(vocabulary)) for w in found]
-                word_of += ids
-                sentence_of += [len(document_of)] * len(ids)
+                word_of.extend(ids)
+                sentence_of.extend([len(document_of)] * len(ids))
                 document_of.append(d)
     weight, bias = np.zeros(FEATURES), START
     if not word_of or not (y == 1).any():
         return SentenceModel(weight.astype(np.float32), -30.0 if not (y == 1).any() else bias)
-    features = [word_features(w) for w in vocabulary]
-    owner = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    feature = np.concatenate([np.asarray(f) for f in features])
-    word_of, sentence_of, document_of = (np.asarray(v, np.int64) for v in (word_of, sentence_of, document_of))
+    feature, sizes = array("i"), array("i")
+    for w in vocabulary:
+        own = word_features(w)
+        feature.extend(own)
+        sizes.append(len(own))
+    feature, sizes, word_of, sentence_of, document_of = (
+        np.asarray(v) for v in (feature, sizes, word_of, sentence_of, document_of)
+    )
+    owner, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
     # Only features of several documents, so that none stands for a document; numbered by use.
-    pairs = np.unique(np.stack([document_of[sentence_of], word_of]), axis=1)
-    sizes = np.bincount(owner, minlength=len(features))
-    starts = np.cumsum(sizes) - sizes
-    of_pair = sizes[pairs[1]]
-    places = np.repeat(starts[pairs[1]] - (np.cumsum(of_pair) - of_pair), of_pair) + np.arange(of_pair.sum())
-    in_docs = np.unique(np.repeat(pairs[0], of_pair) * FEATURES + feature[places]) % FEATURES
-    common = np.bincount(in_docs, minlength=FEATURES) >= MIN_DOCS
+    in_docs = np.zeros(FEATURES, np.int64)
+    edges = np.searchsorted(document_of[sentence_of], np.arange(len(texts) + 1))
+    for low, high in zip(edges, edges[1:], strict=False):
+        own = np.unique(word_of[low:high])
+        many = sizes[own]
+        in_docs[np.unique(feature[np.repeat(starts[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())])] += 1
+    common = in_docs >= MIN_DOCS
     owner, feature = owner[common[feature]], feature[common[feature]]
     used, feature = np.unique(feature, return_inverse=True)
     w, m, v = np.zeros(len(used)), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
@@ -113,8 +119,8 @@ def fit(texts: list[str], y: np.ndarray, weights: np.ndarray, steps: int = STEPS
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Column | None = None) -> SentenceModel:
-    """Fit on a bounded sample of the labelled rows where `training` holds (see `labelled_sample`)."""
-    return fit(*labelled_sample(docs, labels, "toxic", F.lit(True) if training is None else training))
+    """Fit on a bounded sample of the labelled rows where `training` holds (see `fitted`)."""
+    return fitted(docs, labels, "toxic", F.lit(True) if training is None else training, fit)
 
 
 def sentence_scores(text: str, words: _WordScores, bias: float) -> list[tuple[int, int, float]]:
