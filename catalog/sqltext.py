@@ -199,7 +199,7 @@ def token_ctes(name: str, relation: str) -> list[tuple[str, str]]:
             f"{name}_e",
             "SELECT id, language, CASE WHEN language IN ('python', 'bash') "
             f"THEN chr(10) || {encoded('content')} || chr(10) ELSE {encoded('content')} END AS enc, "
-            "CASE WHEN language IN ('python', 'bash', 'html') THEN language ELSE 'slash' END AS fam "
+            "CASE WHEN language IN ('python', 'bash', 'html', 'rust') THEN language ELSE 'slash' END AS fam "
             f"FROM {relation} WHERE language IS NOT NULL",
         ),
         (f"{name}_r", f"SELECT id, language, fam, CASE fam {scans} END AS raw FROM {name}_e"),

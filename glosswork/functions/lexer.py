@@ -40,6 +40,9 @@ _WORD = r"""[^ \t\n\r\f"'#;&|()<>][^ \t\n\r\f"';&|()<>]*"""
 _OTHER = SHIFT + r"?[^ \t\n\r\f]"
 _SLASH_COMMENTS = r"//[^\n]*|/\*[\s\S]*?\*/"
 _HTML_COMMENT = r"<!--[\s\S]*?-->"
+_ATTRIBUTE = r"""="[^"\n]*"|='[^'\n]*'"""
+# Rust: a character, or a lifetime without a closing quote.
+_CHAR_OR_LIFETIME = r"'[^'\n]'|'\\[^'\n]*'|'[A-Za-z_][0-9A-Za-z_]*"
 
 # Alternatives begin with different characters, except quotes, slashes and the last; the most
 # frequent kind comes first.
@@ -47,9 +50,10 @@ PATTERNS = {
     "python": "|".join((_NAME, _BREAK, _TRIPLE, _DOUBLE, _SINGLE, _NUMBER, _OTHER)),
     "slash": "|".join((_NAME, _SLASH_COMMENTS, _DOUBLE, _SINGLE, _BACKTICK, _NUMBER, _OTHER)),
     "bash": "|".join((_WORD, _BREAK, _DOUBLE, r"'[^']*'", _OTHER)),
-    "html": "|".join((_NAME, _HTML_COMMENT, _NUMBER, _OTHER)),
+    "html": "|".join((_NAME, _HTML_COMMENT, _ATTRIBUTE, _NUMBER, _OTHER)),
+    "rust": "|".join((_NAME, _SLASH_COMMENTS, _DOUBLE, _CHAR_OR_LIFETIME, _NUMBER, _OTHER)),
 }
-FAMILIES = {"python": "python", "bash": "bash", "html": "html"}  # all others: slash
+FAMILIES = {"python": "python", "bash": "bash", "html": "html", "rust": "rust"}  # all others: slash
 LINE_FAMILIES = ("python", "bash")
 
 
@@ -82,7 +86,8 @@ def split_unclosed(c: Column, opening: str, closing: str) -> Column:
     """Break up comment openings behind the last closing, which cannot open a comment.
 
     Each of them would make the pattern search the rest of the text in vain, which is
-    quadratic in a text with many. The mark inside becomes a token that is dropped again.
+    quadratic in a text with many. The mark inside leaves the tokens again, also those of
+    strings, so that tokens do not depend on where the last closing stands.
     """
     tail = F.substring_index(c, closing, -1)
     head = F.substring(c, F.lit(1), F.length(c) - F.length(tail))
@@ -95,9 +100,6 @@ def token_text(content: Column, language: Column) -> Column:
     fam = family(language)
     source = encode(content)
 
-    def trimmed(opening: str, closing: str) -> Column:
-        return split_unclosed(F.ltrim(source, F.lit(" \t\r\n\f")), opening, closing)
-
     def scan(text: Column, name: str, blanks: str) -> Column:
         # Every character but blanks belongs to a token, so one replacement that swallows the
         # blanks behind each token leaves nothing but tokens; no array of tokens is built.
@@ -112,19 +114,26 @@ def token_text(content: Column, language: Column) -> Column:
         )
         return F.regexp_replace(last, rf"{SEPARATOR}{comment}([ \t]*)", rf"{SEPARATOR}" "\n$1")
 
-    def slash_scan() -> Column:
-        text = scan(trimmed("/*", "*/"), "slash", r" \t\r\n\f")
-        return F.regexp_replace(text, rf"{SEPARATOR}(?:/[/*][^{SEPARATOR}]*|{UNCLOSED})", "")
+    def trimmed(opening: str, closing: str) -> Column:
+        return split_unclosed(F.ltrim(source, F.lit(" \t\r\n\f")), opening, closing)
+
+    def code_only(text: Column, comment: str) -> Column:
+        mark = rf"{UNCLOSED}(?={SEPARATOR}|\z)"
+        bare = F.regexp_replace(text, rf"{SEPARATOR}(?:{comment}[^{SEPARATOR}]*|{mark})", "")
+        return F.replace(bare, F.lit(UNCLOSED), F.lit(""))
+
+    def slash_scan(name: str) -> Column:
+        return code_only(scan(trimmed("/*", "*/"), name, r" \t\r\n\f"), "/[/*]")
 
     def html_scan() -> Column:
-        text = scan(trimmed("<!--", "-->"), "html", r" \t\r\n\f")
-        return F.regexp_replace(text, rf"{SEPARATOR}(?:<!--[^{SEPARATOR}]*|{UNCLOSED})", "")
+        return code_only(scan(trimmed("<!--", "-->"), "html", r" \t\r\n\f"), "<!--")
 
     return (
         F.when(fam == "python", lines_scan("python"))
         .when(fam == "bash", lines_scan("bash"))
         .when(fam == "html", html_scan())
-        .when(fam == "slash", slash_scan())
+        .when(fam == "rust", slash_scan("rust"))
+        .when(fam == "slash", slash_scan("slash"))
     )
 
 

@@ -207,3 +207,20 @@ def test_tokens_describe_source_bytes(spark):
 def test_language_is_part_of_the_fingerprint(spark):
     got = fg.structural_fingerprints(frame(spark, [("a.c", "x"), ("a.go", "x"), ("a.txt", "x")])).collect()
     assert len({r.fingerprint for r in got}) == 3 and [r.fingerprint for r in got if r.path == "a.txt"] == [None]
+
+
+@pytest.mark.parametrize("path, code, comment", [
+    ("a.ts", 'a = "x/*";', "/* note */"), ("a.ts", 'a = "src/*.ts"; b = "*/";', "/* note */"),
+    ("a.ts", "a = `image/*`;", "/* note */"), ("a.html", '<p title="<!--">x</p>', "<!-- note -->"),
+    ("a.rs", "fn f<'a>(x: &'a str) {}", "// don't"), ("a.rs", "let c = '\\''; let d = 'x';", "// it's 'a"),
+])
+def test_comments_around_strings_that_hold_marks(spark, path, code, comment):
+    texts = [code, f"{comment}\n{code}", f"{code}\n{comment}\n", f"{comment}\n{code} {comment}"]
+    assert len(set(prints(spark, path, *texts))) == 1
+    assert len(set(prints(spark, path, code, f"{code}\ny"))) == 2
+
+
+def test_token_of_a_string_that_holds_an_opening(spark):
+    rows = [(r.kind, r.length, r.value_hash) for r in fg.tokenize_sources(frame(spark, [("a.ts", '"x/*"')])).collect()]
+    other = fg.tokenize_sources(frame(spark, [("a.ts", '"x/*" /* y */')])).collect()
+    assert rows[0][:2] == ("string", 5) and [r.value_hash for r in other] == [rows[0][2]]
