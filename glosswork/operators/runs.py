@@ -22,6 +22,7 @@ from glosswork.functions.replies import (
 )
 from glosswork.functions.text import let, py_splitlines, py_strip
 from glosswork.operators.steps import compute_once
+from glosswork.session import ship
 
 # Error texts of runs and replies.
 ERR_TIMEOUT = "[ERR] subprocess.TimeoutExpired: "
@@ -183,7 +184,7 @@ def extract_json_objects(payloads: DataFrame) -> DataFrame:
     )
 
 
-_QUOTE = re.compile(r'(\\*)"\s*')
+_QUOTE = re.compile(r'(?<!\\)(\\*)"\s*')  # a run of backslashes is scanned from its start only
 # What may follow a closing quote, and what precedes the opening quote of a key.
 _AFTER_STRING = frozenset(",]}")
 _BEFORE_KEY = frozenset("{,")
@@ -253,6 +254,7 @@ def repair_json_rows(json_texts: DataFrame) -> DataFrame:
     Texts the strict parser accepts never reach Python: the function gets NULL for them. One
     scan serves both kinds, where a filter and a union would read the runs twice.
     """
+    ship(json_texts.sparkSession)
     df = compute_once(json_texts, _parsed=v.strict_json(F.col("json_text")))
     df = df.withColumn(
         "_fixed", _repair(F.when(F.col("_parsed").isNull(), F.col("json_text")))

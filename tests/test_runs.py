@@ -1,6 +1,7 @@
 """Run logs: payloads, repair, validation, attempts, fix loops."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -252,3 +253,9 @@ def test_fix_status(spark):
     assert {r.path: r.status for r in got.collect()} == {
         "a": "resolved", "b": "to_fix", "c": "blocked", "d": "never_reviewed", "e": "never_reviewed",
     }
+
+
+def test_backslashes_are_scanned_once():
+    start = time.time()
+    assert ru.escape_inner_quotes("\\" * 400_000)
+    assert time.time() - start < 5
