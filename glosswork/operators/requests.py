@@ -22,6 +22,9 @@ from glosswork.operators.grouping import PART_BYTES, collect_in_parts
 from glosswork.operators.steps import compute_once
 
 
+ERR_REFERENCES = "the folder's references are too long for a request"
+
+
 def folder_references(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Reference documents of each folder: ``folder, part, parts, references`` (sorted)."""
     distinct = docs.select("folder", F.col("path").alias("reference")).distinct()
@@ -76,16 +79,17 @@ def build_context(files: DataFrame, diffs: DataFrame, context: str = "") -> Data
 
 
 def build_review_requests(
-    files: DataFrame, refs: DataFrame | None = None, context: Column | str = ""
+    files: DataFrame, refs: DataFrame | None = None, context: Column | str = "", part_bytes: int = PART_BYTES
 ) -> DataFrame:
     """One request per file: ``path``, the language columns, ``request`` and ``err``.
 
     ``refs`` are reference documents (``folder, path``); a ``context`` column of ``files``
     takes precedence over the argument. Files without code give an empty ``request.input``.
+    Where a folder's references exceed ``part_bytes``, there is an error instead of a request.
     """
     df = with_language(files)
     if refs is not None:
-        df = attach_references(df, refs)
+        df = attach_references(df, refs, part_bytes)
     elif "references" not in df.columns:
         df = df.withColumn("references", F.array().cast("array<string>"))
     if "context" not in df.columns:
@@ -104,13 +108,15 @@ def build_review_requests(
         F.col("context"),
         strip_newlines(code).alias("input"),
     )
-    df = compute_once(df, request=F.when(F.col("language").isNotNull(), request))
+    parts = F.col("reference_parts") if "reference_parts" in df.columns else F.lit(0)
+    too_long = parts > 1
+    df = compute_once(df, request=F.when(F.col("language").isNotNull() & ~too_long, request))
     return df.select(
         "path",
         *MARKER_COLUMNS,
         "request",
-        *([F.col("reference_parts")] if "reference_parts" in df.columns else []),
-        "err",
+        *([parts] if "reference_parts" in df.columns else []),
+        F.coalesce("err", F.when(too_long, ERR_REFERENCES)).alias("err"),
     )
 
 

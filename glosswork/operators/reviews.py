@@ -70,15 +70,18 @@ def submodule_rows(folders: DataFrame, reports: DataFrame) -> DataFrame:
 def project_reviews(file_reviews: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """File reviews per folder, direct children only: ``folder, part, parts, reviews MAP``.
 
-    A very large folder has several rows whose maps are disjoint.
+    A very large folder has several rows whose maps are disjoint. Of several reviews of one path
+    the greatest text counts.
     """
     known = file_reviews.filter(F.col("review").isNotNull()).select(
         parent_folder(F.col("path")).alias("folder"), "path", "review"
     )
     groups = collect_in_parts(known, ["folder"], ["path"], ["review"], part_bytes)
-    return groups.select(
-        "folder", "part", "parts", F.map_from_entries(F.array_distinct("items")).alias("reviews")
+    # Items are sorted by path and then review, and rows of one path share a part.
+    last = F.filter(
+        "items", lambda x, i: ~F.coalesce(F.get(F.col("items"), i + 1)["path"] == x["path"], F.lit(False))
     )
+    return groups.select("folder", "part", "parts", F.map_from_entries(last).alias("reviews"))
 
 
 def review_counts(file_reviews: DataFrame) -> DataFrame:

@@ -195,3 +195,17 @@ def test_clones(spark):
     assert len(one) == 1 and one[0].n == 50 and len(one[0].paths) == 50
     cut = fg.clone_groups(prints, part_bytes=200).collect()
     assert len(cut) > 1 and sorted(p for r in cut for p in r.paths) == one[0].paths and {r.n for r in cut} == {50}
+
+
+def test_repeated_paths_of_a_folder(spark):
+    rows = [("a/x.py", "old"), ("a/x.py", "zz new"), ("a/x.py", "zz new"), ("a/y.py", "r"), ("b/z.py", "r")]
+    got = {r.folder: r.reviews for r in rv.project_reviews(spark.createDataFrame(rows, "path string, review string")).collect()}
+    assert got == {"a": {"a/x.py": "zz new", "a/y.py": "r"}, "b": {"b/z.py": "r"}}
+
+
+def test_references_beyond_the_limit_are_an_error(spark):
+    docs = spark.createDataFrame([("a", f"a/{i}.md") for i in range(30)], "folder string, path string")
+    files = spark.createDataFrame([("a/x.py", "x = 1")], "path string, content string")
+    got = rq.build_review_requests(files, docs, part_bytes=200).collect()
+    assert [(r.request, r.err) for r in got] == [(None, rq.ERR_REFERENCES)]
+    assert rq.build_review_requests(files, docs).first().err is None
