@@ -102,6 +102,8 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a written table: shared where configured, else local to this machine."""
     shared = so.scratch_path(spark, name)
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return shared or f"{tempfile.mkdtemp(prefix='glosswork-')}/{name}-{uuid.uuid4().hex}"
 
 

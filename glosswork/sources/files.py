@@ -116,9 +116,11 @@ def stream_run_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_run_outputs(spark: SparkSession, folder: str) -> DataFrame:
-    """Recorded standard output, one file per run: ``request_id, stdout``."""
+    """Recorded standard output, one file per run: ``request_id`` (name without extension), ``stdout``."""
+    # File paths come percent-encoded; a plus sign stands for itself.
+    name = F.url_decode(F.replace(file_name(F.col("_metadata.file_path")), F.lit("+"), F.lit("%2B")))
     return spark.read.text(folder, wholetext=True).select(
-        F.regexp_replace(file_name(F.col("_metadata.file_path")), r"\.[^.]*$", "").alias("request_id"),
+        F.regexp_replace(name, r"\.[^.]*$", "").alias("request_id"),
         F.col("value").alias("stdout"),
     )
 
