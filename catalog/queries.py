@@ -21,6 +21,7 @@ from glosswork.operators import attempts as at
 from glosswork.operators import changes as ch
 from glosswork.operators import comments as co
 from glosswork.operators import fingerprint as fg
+from glosswork.operators import projects as pj
 from glosswork.operators import requests as rq
 from glosswork.operators import reviews as rv
 from glosswork.operators import runs as ru
@@ -908,6 +909,58 @@ def render_project_reports(spark: SparkSession, d: str) -> DataFrame:
     return _folder_reports(spark, d).select("folder", "report", "err")
 
 
+# Stored reports of folders with even documents; some name a language.
+_STORED_REPORT = (
+    "CASE WHEN folder LIKE '%m1' THEN concat('$lang: Deutsch now', chr(10), 'old') WHEN folder LIKE '%m2' THEN concat('$lang:  ', chr(10), 'x') "
+    "ELSE 'old' END"
+)
+_PROJECT_REQUESTS = [
+    *_SUBMODULES,
+    *_REQUESTS[:1],
+    ("own_reviews", f"SELECT {s.folder('path')} AS folder, path, review FROM reviews WHERE review IS NOT NULL"),
+    ("rv_lists", "SELECT folder, string_agg(path || '=' || review, chr(10) ORDER BY path) AS l FROM own_reviews GROUP BY folder"),
+    ("sub_lists", "SELECT folder, string_agg(report_path, ',' ORDER BY report_path) AS l FROM subs GROUP BY folder"),
+    (
+        "project_reqs",
+        "SELECT a.folder, coalesce(array_to_string(reference_list, '|'), '') AS refs, CASE WHEN a.folder LIKE '%m1' AND a.folder IN "
+        f"(SELECT {s.folder('path')} FROM src WHERE doc_id % 2 = 0) THEN 'Deutsch' ELSE 'English' END AS comment_language, "
+        "coalesce(r.l, '') AS reviews, coalesce(u.l, '') AS sub_module_reviews FROM all_folders a LEFT JOIN refs ON refs.folder = a.folder "
+        "LEFT JOIN rv_lists r ON r.folder = a.folder LEFT JOIN sub_lists u ON u.folder = a.folder",
+    ),
+]
+
+
+def _project_requests(spark: SparkSession, d: str) -> DataFrame:
+    stored = _reports(spark, d).withColumn("report", F.expr(_STORED_REPORT))
+    return pj.build_project_requests(_folders(spark, d), reviews(spark, d), stored, docs(spark, d), "ctx")
+
+
+@register(query(
+    "SELECT folder, refs, comment_language, sha256(reviews) AS digest, sub_module_reviews FROM project_reqs", *_PROJECT_REQUESTS
+))
+def build_project_requests(spark: SparkSession, d: str) -> DataFrame:
+    r = F.col("request")
+    listed = F.transform(
+        F.array_sort(F.map_entries(r["reviews"])), lambda e: F.concat(e["key"], F.lit("="), e["value"])
+    )
+    return _project_requests(spark, d).select(
+        "folder", F.array_join(r["references"], "|").alias("refs"), r["comment_language"].alias("comment_language"),
+        F.sha2(F.array_join(listed, "\n"), 256).alias("digest"), F.array_join(r["sub_module_reviews"], ",").alias("sub_module_reviews"),
+    )
+
+
+@register(query(
+    "SELECT folder, replace(report, '$lang: English', '$lang: ' || comment_language) AS report, err FROM reports JOIN project_reqs USING (folder)",
+    *_REPORTS, *_PROJECT_REQUESTS[len(_SUBMODULES):],
+))
+def review_folders(spark: SparkSession, d: str) -> DataFrame:
+    runs = _folders(spark, d).select(
+        F.col("folder").alias("request_id"), F.lit(1).alias("attempt"), F.lit("claude").alias("provider"), F.lit(0).alias("returncode"),
+        F.to_json(F.struct(F.lit("result").alias("type"), F.expr(_REPLY_JSON).alias("result"))).alias("stdout"),
+    )
+    return flows.review_folders(_project_requests(spark, d), runs, AI, TS).select("folder", "report", "err")
+
+
 @register(query("SELECT folder, report FROM reports WHERE err IS NULL", *_REPORTS))
 def write_project_reports(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "reports")

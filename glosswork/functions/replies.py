@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glosswork.functions.text import let, py_strip
-from glosswork.functions.variants import field, strict_json, text_of
+from glosswork.functions.variants import field, lenient_json, text_of
 
 # The fence around a JSON reply, and the markers of an agent message event.
 FENCE_OPEN = "```json"
@@ -59,5 +59,5 @@ def agent_message(line: Column) -> Column:
         )
         return F.coalesce(current, legacy)
 
-    parsed = F.when(may_be_message(line), strict_json(py_strip(line)))
+    parsed = F.when(may_be_message(line), lenient_json(py_strip(line)))
     return let(let(parsed, message), unfenced)

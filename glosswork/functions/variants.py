@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from glosswork.functions.text import let
 
-# A private-use character that marks the end of the input while parsing.
+# A private-use character that marks the end of the input while parsing; a text that holds it
+# is followed by its own hash instead.
 _END = "\ue0ff"
+# The next bare NaN or infinity, with all strings and other characters before it. The loops are
+# possessive: linear, and without recursion on long texts.
+_NEXT_BARE = r'(?s)\G((?:[^"NI-]++|"(?:[^"\\]++|\\.)*+"|-(?!Infinity))*+)-?(?:NaN|Infinity)'
 
 
 def strict_json(c: Column) -> Column:
@@ -17,16 +21,26 @@ def strict_json(c: Column) -> Column:
     ``try_parse_json`` alone stops after the first value and ignores the rest of the text.
     Parsing the text as the first of two list items makes any rest a syntax error.
     """
-    return let(
-        F.when(
-            ~F.contains(c, F.lit(_END)),
-            F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{_END}"]'))),
-        ),
-        lambda v: F.when(
-            F.try_variant_get(v, "$[1]", "string") == _END,
-            F.try_variant_get(v, "$[0]", "variant"),
-        ),
-    )
+    mark = F.when(F.contains(c, F.lit(_END)), F.sha2(c, 256)).otherwise(_END)
+
+    def parsed(m: Column) -> Column:
+        return let(
+            F.try_parse_json(F.concat(F.lit("["), c, F.lit(',"'), m, F.lit('"]'))),
+            lambda v: F.when(
+                F.try_variant_get(v, "$[1]", "string") == m,
+                F.try_variant_get(v, "$[0]", "variant"),
+            ),
+        )
+
+    return let(mark, parsed)
+
+
+def lenient_json(c: Column) -> Column:
+    """``strict_json`` that also reads NaN and infinities outside strings, as null."""
+    plain = F.when(
+        F.rlike(c, F.lit("NaN|Infinity")), F.regexp_replace(c, _NEXT_BARE, "$1null")
+    ).otherwise(c)
+    return let(plain, strict_json)
 
 
 def field(v: Column, name: str) -> Column:

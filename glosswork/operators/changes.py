@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from glosswork.functions.paths import parent_folder
 from glosswork.functions.text import py_splitlines
-from glosswork.operators.fingerprint import structural_fingerprints
+from glosswork.operators.comments import with_language
+from glosswork.operators.fingerprint import fingerprint
+from glosswork.operators.steps import compute_once
 
 
 def _sides(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -25,51 +27,60 @@ def _on_side(is_new: bool, value: Column) -> Column:
     return F.max(F.when(F.col("_new") == is_new, value))
 
 
+def _changes(per_path: DataFrame, *more: Column) -> DataFrame:
+    """Changed paths of rows with the digests of both sides."""
+    changed = F.col("_after").isNotNull() & ~F.col("_before").eqNullSafe(F.col("_after"))
+    change = F.when(F.col("_before").isNull(), "added").otherwise("modified").alias("change")
+    return per_path.filter(changed).select("path", change, *more)
+
+
+def _digests() -> list[Column]:
+    return [_on_side(False, F.col("_digest")).alias("_before"), _on_side(True, F.col("_digest")).alias("_after")]
+
+
 def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
     """``path, change``: ``modified`` or ``added``; deletions are left out.
 
     One pre-aggregated shuffle of paths and content hashes; the contents do not move.
     """
     digests = _sides(old, new).select("path", "_new", F.sha2("content", 256).alias("_digest"))
-    per_path = digests.groupBy("path").agg(
-        _on_side(False, F.col("_digest")).alias("_before"),
-        _on_side(True, F.col("_digest")).alias("_after"),
-    )
-    return per_path.filter(
-        F.col("_after").isNotNull() & ~F.col("_before").eqNullSafe(F.col("_after"))
-    ).select("path", F.when(F.col("_before").isNull(), "added").otherwise("modified").alias("change"))
+    return _changes(digests.groupBy("path").agg(*_digests()))
 
 
 def snapshot_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """``path, change, kind`` of new and modified files.
 
     ``kind`` of a modified file is ``comment_only`` or ``logic``, ``unknown`` without a
-    language; NULL for added files. Only modified files are tokenized.
+    language; NULL for added files. Each snapshot is read once; hashes and fingerprints are
+    taken there and meet in one pre-aggregated shuffle, which the contents do not enter.
     """
-    changes = changed_files(old, new)
-    modified = changes.filter(F.col("change") == "modified").select("path")
-    texts = _sides(old, new).join(modified, "path", "left_semi")
-    # Languages are joined in before the union is split by side again.
-    prints = structural_fingerprints_of(texts)
-    kinds = prints.groupBy("path").agg(
-        F.when(F.max("language").isNull(), "unknown")
-        .when(F.min("fingerprint") == F.max("fingerprint"), "comment_only")
+    sides = compute_once(
+        with_language(_sides(old, new)),
+        _digest=F.sha2("content", 256),
+        _print=fingerprint(F.col("content"), F.col("language")),
+    ).select("path", "_new", "language", "_digest", "_print")
+    per_path = sides.groupBy("path").agg(
+        *_digests(),
+        F.max("language").alias("_language"),
+        F.min("_print").alias("_least"),
+        F.max("_print").alias("_most"),
+    )
+    kind = (
+        F.when(F.col("_before").isNull(), None)
+        .when(F.col("_language").isNull(), "unknown")
+        .when(F.col("_least") == F.col("_most"), "comment_only")
         .otherwise("logic")
-        .alias("kind")
     )
-    return changes.join(kinds, "path", "left")
-
-
-def structural_fingerprints_of(texts: DataFrame) -> DataFrame:
-    return structural_fingerprints(texts).select("path", "language", "fingerprint")
+    return _changes(per_path, kind.alias("kind"))
 
 
-def line_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+def line_changes(old: DataFrame, new: DataFrame, changed: DataFrame | None = None) -> DataFrame:
     """Lines added to or removed from changed files, as multisets: ``path, line, side, n``.
 
-    Lines count +1 in the new and -1 in the old snapshot; one pre-aggregated shuffle.
+    Lines count +1 in the new and -1 in the old snapshot; one pre-aggregated shuffle. ``changed``
+    names the changed paths where the caller has them already.
     """
-    changed = changed_files(old, new).select("path")
+    changed = (changed_files(old, new) if changed is None else changed).select("path")
     lines = (
         _sides(old, new)
         .join(changed, "path", "left_semi")

@@ -22,7 +22,7 @@ from glosswork.functions.replies import (
 )
 from glosswork.functions.text import let, py_splitlines, py_strip
 from glosswork.operators.steps import compute_once
-from glosswork.session import ship
+from glosswork.session import accept_repeated_keys, ship
 
 # Error texts of runs and replies.
 ERR_TIMEOUT = "[ERR] subprocess.TimeoutExpired: "
@@ -112,7 +112,7 @@ def result_object_payload(stdout: Column) -> Column:
             F.when(err.isNull(), unfenced(result)).alias("payload"), err.alias("err")
         )
 
-    return let(v.strict_json(stdout), find)
+    return let(v.lenient_json(stdout), find)
 
 
 # How each provider's standard output is read; add an entry for another provider.
@@ -126,6 +126,7 @@ DIRECT_JSON = ("codex",)
 
 def extract_run_payload(ai_runs: DataFrame) -> DataFrame:
     """Add ``payload``, ``err`` and ``used_fallback`` (fence searched in the whole output)."""
+    accept_repeated_keys(ai_runs.sparkSession)
     df = ai_runs if "err" in ai_runs.columns else classify_runs(ai_runs)
     none = F.struct(
         F.lit(None).cast("string").alias("payload"),
@@ -173,7 +174,7 @@ def extract_json_objects(payloads: DataFrame) -> DataFrame:
         _json=F.when(
             F.col("_text").isNotNull(),
             F.when(
-                direct & (in_braces | v.strict_json(F.col("_text")).isNotNull()), whole
+                direct & (in_braces | v.lenient_json(F.col("_text")).isNotNull()), whole
             ).otherwise(braces(F.col("_text"))),
         ),
     )
@@ -362,6 +363,7 @@ def first_agent_message(run_events: DataFrame) -> DataFrame:
     Messages are found before the shuffle and pre-aggregated, so one row per run and input
     partition moves, also for a run that holds most events.
     """
+    accept_repeated_keys(run_events.sparkSession)
     messages = compute_once(
         run_events.filter(may_be_message(F.col("line"))), text=agent_message(F.col("line"))
     )

@@ -21,6 +21,15 @@ RECOMMENDED = {
 }
 
 
+# Lets JSON objects repeat a key, of which the last counts, as Python reads them.
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
+def accept_repeated_keys(spark: SparkSession) -> None:
+    """Called by the jobs that read run output and event lines, whatever the session's settings."""
+    spark.conf.set(REPEATED_KEYS, "true")
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the recommended settings to a running session."""
     for key, value in RECOMMENDED.items():

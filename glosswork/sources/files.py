@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from glosswork.functions.paths import file_name, parent_folder
 from glosswork.functions.text import is_blank
-from glosswork.functions.variants import is_object, strict_json
+from glosswork.functions.variants import is_object, lenient_json
 from glosswork.languages import LANGUAGES, Language, known_extensions
 from glosswork.operators.comments import filter_reviewable
+from glosswork.session import accept_repeated_keys
 
 # Layout of an event log: one line of a run's output per record.
 EVENT_SCHEMA = "request_id string, seq bigint, ts timestamp, line string"
@@ -101,8 +102,9 @@ def scan_reference_docs(spark: SparkSession, folder: str, recursive: bool = Fals
 
 def run_events(lines: DataFrame) -> DataFrame:
     """Keep the lines of an event log that are JSON objects."""
+    accept_repeated_keys(lines.sparkSession)
     line = F.col("line")
-    return lines.filter(~is_blank(line) & is_object(strict_json(line)))
+    return lines.filter(~is_blank(line) & is_object(lenient_json(line)))
 
 
 def scan_run_events(spark: SparkSession, path: str) -> DataFrame:

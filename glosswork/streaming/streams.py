@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glosswork.functions.replies import agent_message, may_be_message
 from glosswork.operators.comments import extract_reviews, filter_reviewable
 from glosswork.operators.steps import compute_once
+from glosswork.session import accept_repeated_keys
 
 
 def stream_extract_reviews(files: DataFrame) -> DataFrame:
@@ -25,6 +26,7 @@ def stream_first_agent_message(
     a longer one splits the run. Without ``gap``, results are updated as events arrive (update
     or complete mode), with one row of state per run.
     """
+    accept_repeated_keys(run_events.sparkSession)
     messages = compute_once(
         run_events.filter(may_be_message(F.col("line"))), text=agent_message(F.col("line"))
     )

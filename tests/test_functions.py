@@ -193,3 +193,12 @@ def test_registry(spark):
         check_registry((*LANGUAGES, Language("other", (".PY",))))
     with pytest.raises(ValueError, match="Language go"):
         check_registry((*LANGUAGES, Language("go", (".x",))))
+
+
+def test_lenient_json(evaluate):
+    texts = ['{"a":NaN,"b":"NaN \\" -Infinity"}', "[-Infinity,Infinity]", "-NaN", "NaN", '{"a":"NaN}', '{"a":"\ue0ff"}', "NaN" * 3, None]
+    assert evaluate(texts, F.to_json(v.lenient_json(V))) == [
+        '{"a":null,"b":"NaN \\" -Infinity"}', "[null,null]", None, "null", None, '{"a":"\ue0ff"}', None, None,
+    ]
+    long = '{"a":"' + "x\\n" * 200_000 + '","b":[' + "NaN," * 20_000 + "1]}"
+    assert evaluate([long], v.lenient_json(V).isNotNull()) == [True]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from glosswork.operators import changes as ch
 from glosswork.operators import fingerprint as fg
+from glosswork.operators import projects as pj
 from glosswork.operators import requests as rq
 from glosswork.operators import reviews as rv
 from glosswork.operators.grouping import collect_in_parts
@@ -209,3 +210,29 @@ def test_references_beyond_the_limit_are_an_error(spark):
     got = rq.build_review_requests(files, docs, part_bytes=200).collect()
     assert [(r.request, r.err) for r in got] == [(None, rq.ERR_REFERENCES)]
     assert rq.build_review_requests(files, docs).first().err is None
+
+
+def test_snapshots_meet_in_one_shuffle_without_texts(spark, tmp_path):
+    for side in ("old", "new"):
+        snapshot(spark, a_py="x", b_py=side).write.parquet(str(tmp_path / side))
+    old, new = (spark.read.parquet(str(tmp_path / side)) for side in ("old", "new"))
+    plan = ch.snapshot_changes(old, new)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 1
+    assert "content" not in plan.split("Exchange hashpartitioning")[0]
+
+
+def test_project_requests(spark):
+    folders = spark.createDataFrame([("p",), ("p/q",), ("p/.h",), ("p",)], "folder string")
+    given = spark.createDataFrame([("p/a.py", "ra"), ("p/b.py", None), ("p/q/c.py", "rc")], "path string, review string")
+    stored = spark.createDataFrame([("p", "$lang: Deutsch x\nold"), ("p/q", "old"), ("p/.h", "old")], "folder string, report string")
+    refs = spark.createDataFrame([("p", "p/N.md")], "folder string, path string")
+    got = {r.folder: r for r in pj.build_project_requests(folders, given, stored, refs, "ctx").collect()}
+    assert got["p"].request.asDict() == {
+        "path": "p", "references": ["p/N.md"], "comment_language": "Deutsch", "prior_review": "", "context": "ctx",
+        "reviews": {"p/a.py": "ra"}, "sub_module_reviews": ["p/q/.REVIEW.md"],
+    }
+    assert got["p/q"].request.reviews == {"p/q/c.py": "rc"} and got["p/q"].request.references == []
+    assert got["p/.h"].request.reviews == {} and got["p/.h"].request.comment_language == "English" and len(got) == 3
+    many = spark.createDataFrame([(f"p/{i}.py", "r" * 50) for i in range(30)], "path string, review string")
+    cut = {r.folder: r for r in pj.build_project_requests(folders, many, stored, part_bytes=500).collect()}
+    assert cut["p"].request is None and cut["p"].err == pj.ERR_LISTS and cut["p/q"].err is None

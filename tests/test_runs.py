@@ -259,3 +259,14 @@ def test_backslashes_are_scanned_once():
     start = time.time()
     assert ru.escape_inner_quotes("\\" * 400_000)
     assert time.time() - start < 5
+
+
+def test_output_with_repeated_keys_and_nan(spark):
+    claude = ['{"result":"x","cost":NaN,"result":"{}"}', '{"result":NaN}', "NaN", '{"result":"\ue0ff"}']
+    assert by_id(ru.extract_run_payload(runs(spark, *claude, provider="claude")), "payload", "err") == [
+        ("{}", None), (None, ru.ERR_NO_RESULT), (None, ru.ERR_STDOUT_KIND), ("\ue0ff", None),
+    ]
+    line = '{"type":"x","type":"item.completed","cost":NaN,"item":{"type":"agent_message","text":"hi"}}'
+    assert by_id(ru.extract_run_payload(runs(spark, line)), "payload", "err") == [("hi", None)]
+    events = spark.createDataFrame([("r", 1, line)], "request_id string, seq long, line string")
+    assert ru.first_agent_message(events).first().text == "hi"
