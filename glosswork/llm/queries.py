@@ -41,7 +41,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(table(spark, sf_dir, "documents"), path=F.col("source"))
 
 
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,6 +212,29 @@ def test_secrets(odd, empty):
     assert secrets.scan(odd).where("secret").count() == 0
 
 
+def test_secrets_of_every_form(spark):
+    key, block = "Ab3/" * 400, "-----BEGIN RSA PRIVATE KEY-----\nMIIEow\nIBAA\n-----END RSA PRIVATE KEY-----"
+    values = {1: key, 2: "p@ss!w0rd#2024", 3: "correcthorsebatterystaple", 4: "hunter2x", 5: block, 6: 'a b\\"c9!', 7: "x9=y8==z7"}
+    before = {1: "see ", 2: "password: ", 3: 'token = "', 4: "passwd=", 5: "x ", 6: 'secret => "', 7: "api_key: '"}
+    after = {3: '"', 6: '"', 7: "'"}
+    pad = "é" * 300 + " "
+    rows = [(i, pad + before[i] + v + after.get(i, "") + " then") for i, v in values.items()]
+    rows += [(100 + i, f'password = "{i * 7919:x}k!{i * 104729:x}" and {"some plain words " * 20} commit {i * 15485863:x}') for i in range(40)]
+    rows += [(200 + i, f'secret: "{w * 3}" in words') for i, w in enumerate(["zorble", "quaxon", "mifrey", "plonkt"] * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    found = {i: set() for i in texts}
+    for r in secrets.findings(docs).collect():
+        assert texts[r.doc_id][r.start : r.end] == r.value
+        found[r.doc_id].add(r.value)
+    assert all(v in found[i] for i, v in values.items())
+    got = secrets.scan(docs).collect()
+    assert len(got) == len({(r.doc_id, r.start, r.end) for r in got})
+    secret = {(r.doc_id, texts[r.doc_id][r.start : r.end]) for r in got if r.secret}
+    assert all((i, values[i]) in secret for i in (2, 3, 5))
+    assert not {"some", "plain", "words", "and", "in"} & {v for _, v in secret}
+
+
 def test_topk(spark):
     vectors = [
         (0, [1.0, 2.0]), (50, [0.5, -1.0]), (1, [1.0, 2.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]),
