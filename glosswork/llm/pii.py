@@ -26,8 +26,11 @@ IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}$"
 
 # Wider forms that may hold personal data.
 NUMBERS = r"(?<![0-9A-Za-z_])[(+]?[0-9](?:[\x20().\-/]{0,2}[0-9])++"
+GROUP = r"[(+]{0,2}+[0-9]++(?:[\x20).\-/]|\((?![0-9]))*+"  # one group of digits of such a run, with its marks
 AT = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}+(?: ?[(\[]dot[)\]] ?|\.)[A-Za-z]{2,24}+"
 
+CHAIN = 7  # neighbouring digit groups of a phone or card number within a longer run
+MOST = 24  # digits of a run that is a candidate itself
 CONTEXT = 40  # characters before a span that context labelers read
 SURE = 0.9  # probability from which the classifier adds a span
 # Fixed word lists of the context labelers and gazetteers.
@@ -173,10 +176,32 @@ def features(value: Column, before: Column) -> Column:
     return F.array(*[F.concat(F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit("-"))) for k, v in values.items()])
 
 
+def _cut(m: Column) -> Column:
+    """Candidates of a run of numbers: the run itself up to MOST digits and, from 14 digits, chains of its digit groups.
+
+    All chains of up to CHAIN neighbouring whole groups with 7 to 19 digits are taken, whatever the run's length.
+    """
+    digits = F.length(_digits(m["value"]))
+
+    def chains(groups: Column) -> Column:
+        def of(g: Column, i: Column) -> Column:
+            def joined(k: Column) -> Column:
+                value = F.regexp_replace(F.array_join(F.transform(F.slice(groups, i + 1, k), lambda e: e["value"]), ""), "[^0-9]+$", "")
+                return F.struct((m["start"] + g["start"]).alias("start"), (m["start"] + g["start"] + F.length(value)).alias("end"), value.alias("value"))
+
+            return F.transform(F.sequence(F.lit(1), F.least(F.lit(CHAIN), F.size(groups) - i)), joined)
+
+        made = F.flatten(F.transform(groups, of))
+        return F.filter(made, lambda c: F.length(_digits(c["value"])).between(7, 19) & ~((c["start"] == m["start"]) & (c["end"] == m["end"])))
+
+    cut = F.when(digits >= 14, _let(matches(m["value"], GROUP), chains)).otherwise(F.slice(F.array(m), 1, 0))
+    return F.concat(F.when(digits.between(7, MOST), F.array(m)).otherwise(F.slice(F.array(m), 1, 0)), cut)
+
+
 def candidates(text: Column) -> Column:
     """Spans of the wider forms with their votes and features."""
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    numbers = F.filter(matches(text, NUMBERS), lambda m: F.length(_digits(m["value"])).between(7, 24))
+    numbers = F.flatten(F.transform(matches(text, NUMBERS), _cut))
     hidden = F.when(text.rlike(r"[(\[]at[)\]]"), matches(text, AT)).otherwise(none)
     emails = F.when(F.contains(text, F.lit("@")), matches(text, EMAIL)).otherwise(none)
 

@@ -143,6 +143,22 @@ def test_pii_finds_hidden_forms(spark):
     assert all(found[300 + i] == "" for i in range(60))
 
 
+def test_pii_cuts_runs_of_numbers(spark):
+    rows = [
+        (1, "212-555-0147 212-555-0148 212-555-0149"), (2, "4111 1111 1111 1111 212-555-0147"),
+        (3, "(212) 555-0147 (212) 555-0148"), (4, "212-555-0147"), (5, " ".join(f"212-555-01{i:02d}" for i in range(100))),
+    ]
+    texts = dict(rows)
+    found = {i: set() for i in texts}
+    for r in pii.annotated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        for c in r["__candidates"]:
+            found[r.doc_id].add(texts[r.doc_id][c["start"] : c["end"]])
+    assert {"212-555-0147", "212-555-0148", "212-555-0149"} <= found[1]
+    assert {"4111 1111 1111 1111", "212-555-0147"} <= found[2]
+    assert {"(212) 555-0147", "(212) 555-0148"} <= found[3] and found[4] == {"212-555-0147"}
+    assert {f"212-555-01{i:02d}" for i in range(100)} <= found[5]
+
+
 def test_near_duplicates(odd, empty):
     assert neardup.near_duplicates(empty).count() == 0
     rows = neardup.near_duplicates(odd).collect()
