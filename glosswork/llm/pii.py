@@ -168,8 +168,12 @@ def features(value: Column, before: Column) -> Column:
         F.when(low.rlike(NOT_PERSONAL), F.lit("other")).otherwise(F.lit("-")),
     )
     shape = F.substring(F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), "[A-Za-z]+", "a"), 1, 20)
+
+    def hashed(v: Column, n: int) -> Column:  # free forms are hashed to n values
+        return F.pmod(F.xxhash64(v), F.lit(n))
+
     values = {
-        "digits": F.least(F.length(digits), F.lit(24)), "marks": F.substring(marks, 1, 6), "near": near, "shape": shape,
+        "digits": F.least(F.length(digits), F.lit(24)), "marks": hashed(marks, 64), "near": near, "shape": hashed(shape, 256),
         "plus": value.startswith("+"), "luhn": _luhn(digits), "issuer": digits.rlike(ISSUERS),
         "country": value.rlike(COUNTRY_CODES), "ip": value.rlike(IP_PARTS), "domain": value.rlike(DOMAINS),
     }
@@ -253,25 +257,20 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 40) -> t
 def fit(spans: DataFrame) -> SpanModel:
     """Weigh the labelers and train the classifier on all candidate spans (votes, features).
 
-    Spans are counted by their votes and features. Both have few values, by construction, so the
-    table that reaches the driver does not grow with the corpus.
+    Spark sums each feature by vote pattern. Labelers have few votes and features a few hundred values, by
+    construction, so the sums that reach the driver do not grow with the corpus.
     """
-    rows = spans.groupBy("votes", "features").agg(F.count("*").alias("n")).collect()
-    rows.sort(key=lambda r: (r["votes"], r["features"]))
-    patterns: dict[tuple[int, ...], int] = {}
-    for r in rows:
-        patterns[tuple(r["votes"])] = patterns.get(tuple(r["votes"]), 0) + r["n"]
-    listed = list(patterns.items())
+    each = F.explode(F.concat(F.array(F.lit("")), F.col("features"))).alias("feature")  # '' counts the span itself
+    rows = spans.select("votes", each).groupBy("votes", "feature").agg(F.count("*").alias("n")).collect()
+    rows.sort(key=lambda r: (r["votes"], r["feature"]))
+    listed = [(tuple(r["votes"]), r["n"]) for r in rows if not r["feature"]]
     posterior, table = estimate(listed)
     of = {votes: p for (votes, _), p in zip(listed, posterior, strict=True)}
-    mass = [1.0] * len(CLASSES)
+    mass = [1.0 + sum(of[votes][c] * n for votes, n in listed) for c in range(len(CLASSES))]
     sums: dict[str, list[float]] = {}
     for r in rows:
-        p = of[tuple(r["votes"])]
-        for c in range(len(CLASSES)):
-            mass[c] += p[c] * r["n"]
-        for f in r["features"]:
-            row = sums.setdefault(f, [0.5] * len(CLASSES))
+        if r["feature"]:
+            row, p = sums.setdefault(r["feature"], [0.5] * len(CLASSES)), of[tuple(r["votes"])]
             for c in range(len(CLASSES)):
                 row[c] += p[c] * r["n"]
     total = sum(mass)

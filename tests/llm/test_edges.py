@@ -159,6 +159,15 @@ def test_pii_cuts_runs_of_numbers(spark):
     assert {f"212-555-01{i:02d}" for i in range(100)} <= found[5]
 
 
+def test_pii_features_are_bounded(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(str(rng.integers(10)) + "-./ "[rng.integers(4)] for _ in range(9)) + "1 xx" for _ in range(20)) for _ in range(100)]
+    found = pii.annotated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    model = pii.fit(pii._votes(found))
+    assert sum(f.startswith("shape=") for f in model.terms) <= 256
+    assert sum(f.startswith("marks=") for f in model.terms) <= 64
+
+
 def test_near_duplicates(odd, empty):
     assert neardup.near_duplicates(empty).count() == 0
     rows = neardup.near_duplicates(odd).collect()
