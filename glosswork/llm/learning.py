@@ -28,8 +28,9 @@ def fitted(
 ) -> Any:
     """What `fit` makes of the texts, labels (0 or 1) and weights of a sample of the labelled rows where `training` holds.
 
-    At most `per_class` documents of each label, the first by a hash of doc_id, and of those at
-    most `max_chars` characters, are brought to one task, which fits the model. Weights give each
+    At most `per_class` documents of each label, the first by a hash of doc_id, with one text each
+    (the least), are brought to one task, which fits the model; where the texts of a label exceed
+    half of `max_chars` characters, its longest ones are left out. Weights give each
     label the share that it has among all training labels. Labels that are null or neither 0 nor 1
     and documents without text take no part; of repeated labels of a document the largest counts.
     Without any labelled document the model is fitted on none.
@@ -47,10 +48,12 @@ def fitted(
     texts = docs.select("doc_id", F.col("text").cast("string").alias("__text")).join(
         F.broadcast(picked.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id")
     ).where("__text is not null")
-    running = Window.orderBy(order, "doc_id", "__text")
+    # One text of each document, reduced before the shuffle. Shorter ones come first: an over-long text takes nothing from them.
+    texts = texts.groupBy("doc_id", "__label").agg(F.min("__text").alias("__text"))
+    running = Window.partitionBy("__label").orderBy(F.length("__text"), order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = (
         texts.withColumn("__sum", F.sum(F.length("__text")).over(running))
-        .where(F.col("__sum") <= max_chars).select("__text", "__label")
+        .where(F.col("__sum") <= max_chars // 2).select("__text", "__label")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

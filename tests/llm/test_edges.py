@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from llm.test_brute import base, figures, links
 
 import corpus_pipeline
-from glosswork.llm import common, hostrules, mixing, neardup, packing, pii, quality, secrets, sharding, topk, toxicity
+from glosswork.llm import common, hostrules, learning, mixing, neardup, packing, pii, quality, secrets, sharding, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score double, size long"
 LONG = "word " * 40_000 + "a" * 60_000 + " 1" * 30_000 + "9" * 50_000 + " x@y" + ".z" * 20_000
@@ -214,6 +214,14 @@ def test_classifiers(odd, empty, labels):
     assert toxicity.drop_toxic(odd, toxicity.train(odd, labels)).columns == odd.columns
 
 
+def test_long_texts_leave_the_others_in_the_sample(spark):
+    rows = [(i, "x" * (1000 if i % 2 else 5) if i < 8 else f"text {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows + [(9, "text 9")] * 3, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    fit = learning.fitted(docs, marks, "toxic", F.lit(True), lambda texts, y, w: (sorted(texts), y.tolist()), max_chars=600)
+    assert fit[0] == sorted(t for _, t in rows if len(t) < 1000) and set(fit[1]) == {0, 1}
+
+
 def test_toxic_sentences_are_found():
     rng = np.random.default_rng(0)
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
