@@ -189,14 +189,17 @@ def _cut(m: Column) -> Column:
 
     def chains(groups: Column) -> Column:
         def of(g: Column, i: Column) -> Column:
-            def joined(k: Column) -> Column:
-                value = F.regexp_replace(F.array_join(F.transform(F.slice(groups, i + 1, k), lambda e: e["value"]), ""), "[^0-9]+$", "")
-                return F.struct((m["start"] + g["start"]).alias("start"), (m["start"] + g["start"] + F.length(value)).alias("end"), value.alias("value"))
+            # Members are read by place: a slice would copy the whole array.
+            def joined(k: int) -> Column:
+                members = [F.coalesce(F.get(groups, i + j)["value"], F.lit("")) for j in range(k)]
+                value = F.regexp_replace(F.concat(*members), "[^0-9]+$", "")
+                start = m["start"] + g["start"]
+                return F.when(i + k <= F.size(groups), F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value")))
 
-            return F.transform(F.sequence(F.lit(1), F.least(F.lit(CHAIN), F.size(groups) - i)), joined)
+            return F.array(*[joined(k) for k in range(1, CHAIN + 1)])
 
         made = F.flatten(F.transform(groups, of))
-        return F.filter(made, lambda c: F.length(_digits(c["value"])).between(7, 19) & ~((c["start"] == m["start"]) & (c["end"] == m["end"])))
+        return F.filter(made, lambda c: c.isNotNull() & F.length(_digits(c["value"])).between(7, 19) & ~((c["start"] == m["start"]) & (c["end"] == m["end"])))
 
     cut = F.when(digits >= 14, _let(matches(m["value"], GROUP), chains)).otherwise(F.slice(F.array(m), 1, 0))
     return F.concat(F.when(digits.between(7, MOST), F.array(m)).otherwise(F.slice(F.array(m), 1, 0)), cut)
