@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import hostrules, mixing, neardup, packing, pii, quality, secrets, sharding, topk, toxicity
+from glosswork.llm import (
+    hostrules, mixing, neardup, packing, periodic, pii, quality, secrets, sharding, topk, toxicity,
+)
 from glosswork.llm.common import table
 
 SHARDS = 40
@@ -68,11 +70,28 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic.find_runs(docs, periodic.with_planted_repeats(F.col("text").cast("string"), F.col("doc_id")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    best = periodic.strongest(F.col("runs"))
+    named = found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+    return named.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        "runs_sha256", "collapsed_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_topk, op2_toxicity, op3_mixing, op4_pii, op5_minhash, op6_secrets, op7_host_rules, op8_packing,
-        op9_sharding, op10_quality,
+        op9_sharding, op10_quality, op11_periodic_runs,
     )
 }
 
