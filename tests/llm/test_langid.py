@@ -24,8 +24,8 @@ def plain_scores(words, training):
     """Mean frequency scores by the definition, over the whole vocabulary."""
     counts, grams = {}, {}
     for lang, text in training:
-        for w in langid.words_of(text):
-            counts.setdefault(lang, {})[w] = counts.get(lang, {}).get(w, 0) + 1
+        for w, n in langid.words_of(text).items():
+            counts.setdefault(lang, {})[w] = counts.get(lang, {}).get(w, 0) + n
     for lang, known in counts.items():
         for w in known:
             for k in langid.ORDERS:
@@ -38,7 +38,7 @@ def plain_scores(words, training):
     out = {}
     for lang in counts:
         total = 0.0
-        for w in words:
+        for w in [w for w, n in words.items() for _ in range(n)]:
             if any(w in c for c in counts.values()):
                 total += freq(counts[lang], w)
                 continue
@@ -62,14 +62,17 @@ def model(spark):
     return langid.train(rows, F.col("lang"), F.col("text"))
 
 
-def test_scores_by_definition(model):
+@pytest.mark.parametrize("unseen", [1, 3, 1000])
+def test_scores_by_definition(model, monkeypatch, unseen):
+    monkeypatch.setattr(langid, "UNSEEN", unseen)
     assert model.languages == ["en", "fr", "de"]
-    for text in ["the hund", "katzen und vögel", "chienne", "qqq", "dogs sang der été", "zzz the zzz"]:
+    for text in ["the hund", "katzen und vögel", "chienne", "qqq", "dogs sang der été", "zzz the zzz", "a é b the catdog hunde Katz 漢 漢字"]:
         expected = plain_scores(langid.words_of(text), TRAINING)
-        total = sum(model.word_scores(w) for w in langid.words_of(text))
-        assert {x: pytest.approx(expected[x]) for x in model.languages} == dict(zip(model.languages, total, strict=True))
-        lang, score = langid.Scorer(model).predict(text)
-        assert lang == min(model.languages, key=lambda x: round(expected[x], 9)) and 0 < score <= 1
+        total = model.scores([{}, langid.words_of(text)])[1]
+        assert {x: pytest.approx(expected[x], rel=1e-5) for x in model.languages} == dict(zip(model.languages, total, strict=True))
+        (lang, score), none = model.predict([text, None])
+        assert none == ("und", 0.0)
+        assert lang == min(model.languages, key=lambda x: round(expected[x], 5)) and 0 < score <= 1
 
 
 def test_edges(spark, tmp_path):
@@ -107,3 +110,12 @@ def test_vocabulary_bound(spark):
     kept = langid.most_frequent(counts, ["lang"], 7).collect()
     assert sorted(r.item for r in kept if r.lang == "a") == sorted(f"w{i}" for i in range(24, 30))
     assert {r.item for r in kept if r.lang != "a"} == {"x", "y", "z"}
+
+
+def test_words_are_runs_of_letters():
+    """Counting tokens first gives the same words as a search for runs of letters."""
+    for text in ["Ab ab, a-b x1y été's\u00a0İx ½ 漢字" + "z" * 70, "", "1 2 _ a_b", "\x1fa\x85b"]:
+        expected = {}
+        for w in langid._WORD.findall(text.lower()):
+            expected[w] = expected.get(w, 0) + 1
+        assert langid.words_of(text) == expected
