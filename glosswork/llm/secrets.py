@@ -17,9 +17,11 @@ from glosswork.llm.common import settled
 from glosswork.llm.pii import _let, matches
 from glosswork.operators.steps import compute_once
 
-# Candidates: every unbroken run of the characters that keys are made of, whatever its length; the whole
-# value, of any characters, that is assigned to a key word; and private key blocks.
-RUN = r"[A-Za-z0-9+/=_-]++"
+# Candidates by shape, of every length: a run of the characters that keys are made of with a letter and a digit, a
+# capital behind a small letter, or a mark between letters or digits; the whole value, of any characters, that
+# is assigned to a key word; and private key blocks. Plain words and plain numbers elsewhere are none.
+_SHAPES = r"(?=[A-Za-z+/=_-]*+[0-9])(?=[0-9+/=_-]*+[A-Za-z])|(?=[A-Z0-9+/=_-]*+(?:[a-z]++[0-9+/=_-]*+)*+[A-Z])|(?=[A-Za-z0-9]++[+/=_-]++[A-Za-z0-9])"
+RUN = rf"(?<![A-Za-z0-9+/=_-])(?:{_SHAPES})[A-Za-z0-9+/=_-]++"
 CONTEXT = 32  # characters looked at on either side
 # Fixed lists: words near credentials, words of ordinary names, and forms with a known issuer.
 KEY_WORDS = r"passw(?:or)?d|passwd|secret|token|api[_-]?key|credential|auth|bearer|private"
@@ -168,30 +170,13 @@ def _label(f: Callable[[str], Column]) -> Column:
 
 
 def labelled(rows: DataFrame) -> DataFrame:
-    """Label the findings that leave no doubt: of a known issuer or assigned to a key word (1), or plain words (0)."""
+    """Label the findings that leave no doubt: of a known issuer or assigned to a key word (1), or far from both (0)."""
     return rows.withColumn("label", _label(lambda k: F.col("features")[k])).where("label is not null")
 
 
 _KIND = "CASE WHEN label = 1 THEN 1 WHEN value RLIKE '^[A-Za-z]?[a-z]*$' THEN 2 ELSE 3 END"  # plain words are a kind of their own
 
 
-def _taught(places: DataFrame, chars: int) -> DataFrame:
-    """Of the findings that leave no doubt, all true ones and a sample of the others, with their features.
-
-    Words of a text with `chars` characters in all are about a fifth of these; false findings with a small hash are
-    kept, several times as many as the forest takes, and features are computed for the kept ones only.
-    """
-    columns = _columns(*[F.col(c) for c in CONTEXTS])
-    known = compute_once(places, label=_label(columns.__getitem__)).where("label is not null")
-    known = compute_once(known, __kind=F.expr(_KIND))
-
-    def below(times: int) -> Column:
-        return F.xxhash64("value", "doc_id", "start") <= min(2**63 - 1, int(-(2**63) + 2**64 * times * MAX_TRAINING / max(chars / 5, 1)))
-
-    kept = known.where(F.when(F.col("__kind") == 1, True).when(F.col("__kind") == 2, below(4)).otherwise(below(40)))
-    return _featured(settled(kept), "label")
-
-
 def train(rows: DataFrame, seed: int = 3) -> PipelineModel | None:
     """A forest on at most MAX_TRAINING labelled findings (value, features, label) of each kind; None without both classes."""
     order = F.xxhash64("value", "doc_id", "start")
@@ -215,15 +200,12 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, path: Column | None =
     classes only forms of a known issuer score 1. Ties and repeated rows are treated alike; an
     empty table gives an empty one; other columns are ignored.
     """
-    places = located(docs, path)
-    # Candidates are as many as words: they are found again for scoring and not written in between.
-    if labels is None:
-        chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0]
-        labels = _taught(places, chars or 0)
-    model = train(labels)
+    # Candidates are few by their shape, so they are written once, with their features, for training and scoring.
+    found = settled(findings(docs, path))
+    model = train(labelled(found) if labels is None else labels)
     if model is None:
-        scored = places.withColumn("score", F.col("issued").cast("double"))
+        scored = found.withColumn("score", F.col("issued").cast("double"))
     else:
-        wide = _featured(places).select("doc_id", "start", "end", "issued", "features.*")
+        wide = found.select("doc_id", "start", "end", "issued", "features.*")
         scored = model.transform(wide).withColumn("score", vector_to_array("probability")[1])
     return scored.select("doc_id", "start", "end", "issued", "score", (F.col("score") >= threshold).alias("secret"))
