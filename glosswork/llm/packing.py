@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import prepared, settled
+from glosswork.llm.common import numbered, prepared, settled
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -36,7 +36,8 @@ class WordIds(dict):
             return b""
         text = word.decode("utf-8", "replace")
         stem = text.rstrip(".,")
-        if stem and len(stem) < len(text) and stem[-1].isalpha():  # letters end where the marks begin
+        # Letters end where the marks begin; other scripts may gain combining marks when they are normalized.
+        if text.isascii() and stem and len(stem) < len(text) and stem[-1].isalpha():
             ids = self[stem.encode()] + self[text[len(stem):].encode()]
         else:
             ids = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -165,20 +166,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PI
 
     Pieces that fill a sequence take one each. The others are dealt at random into partitions of
     about `part_pieces`, packed there by best-fit decreasing, and each partition's bins are held
-    against a lower bound. Partitions above their bound swap documents in pairs, dealt anew, and
-    are packed again; a pair keeps the new packing if it needs fewer bins. A piece longer than
+    against a lower bound. Partitions above their bound swap documents in pairs, by their rank in a new order in each
+    round, the last of an odd number with a certified partition, and are packed again; a pair keeps the
+    new packing if it needs fewer bins. Gaps that are left after `rounds` show in `certificates`. Only lengths are
+    packed: token ids in a column `ids` are joined to their places afterwards. A piece longer than
     the capacity is an error. An empty table gives an empty one.
     """
     prepared(pieces.sparkSession)
     columns = pieces.columns
-    pieces = settled(pieces)
+    carried = ["__row", *[c for c in columns if c != "ids"]]
+    pieces = settled(pieces.withColumn("__row", F.monotonically_increasing_id()))
     n = pieces.where(F.col("length") < capacity).count()
     parts = max(1, -(-n // part_pieces))
     names = ["__part", "__bin", "__offset", "__gap"]
-    schema = pieces.limit(0).withColumns({
-        "__part": F.lit(0).cast("long"), "__bin": F.lit(0).cast("long"),
-        "__offset": F.lit(0).cast("long"), "__gap": F.lit(0).cast("long"),
-    }).schema
+    schema = pieces.limit(0).select(*carried, *[F.lit(0).cast("long").alias(x) for x in names]).schema
 
     def fit(pdf: pd.DataFrame, part: int) -> pd.DataFrame:
         lengths = pdf["length"].to_numpy(np.int64)
@@ -189,7 +190,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PI
         return pdf.assign(__part=part, __bin=bin_of, __offset=offset, __gap=gap)
 
     def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return fit(pdf.sort_values(["length", *[c for c in ("doc_id", "piece") if c in columns]]), int(key[0]))[columns + names]
+        return fit(pdf.sort_values(["length", "__row"]), int(key[0]))[carried + names]
 
     def again(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop(columns="__group").sort_values(["__part", "__bin", "__offset"])
@@ -203,28 +204,58 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PI
         alone = whole["__bin"].nunique()
         if min(swapped, alone) < before:
             pdf = whole if alone <= swapped else pd.concat(made)
-        return pdf[columns + names]
+        return pdf[carried + names]
 
     # By the place in the written table, so that repeated rows spread too.
-    dealt = pieces.where(F.col("length") != capacity).withColumn(
-        "__part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))
+    dealt = pieces.where(F.col("length") != capacity).select(*carried).withColumn(
+        "__part", F.pmod(F.xxhash64("__row"), F.lit(parts))
     )
     packed = settled(dealt.groupBy("__part").applyInPandas(first, schema))
     for k in range(rounds):
-        gapped = packed.where("__gap > 0").select("__part").distinct().count()
-        if gapped < 2:
+        states = settled(packed.select("__part", "__gap").distinct())
+        gapped = states.where("__gap > 0").select("__part")
+        n_gapped = gapped.count()
+        certified = states.where("__gap <= 0").orderBy("__part").select("__part").first() if n_gapped % 2 else None
+        if not n_gapped or (n_gapped == 1 and certified is None):
             break
-        keep = packed.where("__gap <= 0")
-        group = F.pmod(F.xxhash64("__part", F.lit(k)), F.lit(-(-gapped // 2)))
-        redone = packed.where("__gap > 0").withColumn("__group", group).groupBy("__group").applyInPandas(again, schema)
-        packed = settled(keep.unionByName(redone))
+        ranked = numbered(gapped, F.xxhash64("__part", F.lit(k)), F.col("__part"), name="__group")
+        pairs = ranked.select("__part", F.floor(F.col("__group") / 2).cast("long").alias("__group"))
+        if certified is not None:
+            partner = gapped.sparkSession.range(1).select(
+                F.lit(certified["__part"]).cast("long").alias("__part"), F.lit(n_gapped // 2).cast("long").alias("__group")
+            )
+            pairs = pairs.unionByName(partner)
+        pairs = settled(pairs)
+        redone = packed.join(pairs, "__part").select(*packed.columns, "__group").groupBy("__group").applyInPandas(again, schema)
+        packed = settled(packed.join(pairs, "__part", "left_anti").select(*packed.columns).unionByName(redone))
     full = pieces.where(F.col("length") == capacity).select(
-        "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        *columns, (-1 - F.col("__row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     rest = packed.select(
-        *columns, (F.shiftleft(F.col("__part"), 40) + F.col("__bin")).alias("sequence_id"), F.col("__offset").alias("offset")
+        *carried, (F.shiftleft(F.col("__part"), 40) + F.col("__bin")).alias("sequence_id"), F.col("__offset").alias("offset")
     )
-    return full.unionByName(rest)
+    if "ids" in columns:
+        rest = rest.join(pieces.select("__row", "ids"), "__row")
+    return full.unionByName(rest.select(*full.columns))
+
+
+def certificates(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """part, bins, bound and certified of each partition of a packing: its sequences, and how few its pieces could need.
+
+    Full pieces need none. Only counts of lengths meet.
+    """
+    part = F.shiftright("sequence_id", 40)
+    rows = packed.where("sequence_id >= 0").select(part.alias("part"), "sequence_id", "length")
+    bins = rows.groupBy("part").agg(F.countDistinct("sequence_id").alias("bins"))
+    counts = rows.groupBy("part", "length").agg(F.count("*").alias("n"))
+
+    def bound(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        lengths = np.repeat(pdf["length"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64))
+        return pd.DataFrame({"part": [key[0]], "bound": [bins_needed(lengths, capacity)]})
+
+    prepared(packed.sparkSession)
+    bounds = counts.groupBy("part").applyInPandas(bound, "part long, bound long")
+    return bins.join(bounds, "part").select("part", "bins", "bound", (F.col("bins") == F.col("bound")).alias("certified"))
 
 
 def best_fit_packing(
