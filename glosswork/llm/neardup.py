@@ -90,8 +90,13 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
-    """doc_id, n_shingles, digest of the shingle set, and its registers as one long for each band."""
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def signatures(docs: DataFrame, size: int = 2, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, digest of the shingle set, its registers as one long for each band, and the carried columns."""
+    n = len(carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,19 +104,22 @@ def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
             for text in batch.column(1):
                 shingles = shingle_set(text.as_py(), size)
                 counts.append(len(shingles))
-                digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+                digests.append(_digest(shingles))
                 bands.append(registers(shingles).view(np.int64))
             offsets = np.arange(len(bands) + 1, dtype=np.int32) * BANDS
             values = np.concatenate(bands) if bands else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                ["doc_id", "n_shingles", "digest", "bands"],
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), *batch.columns[2 : 2 + n]],
+                ["doc_id", "n_shingles", "digest", "bands", *carried],
             )
 
     prepared(docs.sparkSession)
-    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return light.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    light = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *carried
+    )
+    more = "".join(f", {c} {light.schema[c].dataType.simpleString()}" for c in carried)
+    return light.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>" + more)
 
 
 def estimated(a: Column, b: Column) -> Column:
@@ -152,14 +160,14 @@ def _likely(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
     return joined.where(F.col("__e.jaccard") >= at - error).select("a", "b")
 
 
-def _sets(docs: DataFrame, named: DataFrame, size: int) -> DataFrame:
-    """`id` and shingle set of the documents whose ids `named` (column id) lists.
+def _sets(docs: DataFrame, named: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """`id` and shingle set of the classes that `named` (column id) lists, read from one document of each.
 
-    Documents are pre-selected by a bit for each hashed id, in a table of fixed size; whatever
-    else passes it falls out of the join. Texts are not shuffled.
+    Documents are pre-selected by a bit for each hashed doc_id, in a table of fixed size; whatever
+    else passes it, and other texts under the same doc_id, fall out of the join. Texts are not shuffled.
     """
-    named = settled(named.distinct())
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+    named = settled(named.distinct().join(classes.select("id", "doc_id", "digest"), "id"))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
     words = named.select(
         F.shiftright(bit, 5).cast("int").alias("w"),
         F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int")).alias("m"),
@@ -175,17 +183,19 @@ def _sets(docs: DataFrame, named: DataFrame, size: int) -> DataFrame:
             place = batch.column(1).to_numpy()
             hit = np.flatnonzero((table[place >> 5] >> (place & 31).astype(np.uint32)) & np.uint32(1))
             texts = batch.column(2)
-            values = [shingle_set(texts[int(i)].as_py(), size).tobytes() for i in hit]
+            values = [shingle_set(texts[int(i)].as_py(), size) for i in hit]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(hit)), pa.array(values, pa.binary())], ["id", "shingles"]
+                [batch.column(0).take(pa.array(hit)), pa.array([_digest(v) for v in values], pa.binary()),
+                 pa.array([v.tobytes() for v in values], pa.binary())],
+                ["doc_id", "digest", "shingles"],
             )
 
     light = docs.where("doc_id is not null").select(
-        F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").cast("binary").alias("text")
-    ).select("id", bit.alias("bit"), "text")
-    found = light.mapInArrow(sets, "id long, shingles binary")
-    # Repeated rows of an id count once.
-    return settled(found.join(named, "id", "left_semi").dropDuplicates(["id"]))
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")
+    ).select("doc_id", bit.alias("bit"), "text")
+    found = light.mapInArrow(sets, "doc_id long, digest binary, shingles binary")
+    # Repeated rows of a document count once.
+    return settled(found.join(named, ["doc_id", "digest"]).select("id", "shingles").dropDuplicates(["id"]))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -285,8 +295,8 @@ def _crossing(members: DataFrame, similar: int) -> DataFrame:
     return pairs.where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 2, similar: int = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, for every row of `docs`.
+def near_duplicates(docs: DataFrame, size: int = 2, similar: int = SIMILAR, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept and component, for every row of `docs`.
 
     Two documents are linked if the intersection of their shingle sets is at least `similar`
     percent of the union. Documents of one set are one class. Classes that share a band of
@@ -297,14 +307,16 @@ def near_duplicates(docs: DataFrame, size: int = 2, similar: int = SIMILAR) -> D
     compared in blocks inside tasks, which hand out links only, one for each component at most.
 
     Null and empty texts have no shingles and are linked with nothing. Rows without a doc_id take
-    no part: their component_id is null and they are kept. Repeated rows of a doc_id get equal
-    results. An empty table gives an empty one. Other columns are ignored.
+    no part: their component_id is null and they are kept. Rows of one doc_id with one set are one document;
+    with different sets they are documents of their own, whose components may both bear that id. `component` numbers the
+    components without regard to ids (null: takes no part). An empty table gives an empty one.
+    Columns in `carried` come along; others are ignored.
     """
-    light = settled(signatures(docs, size))
+    light = settled(signatures(docs, size, carried))
     taking = light.where("doc_id is not null and n_shingles > 0")
     classes = settled(taking.groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
-    ))
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+    ).withColumn("id", F.monotonically_increasing_id()))
     rows = classes.select("id", "n", F.posexplode("bands").alias("band", "value")).where("value <> -1").select(
         F.xxhash64("band", "value").alias("key"), "id", "n"
     )
@@ -315,7 +327,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, similar: int = SIMILAR) -> D
         shares.groupBy("id").agg(F.max_by("center", F.struct(F.col("m"), -F.col("center"))).alias("b"))
         .select(F.col("id").alias("a"), "b")
     )
-    links = _verified(stars, _sets(docs, _ends(stars), size), similar)
+    links = _verified(stars, _sets(docs, _ends(stars), classes, size), similar)
     found = components(links)
 
     labelled = settled(members.join(found.select(F.col("id").alias("__id"), "component"), F.col("id") == F.col("__id"), "left").select(
@@ -329,15 +341,19 @@ def near_duplicates(docs: DataFrame, size: int = 2, similar: int = SIMILAR) -> D
     # Pairs of the first round that are still apart were found unlike.
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     likely = settled(_likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, similar))
-    sets = _sets(docs, _ends(likely).union(crowded.select("id")), size)
+    sets = _sets(docs, _ends(likely).union(crowded.select("id")), classes, size)
     more = _verified(likely, sets, similar).union(_crowded_links(crowded, sets, similar))
-    final = components(links.union(more))
-    class_of = settled(classes.join(final.select(F.col("id").alias("__id"), "component"), F.col("id") == F.col("__id"), "left").select(
-        F.col("digest").alias("__digest"), F.coalesce("component", "id").alias("component")
+    final = settled(components(links.union(more)).join(classes.select("id", "doc_id"), "id"))
+    least = final.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = final.join(least, "component").select(F.col("id").alias("__id"), "component", "component_id")
+    class_of = settled(classes.join(linked, F.col("id") == F.col("__id"), "left").select(
+        F.col("digest").alias("__digest"), F.coalesce("component", "id").alias("component"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
     ))
-    light = light.select("doc_id", "n_shingles", "digest")
+    light = light.select("doc_id", "n_shingles", "digest", *carried)
     joined = light.join(class_of, F.col("digest") == F.col("__digest"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
+    takes_part = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return joined.select(
-        "doc_id", "n_shingles", component.alias("component_id"),
+        "doc_id", "n_shingles", F.when(takes_part, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(takes_part, F.col("component")).alias("component"), *carried,
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
