@@ -212,15 +212,32 @@ def candidates(text: Column) -> Column:
     hidden = F.when(text.rlike(r"[(\[]at[)\]]"), matches(text, AT)).otherwise(none)
     emails = F.when(F.contains(text, F.lit("@")), matches(text, EMAIL)).otherwise(none)
 
-    def described(m: Column) -> Column:
-        from_at = F.greatest(m["start"] - CONTEXT, F.lit(0).cast("long"))
-        before = F.substring(text, (from_at + 1).cast("int"), (m["start"] - from_at).cast("int"))
-        return _let(before, lambda b: F.struct(
-            m["start"].alias("start"), m["end"].alias("end"),
-            F.array(*labelers(m["value"], b)).alias("votes"), features(m["value"], b).alias("features"),
-        ))
+    def described(blocks: Column):
+        def block(i: Column) -> Column:
+            return F.coalesce(F.get(blocks, i), F.lit(""))
+
+        def of(m: Column) -> Column:
+            # Cut from blocks of the text, so that the cost does not grow with its length.
+            i, past = F.floor(m["start"] / CONTEXT).cast("int"), (m["start"] % CONTEXT).cast("int")
+            before = F.when(i == 0, F.substring(block(i), F.lit(1), past)).otherwise(
+                F.substring(F.concat(block(i - 1), block(i)), past + 1, F.lit(CONTEXT))
+            )
+            return _let(before, lambda b: F.struct(
+                m["start"].alias("start"), m["end"].alias("end"),
+                F.array(*labelers(m["value"], b)).alias("votes"), features(m["value"], b).alias("features"),
+                F.length(_digits(m["value"])).alias("digits"),
+            ))
+
+        return of
+
+    # Most texts have no candidates and are not cut into blocks.
+    return _let(F.concat(numbers, hidden, emails), lambda spans: _let(
+        F.when(F.size(spans) > 0, _blocks(text, CONTEXT)), lambda blocks: F.transform(spans, described(blocks))
+    ))
+
 
-    return F.transform(F.concat(numbers, hidden, emails), described)
+def _blocks(text: Column, size: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
 @dataclass
@@ -310,18 +327,48 @@ def annotated(docs: DataFrame) -> DataFrame:
 
 
 def all_spans(model: SpanModel, sure: float = SURE) -> Column:
-    """The base spans, and the candidates that touch none of them and that the classifier is sure of; sorted."""
-    free = F.filter(
-        "__candidates", lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    )
+    """The base spans, and candidates that the classifier is sure of and that touch no base span and not each other; sorted.
+
+    A card has 13 to 19 digits and a phone number 7 to 15, whatever its surroundings say. One sweep by start: of candidates
+    that overlap, the more probable one stays, then the longer, then the earlier.
+    """
     judged = F.transform(
-        free, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), classified(model, c["features"]).alias("m"))
+        "__candidates", lambda c: F.struct(
+            c["start"].alias("start"), c["end"].alias("end"), c["digits"].alias("digits"), classified(model, c["features"]).alias("m")
+        )
     )
-    added = F.transform(
-        F.filter(judged, lambda j: (j["m"]["class"] > 0) & (j["m"]["probability"] >= sure)),
-        lambda j: F.struct(j["start"].alias("start"), (j["m"]["class"] - 1).alias("kind"), j["end"].alias("end")),
+    sure_ones = F.filter(judged, lambda j: (j["m"]["class"] > 0) & (j["m"]["probability"] >= sure) & F.when(
+        j["m"]["class"] == CLASSES.index("card"), j["digits"].between(13, 19)
+    ).when(j["m"]["class"] == CLASSES.index("phone"), j["digits"].between(7, 15)).otherwise(True))
+    span = "struct<start:bigint,base:boolean,end:bigint,kind:int,p:double>"
+    added = F.transform(sure_ones, lambda j: F.struct(
+        j["start"], F.lit(False), j["end"], (j["m"]["class"] - 1), j["m"]["probability"]
+    ).cast(span))
+    base = F.transform("__base", lambda s: F.struct(s["start"], F.lit(False), s["end"], s["kind"], F.lit(2.0)).cast(span))
+
+    def step(acc: Column, s: Column) -> Column:
+        last, is_base = acc["last"], s["p"] > 1
+        apart = last.isNull() | (s["start"] >= last["end"])
+        better = (s["p"] > last["p"]) | ((s["p"] == last["p"]) & (s["end"] - s["start"] > last["end"] - last["start"]))
+        covered = ~is_base & (s["start"] < acc["base_end"])
+        out = F.when(~covered & apart & last.isNotNull(), F.concat(acc["out"], F.array(last))).otherwise(acc["out"])
+        # A base span ends the waiting candidate: taken if it is apart, dropped if they touch.
+        waiting = F.when(covered, last).when(is_base, F.lit(None)).when(apart | better, s).otherwise(last)
+        return F.struct(
+            waiting.cast(span).alias("last"), out.alias("out"),
+            F.when(is_base, F.greatest(acc["base_end"], s["end"])).otherwise(acc["base_end"]).alias("base_end"),
+        )
+
+    start = F.struct(
+        F.lit(None).cast(span).alias("last"), F.array().cast(f"array<{span}>").alias("out"), F.lit(0).cast("long").alias("base_end")
+    )
+    swept = F.reduce(F.array_sort(F.concat(added, base)), start, step, lambda acc: F.concat(acc["out"], F.filter(
+        F.array(acc["last"]), lambda s: s.isNotNull()
+    )))
+    chosen = F.transform(swept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return F.when(F.size(sure_ones) == 0, F.array_distinct("__base")).otherwise(
+        F.array_sort(F.array_distinct(F.concat("__base", chosen)))
     )
-    return F.array_sort(F.array_distinct(F.concat("__base", added)))
 
 
 def _votes(rows: DataFrame) -> DataFrame:
@@ -353,20 +400,33 @@ def span_text(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """`text` with each span replaced by its kind in brackets; of overlapping spans the text they cover goes once."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    # Text from the furthest end so far up to each span's start, then its mark.
-    folded = F.reduce(
-        spans,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(
-                F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.get(names, s["kind"])
-            ))).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    return F.when(F.size(spans) > 0, _let(folded, lambda f: F.concat(
-        F.array_join(f["out"], ""), F.substring(text, (f["at"] + 1).cast("int"), F.length(text))
-    ))).otherwise(text)
+    size = 256
+
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        # Characters a to b, cut from blocks, so that the cost does not grow with what precedes them.
+        i, j = F.floor(a / size).cast("int"), F.floor(b / size).cast("int")
+        first, last = F.coalesce(F.get(blocks, i), F.lit("")), F.coalesce(F.get(blocks, j), F.lit(""))
+        past = (a % size).cast("int") + 1
+        return F.when(i == j, F.substring(first, past, (b - a).cast("int"))).otherwise(F.concat(
+            F.substring(first, past, F.lit(size)), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""),
+            F.substring(last, F.lit(1), (b % size).cast("int")),
+        ))
+
+    def folded(blocks: Column) -> Column:
+        # Text from the furthest end so far up to each span's start, then its mark.
+        made = F.reduce(
+            spans,
+            F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
+            lambda acc, s: F.struct(
+                F.greatest(acc["at"], s["end"]).alias("at"),
+                F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(
+                    piece(blocks, acc["at"], s["start"]), F.get(names, s["kind"])
+                ))).otherwise(acc["out"]).alias("out"),
+            ),
+        )
+        return _let(made, lambda f: F.concat(F.array_join(f["out"], ""), piece(blocks, f["at"], F.length(text).cast("long"))))
+
+    return F.when(F.size(spans) > 0, _let(_blocks(text, size), folded)).otherwise(text)
 
 
 def redact(docs: DataFrame, sure: float = SURE) -> DataFrame:
