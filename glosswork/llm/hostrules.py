@@ -67,7 +67,8 @@ def text_figures(text: bytes | None) -> tuple[int, int, int, int, int]:
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     """Empirical beta prior of failure rates by moments over all hosts (`n`, `fails`), each weighing its documents.
 
-    Without spread between hosts, or with none, the prior is the total rate with weight 1.
+    The less the hosts differ beyond chance, the heavier the prior, up to the weight of all documents,
+    which it has where they do not differ at all; without any host it is (1/2, 1/2).
     """
     total = hosts.agg(F.sum("n").alias("n"), F.sum("fails").alias("f"), F.count("*").alias("hosts")).first()
     if not total["n"]:
@@ -78,9 +79,7 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     noise = mean * (1 - mean)
     room = n - spread["n2"] / n  # what the variance between hosts is multiplied by
     between = (spread["s"] - (k - 1) * noise) / room if room > 0 else 0.0
-    if not 0 < between < noise:
-        return max(mean, 1e-6), max(1 - mean, 1e-6)
-    weight = noise / between - 1
+    weight = float(n) if between <= 0 else min(max(noise / between - 1, 1.0), float(n))
     return max(mean * weight, 1e-6), max((1 - mean) * weight, 1e-6)
 
 
