@@ -29,7 +29,7 @@ def fitted(
     """What `fit` makes of the texts, labels (0 or 1) and weights of a sample of the labelled rows where `training` holds.
 
     At most `per_class` documents of each label, the first by a hash of doc_id, with one text each
-    (the least), are brought to one task, which fits the model; where the texts of a label exceed
+    (the shortest), are brought to one task, which fits the model; where the texts of a label exceed
     half of `max_chars` characters, its longest ones are left out. Weights give each
     label the share that it has among all training labels. Labels that are null or neither 0 nor 1
     and documents without text take no part; of repeated labels of a document the largest counts.
@@ -44,17 +44,21 @@ def fitted(
     order = F.xxhash64("doc_id")
     chosen = [known.where(F.col("__label") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     picked = chosen[0].union(chosen[1])
-    # At most 2 * per_class short rows are broadcast.
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("__text")).join(
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("__text")).where("__text is not null")
+    shape = F.struct(F.length("__text").alias("chars"), F.xxhash64("__text").alias("hash"))
+    # At most 2 * per_class short rows are broadcast; texts stay where they are until their lengths have been added up.
+    sizes = texts.select("doc_id", shape.alias("__shape")).join(
         F.broadcast(picked.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id")
-    ).where("__text is not null")
-    # One text of each document, reduced before the shuffle. Shorter ones come first: an over-long text takes nothing from them.
-    texts = texts.groupBy("doc_id", "__label").agg(F.min("__text").alias("__text"))
-    running = Window.partitionBy("__label").orderBy(F.length("__text"), order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = (
-        texts.withColumn("__sum", F.sum(F.length("__text")).over(running))
-        .where(F.col("__sum") <= max_chars // 2).select("__text", "__label")
+    ).groupBy("doc_id", "__label").agg(F.min("__shape").alias("__shape"))
+    # Shorter ones come first: an over-long text takes nothing from them.
+    running = Window.partitionBy("__label").orderBy("__shape.chars", order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    taken = sizes.withColumn("__sum", F.sum("__shape.chars").over(running)).where(F.col("__sum") <= max_chars // 2).select(
+        F.col("doc_id").alias("__id"), "__label", "__shape"
     )
+    # One text of each document, reduced before the shuffle.
+    rows = texts.join(F.broadcast(taken), (F.col("doc_id") == F.col("__id")) & (shape == F.col("__shape"))).groupBy(
+        "doc_id", "__label"
+    ).agg(F.min("__text").alias("__text")).select("__text", "__label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: list[str] = []
