@@ -76,11 +76,12 @@ def numbered(df: DataFrame, *order: Column, name: str = "row_number") -> DataFra
     """Rows with their place, from 0, in the given order over the whole table.
 
     The rows are dealt by range and sorted there; only the number of rows of each partition is
-    brought together. Rows equal in every order key may take either place.
+    brought together. Rows equal in every order key may take either place; a random last key
+    deals them over several partitions.
     """
     pid = F.spark_partition_id()
     ranged = (
-        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        df.repartitionByRange(*order, F.rand(7)).sortWithinPartitions(*order)
         .withColumns({"__pid": pid, "__at": F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)})
     )
     ranged = settled(ranged)
