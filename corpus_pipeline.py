@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswork.llm import mixing, neardup, packing, pii, toxicity
-from glosswork.llm.common import shared_folder, table
+from glosswork.llm.common import settled, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,12 +17,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: shingles of five words, similarity 0.8. Rows without doc_id stay."""
-    judged = neardup.near_duplicates(docs, size=5, similar=80)
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    rest = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    # Repeated rows of one doc_id are copies too.
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null"))
+    """One document of each group of near-duplicates: shingles of five words, similarity 0.8.
+
+    Rows without doc_id stay. Rows of one doc_id are one document only where their texts are equal.
+    """
+    named = docs.withColumn("__text", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+    judged = settled(neardup.near_duplicates(named, size=5, similar=80, carried=("__text",)))
+    # Where the group's first doc_id has several texts in the group, one of them stays.
+    first = judged.where("kept and component is not null").groupBy("component").agg(
+        F.min("__text").alias("__least"), F.max("__text").alias("__most")
+    ).where("__least <> __most")
+    others = judged.where("kept").join(first, "component").where("__text <> __least")
+    gone = judged.where("not kept").select("doc_id", "__text").union(others.select("doc_id", "__text")).distinct()
+    rest = named.join(gone, ["doc_id", "__text"], "left_anti")
+    # Repeated rows are copies too.
+    once = rest.where("doc_id is not null").dropDuplicates(["doc_id", "__text"])
+    return once.unionByName(rest.where("doc_id is null")).select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
