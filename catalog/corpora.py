@@ -35,16 +35,69 @@ def sql_steps(relation: str, steps: list[list[str]], where: str | None = None) -
     return sql
 
 
+# Lines of code that a scanner without state reads wrongly, by file extension: literals that hold
+# comment marks, comments that hold quotes. The second text has literals in marks and no comments.
+MARKS = ("\ue001", "\ue002")
+PLANTED = {
+    ".py": ("f(a, # it's\n  b)", "f(a,    b)"),
+    ".PY": ("f(a, # it's\n  b)", "f(a,    b)"),
+    ".ts": ("r = /[/*]/g; // it's", "r = «/[/*]/g»;"),
+    ".java": ('s = """\n // x "y"\n""";', 's = «"""\n // x "y"\n"""»;'),
+    ".c": ("#include <a//b.h> // c", "«#include <a//b.h>»"),
+    ".cpp": ('s = R"x(// ")x"; // c', 's = «R"x(// ")x"»;'),
+    ".cs": ('s = @"a""//b"; /* " */', 's = «@"a""//b"»;'),
+    ".go": ("s := `// x`; c := '\"' // d", "s := «`// x`»; c := «'\"'»"),
+    ".rs": ("fn f<'a>(x: &'a str) { '\"' } /* it's /* nested */ */", "fn f<'a>(x: &'a str) { «'\"'» }"),
+    ".sh": ('cat <<E\n# x "\nE', 'cat <<E\n«# x "\nE»'),
+    ".html": ('<p title="<!--">x</p><script>a<!--b</script>', '<p title=«"<!--"»>x</p><script>«a<!--b»</script>'),
+}
+# Code that can be read in two ways, in every third file of two languages.
+AMBIGUOUS = {
+    13: ("function g() {} /x/g\n", "function g() {} «/x/g»\n"),
+    5: ('s = $"{d["k"]}";\n', 's = «$"{d["»k«"]}"»;\n'),
+}
+IS_AMBIGUOUS = f"doc_id % 36 IN ({', '.join(map(str, sorted(AMBIGUOUS)))})"
+
+
+def _text(value: str) -> str:
+    """A text as an expression of both dialects, marks and special characters by their code."""
+    value = value.replace("«", MARKS[0]).replace("»", MARKS[1])
+    parts, plain = [], ""
+    for ch in value:
+        if ch in "'\\\n" or ord(ch) > 126:
+            parts += [f"'{plain}'"] * bool(plain) + [f"chr({ord(ch)})" if ord(ch) < 127 else f"'{ch}'"]
+            plain = ""
+        else:
+            plain += ch
+    parts += [f"'{plain}'"] * bool(plain)
+    return f"concat({', '.join(parts)})"
+
+
+def _planted(k: int) -> str:
+    cases = " ".join(f"WHEN '{ext}' THEN {_text(pair[k])}" for ext, pair in PLANTED.items())
+    return f"CASE ext {cases} ELSE 'plain' END"
+
+
+def _ambiguous(k: int) -> str:
+    cases = " ".join(f"WHEN {n} THEN {_text(pair[k])}" for n, pair in AMBIGUOUS.items())
+    return f"CASE doc_id % 36 {cases} ELSE '' END"
+
+
 _LINE = (
     "CASE WHEN {i} % 7 = 3 THEN concat(pre, chr(92), '/ ', x, suf) "
-    "WHEN {i} % 7 = 5 THEN concat('  ', pre, ' ', x, suf) ELSE x END"
+    "WHEN {i} % 7 = 5 THEN concat('  ', pre, ' ', x, suf) WHEN {i} % 11 = 4 THEN " + _planted(0) + " ELSE x END"
 )
 SPARK_LINES = (
-    "array_join(transform(split(text, '\\n'), (x, i) -> " + _LINE.format(i="i") + "), '\\n')"
+    "array_join(transform(split(text, '\\n'), (x, i) -> " + _LINE.replace("{i}", "i") + "), '\\n')"
 )
 SQL_LINES = (
     "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: "
-    + _LINE.format(i="(i - 1)") + "), chr(10))"
+    + _LINE.replace("{i}", "(i - 1)") + "), chr(10))"
+)
+# The same lines with comments left out and literals marked; `prose` marks those of the given texts.
+SQL_MARKED_LINES = (
+    "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 7 IN (3, 5) THEN '' "
+    "WHEN (i - 1) % 11 = 4 THEN " + _planted(1) + " ELSE {prose} END), chr(10))"
 )
 
 
@@ -71,11 +124,17 @@ def source_steps(lines: str) -> list[list[str]]:
             f"CASE WHEN doc_id % 4 <> 0 THEN concat(pre, {_BS}, '/ ---------- [Review]', suf, {_NL}) ELSE '' END, "
             f"CASE WHEN doc_id % 6 = 1 THEN concat(pre, {_BS}, '/ ---------- [Issues]', suf, {_NL}) ELSE '' END, "
             f"CASE WHEN doc_id % 5 = 2 THEN concat(pre, {_BS}, '% keep order', suf, {_NL}) ELSE '' END, "
-            f"{lines}) AS content",
+            f"{_ambiguous(0)}, {lines}) AS content",
         ],
     ]
 
 
+def marked_steps(prose: str) -> list[list[str]]:
+    """The same files without comments and with marked literals, for the SQL of token lists."""
+    first, second, last = source_steps("''")
+    return [first, second, [*last[:-1], "ext", f"concat({_ambiguous(1)}, {SQL_MARKED_LINES.replace("{prose}", prose)}) AS marked"]]
+
+
 HTML_STEPS = [["concat('h/', page_id, '.html') AS path", "html AS content"]]
 
 OLD_WHERE, NEW_WHERE = "doc_id % 10 <> 3", "doc_id % 10 <> 0"
@@ -99,15 +158,14 @@ EDIT_STEPS = [
     ]
 ]
 
-RUN_WHERE = "role = 'assistant'"
 RUN_STEPS = [
     [
         "conv_id", "turn",
         "concat('c', conv_id) AS request_id",
-        "CAST(floor((turn + 1) / 2.0) AS INT) AS attempt",
+        "CAST(turn + 1 AS INT) AS attempt",
         "CASE WHEN conv_id % 2 = 0 THEN 'claude' ELSE 'codex' END AS provider",
         "CAST(CASE WHEN conv_id % 17 = 5 THEN 2 ELSE 0 END AS INT) AS returncode",
-        "CASE WHEN conv_id % 34 = 5 THEN concat('failed on ', substr(text, 1, 40)) ELSE '' END AS stderr",
+        "CASE WHEN conv_id % 34 = 5 THEN concat('failed on ', repeat(text, 3)) ELSE '' END AS stderr",
         "conv_id % 23 = 7 AS timed_out",
         "CASE WHEN conv_id % 23 IN (7, 11) THEN concat('after ', turn, ' turns') END AS exception",
         f"replace(text, chr(10), concat({_BS}, 'n')) AS t",

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from glosswork.operators import attempts as at
 from glosswork.operators import changes as ch
 from glosswork.operators import comments as co
 from glosswork.operators import fingerprint as fg
+from glosswork.operators import fixing as fx
 from glosswork.operators import projects as pj
 from glosswork.operators import requests as rq
 from glosswork.operators import reviews as rv
@@ -75,7 +78,7 @@ def edits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_log(spark: SparkSession, d: str) -> DataFrame:
-    return k.spark_steps(k.table(spark, d, "conversations"), k.RUN_STEPS, k.RUN_WHERE).drop(
+    return k.spark_steps(k.table(spark, d, "conversations"), k.RUN_STEPS).drop(
         "conv_id", "turn"
     )
 
@@ -115,16 +118,57 @@ def doc_no(path: str) -> str:
 # ---------------------------------------------------------------- sources and sinks
 
 
-@register(query("SELECT path, length(content) AS n_chars, sha256(content) AS digest FROM f_d WHERE language IS NOT NULL"))
+def _written(spark: SparkSession, rows: DataFrame, name: str) -> str:
+    """A new folder that holds every row (path, content) as a file of its own, written by the tasks."""
+    base = scratch(spark, name)
+    folder = base.removeprefix("file://").removeprefix("file:")
+    if "://" in folder:
+        raise ValueError("files of given names need a shared folder with a local path")
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path, content in zip(part["path"], part["content"], strict=True):
+                target = Path(folder, path)
+                target.parent.mkdir(parents=True, exist_ok=True)
+                target.write_text(content, encoding="utf-8", newline="")
+            yield part[["path"]]
+
+    rows.select("path", "content").mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@register(query(
+    "SELECT path, CASE WHEN starts_with(path, 'p1/') THEN substr(path, 4) END AS rel, starts_with(path, 'p1/') AS inside, "
+    "CASE WHEN starts_with(path, 'p1/') THEN sha256(content) END AS digest FROM f_d WHERE language IS NOT NULL"
+))
 def scan_source_files(spark: SparkSession, d: str) -> DataFrame:
+    folder = _written(spark, files(spark, d), "source-files")
+    found = so.scan_source_files(spark, folder, recursive=True, root=f"{folder}/p1")
+    inside = F.col("err").isNull()
+    outside = F.col("err") == so.outside_root(F.col("path"), f"{folder}/p1")
+    return found.select(
+        F.when(inside, F.concat(F.lit("p1/"), "path")).otherwise(F.replace("path", F.lit(f"{folder}/"), F.lit(""))).alias("path"),
+        F.when(inside, F.col("path")).alias("rel"), (~outside | inside).alias("inside"), F.sha2("content", 256).alias("digest"),
+    )
+
+
+@register(query("SELECT path, length(content) AS n_chars, sha256(content) AS digest FROM f_d WHERE language IS NOT NULL"))
+def source_table(spark: SparkSession, d: str) -> DataFrame:
     table = so.source_table(sources(spark, d))
     return table.select(
         "path", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("digest")
     )
 
 
-@register(query("SELECT folder, path FROM docs"))
+@register(query("SELECT folder, path, NULL::VARCHAR AS err FROM docs"))
 def scan_reference_docs(spark: SparkSession, d: str) -> DataFrame:
+    listed = listing(spark, d).select("path", F.lit("text").alias("content")).distinct()
+    folder = _written(spark, listed, "reference-docs")
+    return so.scan_reference_docs(spark, folder, recursive=True, root=folder)
+
+
+@register(query("SELECT folder, path FROM docs"))
+def reference_docs(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d)
 
 
@@ -192,17 +236,16 @@ _ASKED = [
         "ELSE '<!-- note -->' END WHEN 1 THEN input ELSE input || chr(10) || 'zz' END AS output "
         "FROM asked, (VALUES (1), (2)) AS a(attempt) WHERE input <> ''",
     ),
-    ("in_k", "SELECT DISTINCT path AS id, language, input AS content FROM replied"),
-    ("out_k", "SELECT path || '#' || attempt AS id, language, output AS content FROM replied"),
-    *s.token_ctes("i", "in_k"),
-    *s.token_ctes("o", "out_k"),
     (
         "checked",
-        "SELECT r.*, CASE WHEN c = 3 THEN '[ERR] _data_check: <error> = boom' "
-        "WHEN i_p.fingerprint <> o_p.fingerprint THEN "
-        "'[WARNING] _data_check: <output> does not match the input expected' END AS err, "
-        "CASE WHEN c = 3 THEN 'ERROR' WHEN i_p.fingerprint <> o_p.fingerprint THEN 'WARNING' ELSE 'OK' END AS severity "
-        "FROM replied r JOIN i_p ON i_p.id = r.path JOIN o_p ON o_p.id = r.path || '#' || r.attempt",
+        # By construction: a comment or nothing was added where c is 0 or 1, code where it is 2.
+        "SELECT r.*, CASE c WHEN 3 THEN '[ERR] _data_check: <error> = boom' WHEN 1 THEN NULL ELSE CASE "
+        f"WHEN {k.IS_AMBIGUOUS.replace('doc_id', 'n')} THEN "
+        "'[WARNING] _data_check: <output> can be read in several ways, so it may not match the input' "
+        "WHEN c = 2 THEN '[WARNING] _data_check: <output> does not match the input expected' END END AS err, "
+        "CASE WHEN err IS NULL THEN 'OK' WHEN c = 3 THEN 'ERROR' ELSE 'WARNING' END AS severity, "
+        f"CASE WHEN c = 1 THEN 'same' WHEN c < 3 AND {k.IS_AMBIGUOUS.replace('doc_id', 'n')} THEN 'unsure' "
+        "WHEN c = 0 THEN 'same' WHEN c = 2 THEN 'changed' END AS verdict FROM replied r",
     ),
     (
         "best",
@@ -280,7 +323,10 @@ _FAILED = (
 @register(query(f"SELECT request_id, attempt, err, err_class, sha256(text) AS digest, warning FROM ({_FAILED})", *_ASKED))
 def write_attempt_failures(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "failures")
-    so.write_attempt_failures(at.attempt_failures(checked(spark, d)), path)
+    failures = at.attempt_failures(checked(spark, d))
+    so.write_attempt_failures(failures.filter("attempt = 1"), path)
+    for _ in range(2):  # what is there already is not written again
+        so.write_attempt_failures(failures, path)
     return spark.read.parquet(path).select(
         "request_id", "attempt", "err", "err_class", F.sha2("text", 256).alias("digest"), "warning"
     )
@@ -433,6 +479,22 @@ def build_review_requests(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+PIECE = 300  # bytes: every folder's list comes in many pieces
+
+
+def _joined_pieces(pieces: DataFrame, key: str) -> DataFrame:
+    """Pieces put together again, for comparison; bounded as each request is in one row elsewhere too."""
+    ordered = F.array_sort(F.collect_list(F.struct("piece", "text")))
+    return pieces.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("whole"), F.count("*").alias("n"))
+
+
+@register(query("SELECT path, length(user_prompt) AS n_chars, sha256(user_prompt) AS digest FROM prompts", *_REQUESTS))
+def request_pieces(spark: SparkSession, d: str) -> DataFrame:
+    asked = rq.build_review_requests(files(spark, d), docs(spark, d), "ctx", part_bytes=PIECE)
+    pieces = rq.request_pieces(asked, docs(spark, d), piece_bytes=PIECE)
+    return _joined_pieces(pieces, "path").select("path", F.length("whole").alias("n_chars"), F.sha2("whole", 256).alias("digest"))
+
+
 @register(query(
     "SELECT path, system_prompt, length(user_prompt) AS n_chars, sha256(user_prompt) AS digest FROM prompts", *_REQUESTS
 ))
@@ -611,21 +673,22 @@ def first_agent_message(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- fingerprints
 
 
-_SRC_PRINTS = [("src_k", "SELECT path AS id, language, content FROM f_d"), *s.token_ctes("s", "src_k")]
-_HTML_PRINTS = [("html_k", "SELECT path AS id, 'html' AS language, content FROM html"), *s.token_ctes("h", "html_k")]
-
-
-def _decoded(token: str) -> str:
-    for source, stand_in in s.ESCAPES:
-        token = f"replace({token}, {quote(stand_in)}, {quote(source)})"
-    return token
+_SRC_PRINTS = [
+    s.MARKED,
+    ("src_k", "SELECT path AS id, language, marked, doc_id FROM marked JOIN f_d USING (doc_id, path)"),
+    *s.token_ctes("s", "src_k"),
+]
+_HTML_PRINTS = [("html_k", "SELECT path AS id, content FROM html"), *s.page_ctes("h", "html_k")]
+_CONFIDENCE = f"CASE WHEN {k.IS_AMBIGUOUS} THEN 'low' ELSE 'high' END"
 
 
 @register(query(
-    "SELECT path, pos, CASE WHEN starts_with(tok, chr(10)) THEN 'newline' WHEN regexp_matches(tok, '^[\"''`].') THEN 'string' "
-    "WHEN regexp_matches(tok, '^[\\p{L}_$]') THEN 'name' WHEN regexp_matches(tok, '^[0-9]') THEN 'number' ELSE 'symbol' END AS kind, "
-    "strlen(tok) AS length, left(sha256(tok), 32) AS value_hash FROM (SELECT id AS path, i AS pos, "
-    + _decoded("toks[i + 1]") + " AS tok FROM (SELECT *, unnest(range(len(toks))) AS i FROM s_k))",
+    "SELECT path, pos, CASE WHEN ltrim(tok, o) LIKE chr(10) || '%' THEN 'newline' WHEN starts_with(tok, ' ') THEN 'blank' "
+    "WHEN starts_with(tok, o) THEN 'string' WHEN regexp_matches(tok, '^[\\p{L}_$]') THEN 'name' "
+    "WHEN regexp_matches(tok, '^[0-9]') THEN 'number' ELSE 'symbol' END AS kind, "
+    "strlen(bare) AS length, left(sha256(bare), 32) AS value_hash FROM ("
+    f"SELECT id AS path, i AS pos, toks[i + 1] AS tok, {s.OPEN} AS o, trim(toks[i + 1], {s.OPEN} || {s.CLOSE}) AS bare "
+    "FROM (SELECT *, unnest(range(len(toks))) AS i FROM s_k))",
     *_SRC_PRINTS,
 ))
 def tokenize_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -633,33 +696,33 @@ def tokenize_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(query(
-    "SELECT path, f_d.language, CASE WHEN f_d.language IS NOT NULL THEN 1 END AS version, fingerprint "
-    "FROM f_d LEFT JOIN s_p ON s_p.id = path", *_SRC_PRINTS
+    "SELECT path, f_d.language, CASE WHEN f_d.language IS NOT NULL THEN 1 END AS version, fingerprint, "
+    f"CASE WHEN f_d.language IS NOT NULL THEN {_CONFIDENCE} END AS confidence FROM f_d LEFT JOIN s_p ON s_p.id = path", *_SRC_PRINTS
 ))
 def structural_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return fg.structural_fingerprints(files(spark, d))
 
 
-@register(query("SELECT id AS path, language, 1 AS version, fingerprint FROM h_p", *_HTML_PRINTS))
+@register(query("SELECT id AS path, language, 1 AS version, fingerprint, 'high' AS confidence FROM h_p", *_HTML_PRINTS))
 def structural_fingerprints_of_pages(spark: SparkSession, d: str) -> DataFrame:
     return fg.structural_fingerprints(html_files(spark, d))
 
 
-@register(query("SELECT path AS request_id, attempt, err, severity, c <> 3 AS has_data, sha256(input) AS digest FROM checked", *_ASKED))
+@register(query("SELECT path AS request_id, attempt, err, severity, verdict, c <> 3 AS has_data, sha256(input) AS digest FROM checked", *_ASKED))
 def verify_logic_preserved(spark: SparkSession, d: str) -> DataFrame:
     return checked(spark, d).select(
-        "request_id", "attempt", "err", "severity", F.col("data").isNotNull().alias("has_data"),
+        "request_id", "attempt", "err", "severity", "verdict", F.col("data").isNotNull().alias("has_data"),
         F.sha2("input", 256).alias("digest"),
     )
 
 
 @register(query(
-    "SELECT fingerprint, array_to_string(list_sort(list(id)), ',') AS paths, count(*) AS n FROM s_p "
-    "GROUP BY fingerprint HAVING count(*) > 1", *_SRC_PRINTS
+    "SELECT fingerprint, array_to_string(list_sort(list(id)), ',') AS paths, count(*) AS n, "
+    f"max({_CONFIDENCE}) AS confidence FROM s_p JOIN src_k USING (id) GROUP BY fingerprint HAVING count(*) > 1", *_SRC_PRINTS
 ))
 def clone_groups(spark: SparkSession, d: str) -> DataFrame:
     groups = fg.clone_groups(fg.structural_fingerprints(files(spark, d)))
-    return groups.select("fingerprint", F.array_join("paths", ",").alias("paths"), "n")
+    return groups.select("fingerprint", F.array_join("paths", ",").alias("paths"), "n", "confidence")
 
 
 # ---------------------------------------------------------------- changes
@@ -671,19 +734,14 @@ _CHANGES = [
         "SELECT n.path, CASE WHEN o.path IS NULL THEN 'added' ELSE 'modified' END AS change, o.content AS before, n.content AS after "
         "FROM new_s n LEFT JOIN old_s o USING (path) WHERE o.path IS NULL OR o.content <> n.content",
     ),
-    (
-        "both_k",
-        "SELECT side || path AS id, language, content FROM (SELECT c.path, side, CASE side WHEN 'o' THEN before ELSE after END AS content "
-        "FROM changes c, (VALUES ('o'), ('n')) AS v(side) WHERE change = 'modified') JOIN (SELECT path, language FROM f_d) USING (path)",
-    ),
-    *s.token_ctes("b", "both_k"),
 ]
 
 
 @register(query(
-    "SELECT c.path, c.change, CASE WHEN c.change = 'added' THEN NULL WHEN o.fingerprint IS NULL THEN 'unknown' "
-    "WHEN o.fingerprint = n.fingerprint THEN 'comment_only' ELSE 'logic' END AS kind FROM changes c "
-    "LEFT JOIN b_p o ON o.id = 'o' || c.path LEFT JOIN b_p n ON n.id = 'n' || c.path", *_CHANGES
+    # By construction: of every ten files one got a comment, one a line of code.
+    "SELECT path, change, CASE WHEN change = 'added' THEN NULL WHEN language IS NULL THEN 'unknown' "
+    f"WHEN {k.IS_AMBIGUOUS} THEN 'unsure' WHEN doc_id % 10 = 1 THEN 'comment_only' ELSE 'logic' END AS kind "
+    "FROM changes JOIN (SELECT path, doc_id, language FROM f_d) USING (path)", *_CHANGES
 ))
 def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
     return ch.snapshot_changes(*snapshots(spark, d))
@@ -949,6 +1007,39 @@ def build_project_requests(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _json_items(rows: str, close: str) -> str:
+    return (
+        f"CASE WHEN {rows} IS NULL THEN '{close[0]}{close[1]}' ELSE '{close[0]}' || chr(10) || {rows} || chr(10) || '  {close[1]}' END"
+    )
+
+
+_PROJECT_PROMPTS = [
+    *_PROJECT_REQUESTS,
+    ("rv_json", f"SELECT folder, string_agg('    ' || {s.js('path')} || ': ' || {s.js('review')}, ',' || chr(10) ORDER BY path) AS l FROM own_reviews GROUP BY folder"),
+    ("sub_json", f"SELECT folder, string_agg('    ' || {s.js('report_path')}, ',' || chr(10) ORDER BY report_path) AS l FROM subs GROUP BY folder"),
+    (
+        "ref_json",
+        f"SELECT folder, array_to_string(list_transform(reference_list, lambda x: '    ' || {s.js('x')}), ',' || chr(10)) AS l FROM refs",
+    ),
+    (
+        "project_prompts",
+        f"SELECT folder, '{{' || chr(10) || '  \"path\": ' || {s.js('folder')} || ',' || chr(10) || '  \"references\": ' || {_json_items('f.l', '[]')} || ',' || chr(10) || "
+        "'  \"comment_language\": \"' || comment_language || '\",' || chr(10) || '  \"prior_review\": \"\",' || chr(10) || '  \"context\": \"ctx\",' || chr(10) || "
+        f"'  \"reviews\": ' || {_json_items('r.l', '{}')} || ',' || chr(10) || '  \"sub_module_reviews\": ' || {_json_items('u.l', '[]')} || chr(10) || '}}' AS prompt "
+        "FROM project_reqs p LEFT JOIN rv_json r USING (folder) LEFT JOIN sub_json u USING (folder) LEFT JOIN ref_json f USING (folder)",
+    ),
+]
+
+
+@register(query("SELECT folder, length(prompt) AS n_chars, sha256(prompt) AS digest FROM project_prompts", *_PROJECT_PROMPTS))
+def project_request_pieces(spark: SparkSession, d: str) -> DataFrame:
+    stored = _reports(spark, d).withColumn("report", F.expr(_STORED_REPORT))
+    given = (_folders(spark, d), reviews(spark, d), stored, docs(spark, d))
+    asked = pj.build_project_requests(*given, "ctx", part_bytes=PIECE)
+    pieces = pj.project_request_pieces(asked, *given, piece_bytes=PIECE)
+    return _joined_pieces(pieces, "folder").select("folder", F.length("whole").alias("n_chars"), F.sha2("whole", 256).alias("digest"))
+
+
 @register(query(
     "SELECT folder, replace(report, '$lang: English', '$lang: ' || comment_language) AS report, err FROM reports JOIN project_reqs USING (folder)",
     *_REPORTS, *_PROJECT_REQUESTS[len(_SUBMODULES):],
@@ -1051,11 +1142,38 @@ def stream_extract_reviews(spark: SparkSession, d: str) -> DataFrame:
     "FROM ev WHERE contains(line, 'agent_message'))) GROUP BY request_id, nr "
     "HAVING max(ts) + INTERVAL 12 HOURS <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTES FROM ev WHERE contains(line, 'agent_message'))"
 ))
-def stream_first_agent_message(spark: SparkSession, d: str) -> DataFrame:
+def stream_session_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that are closed when the input ends; open ones come out later."""
     arriving = k.spark_steps(_stream(spark, d, "events"), k.EVENT_STEPS)
     return _run_to_end(spark, st.stream_first_agent_message(arriving, gap="12 hours"), "stream-messages")
 
 
+_FIRST = (
+    "SELECT request_id, min_by(line ->> CASE WHEN starts_with(line, '{\"msg\"') THEN '$.msg.message' ELSE '$.item.text' END, seq) AS text "
+    "FROM ev WHERE contains(line, 'agent_message') GROUP BY request_id"
+)
+
+
+@register(query(_FIRST))
+def stream_first_agent_message(spark: SparkSession, d: str) -> DataFrame:
+    """All runs, whether they have ended or not: every batch writes what changed, the last version counts."""
+    arriving = k.spark_steps(_stream(spark, d, "events"), k.EVENT_STEPS)
+    base = scratch(spark, "stream-first")
+    st.write_versions(st.stream_first_agent_message(arriving), f"{base}/table", f"{base}/state").awaitTermination()
+    return st.last_versions(spark, "request_id string, text string", f"{base}/table", "request_id")
+
+
+@register(query(_FIRST))
+def stream_messages_until_end(spark: SparkSession, d: str) -> DataFrame:
+    """The same with state for open runs only; events of type `error` or `reasoning` end a run here."""
+    arriving = k.spark_steps(_stream(spark, d, "events"), k.EVENT_STEPS)
+    base = scratch(spark, "stream-until-end")
+    rows = st.stream_messages_until_end(arriving, ("reasoning",))
+    st.write_versions(rows, f"{base}/table", f"{base}/state").awaitTermination()
+    found = st.last_versions(spark, "request_id string, seq long, text string", f"{base}/table", "request_id", "-seq")
+    return found.select("request_id", "text")
+
+
 # ---------------------------------------------------------------- whole flows
 
 
@@ -1120,6 +1238,169 @@ def review_changed_files(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- fix loops
+
+BUDGET = 3
+
+
+def _fix_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded fix and review runs of up to three passes: failures, missing code, changed code, open ends."""
+    asked = requests(spark, d).filter(F.col("request").isNotNull() & (F.col("request.input") != ""))
+    n, p = F.col("n"), F.col("pass_no")
+    rows = asked.select(
+        "path", F.expr(doc_no("path")).alias("n"), F.col("request.input").alias("code"),
+        F.when(F.col("line_prefix") != "", F.concat("line_prefix", F.lit(" note"))).otherwise(F.lit("<!-- note -->")).alias("note"),
+        F.explode(F.sequence(F.lit(0), F.lit(BUDGET))).alias("pass_no"),
+    ).filter((p <= n % 5) & ~(n % 16).isin(3, 4))
+    f, r = (n + p) % 5, (n * 3 + p * 5) % 7
+    sent = F.when(p == 0, F.col("code")).otherwise(F.concat("code", F.lit("\nfix"), p.cast("string")))
+    strings = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    fix = F.struct(
+        F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("fixed "), p.cast("string"))).alias("overview"),
+        F.concat(F.lit("about "), n.cast("string")).alias("review"), F.when(f != 1, sent).alias("output"),
+    )
+    reply = F.struct(
+        F.concat(F.lit("seen "), n.cast("string")).alias("overview"), F.lit("r").alias("review"),
+        F.when(r == 1, strings()).otherwise(strings("left")).alias("issues"),
+        F.when(r == 2, strings("stuck")).otherwise(strings()).alias("impediments"),
+        F.concat(sent, F.lit("\n"), F.when(r == 3, "zz").otherwise(F.col("note"))).alias("output"),
+    )
+    unrun = (p == n % 5) & ((n + p) % 7 == 6)
+    fixes = rows.filter(p > 0).select("path", "pass_no", "n", F.lit("fix").alias("step"), F.when(f == 0, 2).otherwise(0).alias("returncode"), F.to_json(fix).alias("reply"))
+    reviews = rows.filter((p == 0) | ((f > 1) & ~unrun)).select(
+        "path", "pass_no", "n", F.lit("review").alias("step"), F.when(r == 0, 2).otherwise(0).alias("returncode"), F.to_json(reply).alias("reply")
+    )
+    item = F.struct(F.lit("agent_message").alias("type"), F.col("reply").alias("text"))
+    event = F.to_json(F.struct(F.lit("item.completed").alias("type"), item.alias("item")))
+    result = F.to_json(F.struct(F.lit("result").alias("type"), F.col("reply").alias("result")))
+    return fixes.unionByName(reviews).select(
+        "path", "pass_no", "step", F.when(n % 2 == 0, "claude").otherwise("codex").alias("provider"), "returncode",
+        F.when(n % 2 == 0, result).otherwise(F.concat(F.lit("started\n"), event)).alias("stdout"),
+    )
+
+
+def _kept(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """A table that later steps read more than once, written first."""
+    path = scratch(spark, name)
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _fix_passes(spark: SparkSession, d: str) -> DataFrame:
+    runs = _kept(spark, _fix_runs(spark, d), "fix-runs")
+    return _kept(spark, fx.passes_from_runs(_kept(spark, requests(spark, d), "fix-requests"), runs, AI, TS), "fix-passes")
+
+
+# The same loops by construction, without any reply being read.
+_LOOPS = [
+    *_ASKED,
+    (
+        "looped",
+        f"SELECT *, {s.joined('rv')} AS prior, contains({s.joined('rv')}, '---------- [Review]') AS stored, {s.joined('rq')} AS req, "
+        f"{s.COMMENT_LANGUAGE} AS comment_language FROM asked",
+    ),
+    (
+        "runs_k",
+        "SELECT *, (n + p) % 5 AS f, (n * 3 + p * 5) % 7 AS r, CASE WHEN p = 0 THEN input ELSE input || chr(10) || 'fix' || p END AS sent, "
+        f"p = n % 5 AND (n + p) % 7 = 6 AS unrun FROM looped, range({BUDGET + 1}) AS v(p) WHERE input <> '' AND p <= n % 5 AND n % 16 NOT IN (3, 4)",
+    ),
+    (
+        "seen_k",
+        "SELECT *, '---------- Reviewed by: " + AI + " @ " + TS + "' || chr(10) || '$lang: ' || comment_language || chr(10) || '---------- [Overview]' || chr(10) || "
+        "'seen ' || n || chr(10) || '---------- [Review]' || chr(10) || 'r' || chr(10) || "
+        "CASE WHEN r <> 1 THEN '---------- [Issues]' || chr(10) || 'left' || chr(10) ELSE '' END || "
+        "CASE WHEN r = 2 THEN '---------- [Impediments]' || chr(10) || 'stuck' || chr(10) ELSE '' END || '----------' || chr(10) AS header, "
+        f"sent || CASE WHEN r = 3 OR {k.IS_AMBIGUOUS.replace('doc_id', 'n')} THEN '' ELSE chr(10) || CASE WHEN lp <> '' THEN lp || ' note' ELSE '<!-- note -->' END END AS made "
+        "FROM runs_k WHERE r <> 0 AND (p = 0 OR (f > 1 AND NOT unrun))",
+    ),
+    (
+        "texts_k",
+        f"SELECT path, p, header AS review, made, {s.line_comment('header', s.REVIEW)} || chr(10) || "
+        f"CASE WHEN req <> '' THEN {s.line_comment('(req || chr(10))', s.REQUIREMENT)} || chr(10) ELSE '' END || made AS content FROM seen_k",
+    ),
+    (
+        "passes_k",
+        "SELECT path, n, lp, p AS pass_no, f <> 0 AS fix_ok, f > 1 AS output_present, f > 1 AND NOT unrun AS reviewed, t.review, t.content, t.made, "
+        "CASE WHEN f <> 0 THEN CASE WHEN n % 3 = 0 THEN '' ELSE 'fixed ' || p END END AS fix_overview, CASE WHEN f <> 0 THEN 'about ' || n END AS fix_review, "
+        "CASE WHEN f > 1 THEN sent END AS fixed FROM runs_k LEFT JOIN texts_k t USING (path, p) WHERE p > 0 "
+        "UNION ALL SELECT l.path, n, lp, 0, NULL, NULL, true, CASE WHEN input = '' THEN '' WHEN stored THEN prior ELSE t.review END, "
+        "CASE WHEN input <> '' AND NOT stored THEN t.content END, t.made, NULL, NULL, NULL FROM looped l LEFT JOIN texts_k t ON t.path = l.path AND t.p = 0 "
+        "WHERE input = '' OR stored OR n % 16 NOT IN (3, 4)",
+    ),
+    (
+        "ends_k",
+        "SELECT *, CASE WHEN pass_no = 0 THEN CASE WHEN review = '' THEN 'EMPTY' WHEN review IS NULL THEN 'FAILED' ELSE done END "
+        f"WHEN NOT output_present THEN CASE WHEN pass_no = {BUDGET} THEN 'FAILED' END WHEN review IS NULL THEN 'FAILED' "
+        f"ELSE coalesce(done, CASE WHEN pass_no = {BUDGET} THEN 'EXHAUSTED' END) END AS ending FROM (SELECT *, "
+        "CASE WHEN NOT contains(review, '---------- [Issues]') THEN 'RESOLVED' WHEN contains(review, '---------- [Impediments]') THEN 'BLOCKED' END AS done "
+        "FROM passes_k) WHERE reviewed OR NOT coalesce(output_present, false)",
+    ),
+    (
+        "loops_k",
+        "SELECT path, any_value(n) AS n, coalesce(min_by(ending, pass_no) FILTER (ending IS NOT NULL), 'OPEN') AS outcome, "
+        "coalesce(min(pass_no) FILTER (ending IS NOT NULL), max(pass_no)) AS passes_used FROM ends_k GROUP BY path",
+    ),
+]
+
+
+@register(query(
+    "SELECT path, pass_no, fix_ok, output_present, reviewed, sha256(fixed) AS fixed, fix_overview, fix_review, review, sha256(content) AS content FROM passes_k",
+    *_LOOPS,
+))
+def passes_from_runs(spark: SparkSession, d: str) -> DataFrame:
+    return _fix_passes(spark, d).select(
+        "path", "pass_no", "fix_ok", "output_present", "reviewed", F.sha2("fixed", 256).alias("fixed"), "fix_overview", "fix_review", "review",
+        F.sha2("content", 256).alias("content"),
+    )
+
+
+@register(query(
+    "SELECT path, outcome, passes_used, CASE WHEN outcome NOT IN ('FAILED', 'OPEN') THEN e.review END AS review, "
+    "(SELECT sha256(max_by(content, pass_no)) FROM passes_k w WHERE w.path = l.path AND w.content IS NOT NULL AND w.pass_no <= l.passes_used) AS content "
+    "FROM loops_k l LEFT JOIN (SELECT path, pass_no AS passes_used, review FROM passes_k) e USING (path, passes_used)", *_LOOPS
+))
+def apply_fixes(spark: SparkSession, d: str) -> DataFrame:
+    done = fx.apply_fixes(_fix_passes(spark, d), BUDGET)
+    return done.select("path", "outcome", "passes_used", "review", F.sha2("content", 256).alias("content"))
+
+
+_NEXT = [
+    *_LOOPS,
+    (
+        "history_k",
+        "SELECT path, max(pass_no) AS last, max_by(review, pass_no) FILTER (review IS NOT NULL) AS seen, max_by(fixed, pass_no) AS fixed, "
+        "max_by(output_present AND NOT reviewed, pass_no) AS waits, max_by(made, pass_no) FILTER (content IS NOT NULL) AS made, "
+        "max_by(content, pass_no) FILTER (content IS NOT NULL) AS content, coalesce(string_agg(CASE WHEN output_present THEN chr(10) || "
+        "CASE WHEN fix_overview <> '' THEN '[Bug fix]' || chr(10) || fix_overview || chr(10) ELSE '' END || '[Discussion]' || chr(10) || fix_review || chr(10) END, '' "
+        "ORDER BY pass_no), '') AS told FROM passes_k GROUP BY path",
+    ),
+    (
+        "next_k",
+        "SELECT l.path, coalesce(h.waits, false) AS waits, h.last, h.fixed, coalesce(h.told, '') AS told, "
+        "coalesce(h.seen, l.prior) AS seen, CASE WHEN h.content IS NULL THEN l.input WHEN l.lp = '' THEN h.content ELSE h.made END AS input "
+        "FROM looped l LEFT JOIN history_k h USING (path) LEFT JOIN loops_k o USING (path) WHERE l.input <> '' AND coalesce(o.outcome, 'OPEN') = 'OPEN'",
+    ),
+]
+
+
+@register(query(
+    "SELECT path, pass_no, step, sha256(CASE WHEN waits THEN fixed ELSE input END) AS input, 'start' || told AS context, "
+    "sha256('' || CASE step WHEN 'fix' THEN 'Fix it' ELSE 'Review it' END) AS system_prompt FROM (SELECT *, "
+    "CASE WHEN waits OR NOT contains(seen, '---------- [Review]') THEN 'review' ELSE 'fix' END AS step, "
+    "CASE WHEN waits THEN last WHEN NOT contains(seen, '---------- [Review]') THEN 0 ELSE coalesce(last, 0) + 1 END AS pass_no FROM next_k) "
+    f"WHERE step = 'review' OR (coalesce(last, 0) < {BUDGET} AND contains(seen, '---------- [Issues]') AND NOT contains(seen, '---------- [Impediments]'))",
+    *_NEXT,
+))
+def plan_fixes(spark: SparkSession, d: str) -> DataFrame:
+    steps = fx.plan_fixes(
+        files(spark, d), _fix_passes(spark, d), BUDGET, context="start", templates={"review": "Review it", "fix": "Fix it"}
+    )
+    return steps.select(
+        "path", "pass_no", "step", F.sha2("request.input", 256).alias("input"), F.col("request.context").alias("context"),
+        F.sha2("system_prompt", 256).alias("system_prompt"),
+    )
+
+
 # ---------------------------------------------------------------- expressions
 
 
@@ -1184,7 +1465,7 @@ def comment_and_report_language(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_PIECES = "coalesce(nullif(substr(text, 1, conv_id % 30), ''), '')"
+_PIECES = "CASE WHEN conv_id % 30 = 0 THEN '' ELSE text END"
 
 
 @register(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from catalog import corpora as k
-from glosswork.functions.lexer import ESCAPES, PATTERNS, SEPARATOR
 from glosswork.functions.text import WHITESPACE
 from glosswork.languages import LANGUAGES
 
@@ -145,7 +144,7 @@ BASE: list[tuple[str, str]] = [
     ("old_s", f"SELECT path, content FROM src WHERE {k.OLD_WHERE}"),
     ("new_s", k.sql_steps("src", k.NEW_STEPS, k.NEW_WHERE)),
     ("html", k.sql_steps("pages", k.HTML_STEPS)),
-    ("runs", k.sql_steps("conversations", k.RUN_STEPS, k.RUN_WHERE)),
+    ("runs", k.sql_steps("conversations", k.RUN_STEPS)),
     ("ev", k.sql_steps("events", k.EVENT_STEPS)),
     ("listing", k.sql_steps("documents", k.LISTING_STEPS)),
     (
@@ -177,43 +176,96 @@ def query(body: str, *ctes: tuple[str, str]) -> str:
     return (f"WITH {', '.join(chosen)} " if chosen else "") + body
 
 
-def encoded(c: str) -> str:
-    for source, stand_in in ESCAPES:
-        c = f"replace({c}, {quote(source)}, {quote(stand_in)})"
-    return c
+# Token lists, from texts whose comments are gone and whose literals stand in marks. Nothing here is
+# taken from the library: which parts are comments and literals is known from how the files are made.
+SEP, OPEN, CLOSE = "chr(57344)", *(f"chr({ord(m)})" for m in k.MARKS)
+_O, _C = k.MARKS
+_LITERAL = f"{_O}[^{_C}]*{_C}"
+_NAME = r"[a-zA-Z_$\p{L}][a-zA-Z_$0-9\p{L}\p{N}]*"
+_PIECES = rf"{_LITERAL}|{_NAME}|[0-9][a-zA-Z_.0-9]*"
+_SHELL_PIECES = rf"{_LITERAL}|[^ \t\r\f\n;&|()<>{_O}]+|[ \t\r\f]+|[^ \t\r\f]"
+_IS_SIGN = "({x} IN ('+', '-', '*', '/', '%', '=', '<', '>', '!', '&', '|', '^', '~', '?', ':', '.', '@'))"
 
 
-def token_ctes(name: str, relation: str) -> list[tuple[str, str]]:
-    """CTE ``name_k``: ``id, language, toks`` from ``relation(id, language, content)``."""
-    br = "regexp_full_match({x}, '[ \\t]*(#[^\\n]*)?\\n[ \\t]*')"
-    scans = " ".join(
-        f"WHEN '{fam}' THEN regexp_extract_all(enc, {quote(pattern)})" for fam, pattern in PATTERNS.items()
+def _prose_marks() -> str:
+    """Prose as code: strings in double quotes, and what follows a hash in the languages where that is a comment."""
+    quoted = f"regexp_replace(x, '(\"[^\"]*\")', '{_O}\\1{_C}', 'g')"
+    hashed = "regexp_replace(x, '^((?:[^#\"]|\"[^\"]*\")*)#.*$', '\\1')"
+    worded = "regexp_replace(x, '(^|[ \\t;&|()<>])#.*$', '\\1')"
+    return (
+        f"CASE WHEN ext IN ('.py', '.PY') THEN {quoted.replace('(x,', f'({hashed},', 1)} "
+        f"WHEN ext = '.sh' THEN {quoted.replace('(x,', f'({worded},', 1)} WHEN ext = '.html' THEN x ELSE {quoted} END"
     )
-    lined = (
-        f"list_transform(list_filter(raw, lambda x, i: NOT ({br.format(x='x')} AND i < len(raw) "
-        f"AND {br.format(x='raw[i + 1]')})), lambda x: CASE WHEN {br.format(x='x')} "
-        f"THEN chr(10) || string_split(x, chr(10))[-1] ELSE x END)"
+
+
+def _directives(x: str) -> str:
+    """In three languages the line break behind a line that a hash begins is a token."""
+    ended = f"regexp_replace({x}, '(?m)^([ \\t]*(?:#|{_O}#include)[^\\n]*)(?:\\n|\\z)', '\\1{_O}\n{_C}', 'g')"
+    return f"CASE WHEN language IN ('c', 'cpp', 'c_sharp') THEN {ended} ELSE {x} END"
+
+
+def token_ctes(name: str, relation: str) -> list[tuple[str, str]]:
+    """CTEs ``name_k``: ``id, language, toks`` and ``name_p``: ``fingerprint``, from ``relation(id, language, marked)``."""
+    blank, is_sign = "regexp_full_match({x}, '[ \\t\\r\\f\\n]+')", _IS_SIGN.format
+    inner = "regexp_full_match({x}, '[ \\t\\r\\f]+')"
+    trimmed = "trim(body, ' ' || chr(9) || chr(10) || chr(12) || chr(13))"
+    framed = "chr(10) || body || chr(10)"
+
+    def cut(body: str, pieces: str, is_blank: str) -> str:
+        pair = f"{is_sign(x='x')} AND {is_blank.format(x='raw[i + 1]')} AND {is_sign(x='raw[i + 2]')}"
+        kept = f"list_transform(raw, lambda x, i: CASE WHEN {pair} THEN x || ' ' ELSE x END)"
+        return (
+            f"list_filter((SELECT {kept} FROM (SELECT regexp_extract_all({body}, '{pieces}') AS raw)), "
+            f"lambda x: NOT {is_blank.format(x='x')})"
+        )
+
+    plain = cut(trimmed, rf"{_PIECES}|[ \t\r\f\n]+|.", blank)
+    breaking = cut(trimmed, rf"{_PIECES}|[ \t\r\f]+|\n|.", inner)
+    python = cut(framed, rf"{_PIECES}|\n[ \t]*|[ \t\r\f]+|.", inner)
+    markup = f"list_filter(regexp_extract_all({trimmed}, '{_PIECES}|[ \\t\\r\\f\\n]+|.'), lambda x: NOT {blank.format(x='x')})"
+    soft = "({x} IN (chr(10), ';', '|'))"
+    shell = (
+        f"(SELECT list_transform(list_filter(raw, lambda x, i: NOT ({inner.format(x='x')} AND (coalesce({soft.format(x='raw[i - 1]')}, false) "
+        f"OR coalesce({soft.format(x='raw[i + 1]')}, false)))), lambda x: CASE WHEN {inner.format(x='x')} THEN ' ' ELSE x END) "
+        f"FROM (SELECT regexp_extract_all({framed}, '{_SHELL_PIECES}') AS raw))"
     )
+    # Of consecutive line breaks the last counts.
+    single = "list_filter(t, lambda x, i: NOT (starts_with(x, chr(10)) AND coalesce(starts_with(t[i + 1], chr(10)), false)))"
     return [
+        (f"{name}_m", f"SELECT id, language, {_directives('marked')} AS body FROM {relation} WHERE language IS NOT NULL"),
         (
-            f"{name}_e",
-            "SELECT id, language, CASE WHEN language IN ('python', 'bash') "
-            f"THEN chr(10) || {encoded('content')} || chr(10) ELSE {encoded('content')} END AS enc, "
-            "CASE WHEN language IN ('python', 'bash', 'html', 'rust') THEN language ELSE 'slash' END AS fam "
-            f"FROM {relation} WHERE language IS NOT NULL",
+            f"{name}_t",
+            f"SELECT id, language, CASE WHEN language = 'python' THEN {python} WHEN language = 'bash' THEN {shell} "
+            f"WHEN language = 'html' THEN {markup} WHEN language IN ('go', 'typescript') THEN {breaking} ELSE {plain} END AS t FROM {name}_m",
         ),
-        (f"{name}_r", f"SELECT id, language, fam, CASE fam {scans} END AS raw FROM {name}_e"),
+        (f"{name}_k", f"SELECT id, language, CASE WHEN language IN ('python', 'bash', 'go', 'typescript') THEN {single} ELSE t END AS toks FROM {name}_t"),
         (
-            f"{name}_k",
-            f"SELECT id, language, CASE WHEN fam IN ('python', 'bash') THEN {lined} "
-            "WHEN fam = 'html' THEN list_filter(raw, lambda x: NOT starts_with(x, '<!--')) "
-            "ELSE list_filter(raw, lambda x: NOT (starts_with(x, '//') OR starts_with(x, '/*'))) END AS toks "
-            f"FROM {name}_r",
+            f"{name}_p",
+            f"SELECT id, language, sha256(language || {SEP} || '1' || "
+            f"array_to_string(list_transform(toks, lambda x: {SEP} || x), '')) AS fingerprint FROM {name}_k",
         ),
+    ]
+
+
+MARKED = ("marked", k.sql_steps("documents", k.marked_steps(_prose_marks())))
+
+
+def page_ctes(name: str, relation: str) -> list[tuple[str, str]]:
+    """``name_k`` and ``name_p`` of given pages: raw texts between tags and attribute values are literals."""
+    raw = "<(?:title|style|script)>(?s:.*?)</(?:title|style|script)"
+    pieces = f"<!--(?s:.*?)-->|{raw}|=\"[^\"]*\"|{_NAME}|[0-9][a-zA-Z_.0-9]*|[^ \\t\\r\\n\\f]"
+    body = "regexp_extract(x, '^<[a-z]+>((?s:.*))</[a-z]+$', 1)"
+    expanded = (
+        f"CASE WHEN regexp_matches(x, '^{raw}$') THEN list_concat(['<', regexp_extract(x, '^<([a-z]+)>', 1), '>'], "
+        f"CASE WHEN {body} = '' THEN []::VARCHAR[] ELSE [{OPEN} || {body} || {CLOSE}] END, ['<', '/', regexp_extract(x, '</([a-z]+)$', 1)]) "
+        f"WHEN starts_with(x, '=\"') THEN ['=', {OPEN} || substr(x, 2) || {CLOSE}] ELSE [x] END"
+    )
+    toks = f"flatten(list_transform(list_filter(regexp_extract_all(content, '{pieces}'), lambda x: NOT starts_with(x, '<!--')), lambda x: {expanded}))"
+    return [
+        (f"{name}_k", f"SELECT id, 'html' AS language, {toks} AS toks FROM {relation}"),
         (
             f"{name}_p",
-            f"SELECT id, language, sha256(language || {quote(SEPARATOR)} || '1' || "
-            f"array_to_string(list_transform(toks, lambda x: {quote(SEPARATOR)} || x), '')) AS fingerprint "
-            f"FROM {name}_k",
+            f"SELECT id, language, sha256(language || {SEP} || '1' || "
+            f"array_to_string(list_transform(toks, lambda x: {SEP} || x), '')) AS fingerprint FROM {name}_k",
         ),
     ]

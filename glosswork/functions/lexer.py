@@ -1,147 +1,110 @@
-"""Comment-insensitive token lists by one regular expression per language family.
+"""Comment-insensitive token lists: a scanner with state first, then one pattern per language family.
 
-Escaped characters are first replaced by single private-use characters, so the patterns
-need no repeated groups (which exhaust the stack of the regex engine on long texts).
-Tokens are kept as one text, each preceded by a separator; comments and repeated line
-breaks are removed from that text by plain replacements, without lambda functions.
+The scanner drops comments and marks literals, in Arrow batches; names, numbers, signs and blanks
+are what is left, and plain replacements cut them into tokens inside generated code. Tokens are
+kept as one text, each preceded by a separator.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from glosswork.functions.scanner import CLOSE, OPEN, SEPARATOR, SHIFT, STOPS, scan
+from glosswork.functions.text import let
 
-# Private-use characters: token separator, stand-ins for escapes, and the prefix under which
-# the source's own private-use characters are kept apart from these.
-SEPARATOR = "\ue000"
-ESCAPES = (
-    ("\\\\", "\ue003"),
-    ('\\"', "\ue001"),
-    ("\\'", "\ue002"),
-    ("\\\n", "\ue004"),
-    ("\\`", "\ue005"),
-)
-SHIFT = "\ue008"
-UNCLOSED = "\ue006"
-_RESERVED = [chr(code) for code in range(0xE000, 0xE009)]
-_SHIFTED = {ch: SHIFT + chr(ord(ch) + 0x10) for ch in _RESERVED}
-
-# Building blocks, in the common subset of the Java and RE2 syntaxes.
-_TRIPLE = r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''"
-_DOUBLE = r'"[^"\n]*"'
-_SINGLE = r"'[^'\n]*'"
-_BACKTICK = r"`[^`]*`"
+# Building blocks of the token patterns.
+_LITERAL = f"{OPEN}[^{CLOSE}]*{CLOSE}"
 _NAME = r"[A-Za-z_$\p{L}][0-9A-Za-z_$\p{L}\p{N}]*"
 _NUMBER = r"[0-9][0-9A-Za-z_.]*"
-_BREAK = r"[ \t]*(?:#[^\n]*)?\n[ \t]*"
-_WORD = r"""[^ \t\n\r\f"'#;&|()<>][^ \t\n\r\f"';&|()<>]*"""
+_WORD = rf"[^ \t\n\r\f;&|()<>{OPEN}]+"
 _OTHER = SHIFT + r"?[^ \t\n\r\f]"
-_SLASH_COMMENTS = r"//[^\n]*|/\*[\s\S]*?\*/"
-_HTML_COMMENT = r"<!--[\s\S]*?-->"
-_ATTRIBUTE = r"""="[^"\n]*"|='[^'\n]*'"""
-# Rust: a character, or a lifetime without a closing quote.
-_CHAR_OR_LIFETIME = r"'[^'\n]'|'\\[^'\n]*'|'[A-Za-z_][0-9A-Za-z_]*"
-
-# Alternatives begin with different characters, except quotes, slashes and the last; the most
-# frequent kind comes first.
-PATTERNS = {
-    "python": "|".join((_NAME, _BREAK, _TRIPLE, _DOUBLE, _SINGLE, _NUMBER, _OTHER)),
-    "slash": "|".join((_NAME, _SLASH_COMMENTS, _DOUBLE, _SINGLE, _BACKTICK, _NUMBER, _OTHER)),
-    "bash": "|".join((_WORD, _BREAK, _DOUBLE, r"'[^']*'", _OTHER)),
-    "html": "|".join((_NAME, _HTML_COMMENT, _ATTRIBUTE, _NUMBER, _OTHER)),
-    "rust": "|".join((_NAME, _SLASH_COMMENTS, _DOUBLE, _CHAR_OR_LIFETIME, _NUMBER, _OTHER)),
-}
-FAMILIES = {"python": "python", "bash": "bash", "html": "html", "rust": "rust"}  # all others: slash
-LINE_FAMILIES = ("python", "bash")
-
-
-def family(language: Column) -> Column:
-    """The lexer family of a language; NULL for none."""
-    return F.when(language.isin(list(FAMILIES)), language).when(language.isNotNull(), "slash")
-
-
-def encode(content: Column) -> Column:
-    """Replace escapes by stand-ins; reversible for every input."""
-    shifted = reduce(
-        lambda c, ch: F.replace(c, F.lit(ch), F.lit(_SHIFTED[ch])), [SHIFT, *_RESERVED[:-1]], content
-    )
-    safe = F.when(F.rlike(content, F.lit("[\ue000-\ue008]")), shifted).otherwise(content)
-    replaced = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), ESCAPES, safe)
-    return F.when(F.contains(content, F.lit("\\")), replaced).otherwise(safe)
+_SIGN = r"[-+*/%=<>!&|^~?:.@]"
 
+# Languages by what blanks and line breaks mean in them; the others ignore both.
+PYTHON, SHELL, MARKUP = "python", "bash", "html"
+BREAKING = ("go", "typescript")  # a line break can end a statement
 
-def decode(token: Column) -> Column:
-    """Inverse of ``encode`` on a token or a text."""
-    plain = reduce(
-        lambda c, pair: F.replace(c, F.lit(pair[1]), F.lit(pair[0])), reversed(ESCAPES), token
-    )
-    return reduce(
-        lambda c, ch: F.replace(c, F.lit(_SHIFTED[ch]), F.lit(ch)), [*_RESERVED[:-1], SHIFT], plain
-    )
+
+_SCANNED = T.StructType([T.StructField("text", T.StringType()), T.StructField("sure", T.BooleanType())])
+
+
+@F.pandas_udf(_SCANNED)
+def _scanned(content: pd.Series, language: pd.Series) -> pd.DataFrame:
+    rows = [
+        (None, None) if text is None or name not in STOPS else scan(text, name)
+        for text, name in zip(content, language, strict=True)
+    ]
+    return pd.DataFrame(rows, columns=["text", "sure"])
 
 
-def split_unclosed(c: Column, opening: str, closing: str) -> Column:
-    """Break up comment openings behind the last closing, which cannot open a comment.
+def scanned(content: Column, language: Column) -> Column:
+    """``STRUCT<text, sure>``: the text without comments, literals marked; NULLs without a language.
 
-    Each of them would make the pattern search the rest of the text in vain, which is
-    quadratic in a text with many. The mark inside leaves the tokens again, also those of
-    strings, so that tokens do not depend on where the last closing stands.
+    ``sure`` is false where the text can be read in more than one way.
     """
-    tail = F.substring_index(c, closing, -1)
-    head = F.substring(c, F.lit(1), F.length(c) - F.length(tail))
-    broken = F.replace(tail, F.lit(opening), F.lit(opening[0] + UNCLOSED + opening[1:]))
-    return F.when(F.contains(tail, F.lit(opening)), F.concat(head, broken)).otherwise(c)
+    return _scanned(F.when(language.isNotNull(), content), language)
 
 
-def token_text(content: Column, language: Column) -> Column:
-    """All tokens but comments, each preceded by the separator, escapes still encoded."""
-    fam = family(language)
-    source = encode(content)
+def token_text(text: Column, language: Column) -> Column:
+    """All tokens of a scanned text, each preceded by the separator.
 
-    def scan(text: Column, name: str, blanks: str) -> Column:
+    Two signs with blanks between them are not the sign that they would be together, so the first
+    keeps one blank.
+    """
+
+    def cut(c: Column, breaks: str, blanks: str) -> Column:
         # Every character but blanks belongs to a token, so one replacement that swallows the
         # blanks behind each token leaves nothing but tokens; no array of tokens is built.
-        return F.regexp_replace(text, f"({PATTERNS[name]})[{blanks}]*", f"{SEPARATOR}$1")
-
-    def lines_scan(name: str) -> Column:
-        # Of consecutive line breaks only the last counts, reduced to its indentation.
-        text = scan(F.concat(F.lit("\n"), source, F.lit("\n")), name, r" \t\r\f")
-        comment = r"[ \t]*(?:#[^\n]*)?\n"
-        last = F.regexp_replace(
-            text, rf"{SEPARATOR}{comment}[ \t]*(?={SEPARATOR}{comment})", ""
-        )
-        return F.regexp_replace(last, rf"{SEPARATOR}{comment}([ \t]*)", rf"{SEPARATOR}" "\n$1")
-
-    def trimmed(opening: str, closing: str) -> Column:
-        return split_unclosed(F.ltrim(source, F.lit(" \t\r\n\f")), opening, closing)
+        tokens = f"{_LITERAL}|{_NAME}|{_NUMBER}|{breaks}{_SIGN}[{blanks}]+(?={_SIGN})|{_OTHER}"
+        spaced = F.regexp_replace(c, f"({tokens})[{blanks}]*", f"{SEPARATOR}$1")
+        return F.regexp_replace(spaced, f"({SEPARATOR}{_SIGN})[{blanks}]+", "$1 ")
+
+    def last_breaks(c: Column) -> Column:
+        # Of consecutive line breaks only the last counts, with the indentation behind it.
+        return F.regexp_replace(c, rf"{SEPARATOR}\n[ \t]*(?={SEPARATOR}\n)", "")
+
+    def shell(c: Column) -> Column:
+        # Blanks part words; those at the ends of lines and around ; and | do not count.
+        pieces = F.regexp_replace(c, rf"({_LITERAL}|{_WORD}|[ \t\r\f]+|{_OTHER}|\n)", f"{SEPARATOR}$1")
+        before = F.regexp_replace(pieces, rf"{SEPARATOR}[ \t\r\f]+(?={SEPARATOR}[\n;|])", "")
+        after = F.regexp_replace(before, rf"({SEPARATOR}[\n;|]){SEPARATOR}[ \t\r\f]+", "$1")
+        return last_breaks(F.regexp_replace(after, rf"{SEPARATOR}[ \t\r\f]+", f"{SEPARATOR} "))
+
+    blanks = F.lit(" \t\r\n\f")
+    framed = F.concat(F.lit("\n"), text, F.lit("\n"))
+    trimmed = F.btrim(text, blanks)
+    return (
+        F.when(language == PYTHON, last_breaks(cut(framed, r"\n[ \t]*|", r" \t\r\f")))
+        .when(language == SHELL, shell(framed))
+        .when(language == MARKUP, F.regexp_replace(
+            trimmed, rf"({_LITERAL}|{_NAME}|{_NUMBER}|{_OTHER})[ \t\r\n\f]*", f"{SEPARATOR}$1"
+        ))
+        .when(language.isin(*BREAKING), last_breaks(cut(trimmed, r"\n|", r" \t\r\f")))
+        .when(language.isNotNull(), cut(trimmed, "", r" \t\r\n\f"))
+    )
 
-    def code_only(text: Column, comment: str) -> Column:
-        mark = rf"{UNCLOSED}(?={SEPARATOR}|\z)"
-        bare = F.regexp_replace(text, rf"{SEPARATOR}(?:{comment}[^{SEPARATOR}]*|{mark})", "")
-        return F.replace(bare, F.lit(UNCLOSED), F.lit(""))
 
-    def slash_scan(name: str) -> Column:
-        return code_only(scan(trimmed("/*", "*/"), name, r" \t\r\n\f"), "/[/*]")
+def decode(token: Column) -> Column:
+    """The source text of a token."""
 
-    def html_scan() -> Column:
-        return code_only(scan(trimmed("<!--", "-->"), "html", r" \t\r\n\f"), "<!--")
+    def unshifted(t: Column) -> Column:
+        for mark in (SEPARATOR, OPEN, CLOSE, SHIFT):
+            t = F.replace(t, F.lit(SHIFT + chr(ord(mark) + 0x10)), F.lit(mark))
+        return t
 
-    return (
-        F.when(fam == "python", lines_scan("python"))
-        .when(fam == "bash", lines_scan("bash"))
-        .when(fam == "html", html_scan())
-        .when(fam == "rust", slash_scan("rust"))
-        .when(fam == "slash", slash_scan("slash"))
-    )
+    bare = F.replace(F.replace(token, F.lit(OPEN), F.lit("")), F.lit(CLOSE), F.lit(""))
+    return let(bare, lambda t: F.when(F.contains(t, F.lit(SHIFT)), unshifted(t)).otherwise(t))
 
 
 def token_kind(token: Column) -> Column:
-    """Coarse class of a decoded token by its first character."""
+    """Class of a token, not yet decoded, by its first characters."""
     return (
-        F.when(F.startswith(token, F.lit("\n")), "newline")
-        .when(F.rlike(token, F.lit("^[\"'`].")), "string")
+        F.when(F.rlike(token, F.lit(f"^{OPEN}?\n")), "newline")
+        .when(F.startswith(token, F.lit(" ")), "blank")
+        .when(F.startswith(token, F.lit(OPEN)), "string")
         .when(F.rlike(token, F.lit(r"^[\p{L}_$]")), "name")
         .when(F.rlike(token, F.lit("^[0-9]")), "number")
         .otherwise("symbol")

@@ -90,8 +90,13 @@ def fix_summary(overview: Column, review: Column) -> Column:
 
 def run_budget(system_prompt: Column, user_prompt: Column, timeout: Column | int = 0) -> Column:
     """Seconds allowed for a run: a base plus a rate per KB, or the given positive timeout."""
+    return run_seconds(F.length(system_prompt) + F.length(user_prompt), timeout)
+
+
+def run_seconds(chars: Column, timeout: Column | int = 0) -> Column:
+    """The same from the number of characters of both prompts."""
     timeout = timeout if isinstance(timeout, Column) else F.lit(timeout)
-    kb = F.shiftright(F.length(system_prompt) + F.length(user_prompt), 10)
+    kb = F.shiftright(chars, 10)
     rate = F.when(timeout == 0, SECONDS_PER_KB).otherwise(-timeout)
     return F.when(timeout > 0, timeout).otherwise(rate * kb + BASE_SECONDS)
 

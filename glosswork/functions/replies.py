@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glosswork.functions.text import let, py_strip
-from glosswork.functions.variants import field, lenient_json, text_of
+from glosswork.functions.variants import field, lenient_json, set_aside, text_of
 
 # The fence around a JSON reply, and the markers of an agent message event.
 FENCE_OPEN = "```json"
@@ -47,17 +47,19 @@ def may_be_message(line: Column) -> Column:
 def agent_message(line: Column) -> Column:
     """Text of an agent message event in either shape, fence removed; NULL for other lines."""
 
-    def message(event: Column) -> Column:
+    def message(event: Column, aside: Column) -> Column:
         current = F.when(
             (text_of(field(event, "type")) == EVENT_COMPLETED)
             & (text_of(field(event, "item.type")) == AGENT_MESSAGE),
-            text_of(field(event, "item.text")),
+            text_of(field(event, "item.text"), aside),
         )
         legacy = F.when(
             text_of(field(event, "msg.type")) == AGENT_MESSAGE,
-            text_of(field(event, "msg.message")),
+            text_of(field(event, "msg.message"), aside),
         )
         return F.coalesce(current, legacy)
 
-    parsed = F.when(may_be_message(line), lenient_json(py_strip(line)))
-    return let(let(parsed, message), unfenced)
+    def read(aside: Column) -> Column:
+        return let(lenient_json(aside["text"]), lambda event: message(event, aside))
+
+    return let(let(set_aside(F.when(may_be_message(line), py_strip(line))), read), unfenced)

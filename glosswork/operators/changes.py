@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from glosswork.functions.paths import parent_folder
 from glosswork.functions.text import py_splitlines
 from glosswork.operators.comments import with_language
-from glosswork.operators.fingerprint import fingerprint
-from glosswork.operators.steps import compute_once
+from glosswork.operators.fingerprint import HIGH, with_prints
+from glosswork.operators.grouping import likely_members
 
 
 def _sides(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -50,24 +50,26 @@ def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
 def snapshot_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """``path, change, kind`` of new and modified files.
 
-    ``kind`` of a modified file is ``comment_only`` or ``logic``, ``unknown`` without a
-    language; NULL for added files. Each snapshot is read once; hashes and fingerprints are
-    taken there and meet in one pre-aggregated shuffle, which the contents do not enter.
+    ``kind`` of a modified file is ``comment_only`` or ``logic``, ``unsure`` where a side can be read
+    in more than one way, ``unknown`` without a language; NULL for added files. Each
+    snapshot is read once; hashes and fingerprints are taken there and meet in one
+    pre-aggregated shuffle, which the contents do not enter.
     """
-    sides = compute_once(
-        with_language(_sides(old, new)),
-        _digest=F.sha2("content", 256),
-        _print=fingerprint(F.col("content"), F.col("language")),
-    ).select("path", "_new", "language", "_digest", "_print")
+    sides = with_language(_sides(old, new)).withColumn("_digest", F.sha2("content", 256))
+    sides = with_prints(sides, F.col("content"), F.col("language")).select(
+        "path", "_new", "language", "_digest", "_print.*"
+    )
     per_path = sides.groupBy("path").agg(
         *_digests(),
         F.max("language").alias("_language"),
-        F.min("_print").alias("_least"),
-        F.max("_print").alias("_most"),
+        F.min("fingerprint").alias("_least"),
+        F.max("fingerprint").alias("_most"),
+        F.every(F.col("confidence") == HIGH).alias("_sure"),
     )
     kind = (
         F.when(F.col("_before").isNull(), None)
         .when(F.col("_language").isNull(), "unknown")
+        .when(~F.col("_sure"), "unsure")
         .when(F.col("_least") == F.col("_most"), "comment_only")
         .otherwise("logic")
     )
@@ -77,19 +79,20 @@ def snapshot_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 def line_changes(old: DataFrame, new: DataFrame, changed: DataFrame | None = None) -> DataFrame:
     """Lines added to or removed from changed files, as multisets: ``path, line, side, n``.
 
-    Lines count +1 in the new and -1 in the old snapshot; one pre-aggregated shuffle. ``changed``
+    Lines count +1 in the new and -1 in the old snapshot; one pre-aggregated shuffle of the lines of
+    changed files. Files are chosen where they lie, so no text is exchanged; what else
+    passes has equal lines on both sides, or falls out at the end, where few rows are left. ``changed``
     names the changed paths where the caller has them already.
     """
     changed = (changed_files(old, new) if changed is None else changed).select("path")
-    lines = (
-        _sides(old, new)
-        .join(changed, "path", "left_semi")
-        .select("path", "_new", F.explode(py_splitlines(F.col("content"))).alias("line"))
+    lines = likely_members(_sides(old, new), changed, "path").select(
+        "path", "_new", F.explode(py_splitlines(F.col("content"))).alias("line")
     )
     return (
         lines.groupBy("path", "line")
         .agg(F.sum(F.when(F.col("_new"), 1).otherwise(-1)).alias("_delta"))
         .filter(F.col("_delta") != 0)
+        .join(changed, "path", "left_semi")
         .select(
             "path",
             "line",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Target size of one gathered array, in bytes of the gathered columns.
@@ -87,3 +87,45 @@ def collect_in_parts(
         .groupBy(*keys, "part", "parts")
         .agg(F.array_sort(F.collect_list(F.struct(*order, *(values or [])))).alias("items"))
     )
+
+
+def ordered_pieces(rows: DataFrame, keys: list[str], order: list[str], text: str, piece_bytes: int = PART_BYTES) -> DataFrame:
+    """The texts of each key, joined in ``order``, in pieces: ``keys, piece, text``.
+
+    Joining a key's pieces by ``piece``, whose numbers ascend with gaps, gives all its texts in order; a
+    piece holds about ``piece_bytes``, or one longer text. The rows are dealt by range of key and
+    order, so a key of any size lies in several neighbouring partitions, whose number is the first part of
+    ``piece``; within one, bytes are summed up to where the next piece begins.
+    """
+    pid = F.spark_partition_id().cast("long")
+    ranged = rows.select(*keys, *order, text).repartitionByRange(*keys, *order).withColumn("_pid", pid)
+    running = Window.partitionBy(*keys, "_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.octet_length(text).cast("long") + 16).over(running), F.lit(0))
+    numbered = ranged.withColumn("_number", F.floor(before / piece_bytes).cast("long"))
+    return numbered.groupBy(*keys, "_pid", "_number").agg(
+        F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text")))).alias("_items")
+    ).select(
+        *keys,
+        (F.shiftleft("_pid", 40) + F.col("_number")).alias("piece"),
+        F.array_join("_items._text", "").alias("text"),
+    )
+
+
+# Bits of the table that pre-selects rows by key: at most 2 ** (FILTER_BITS - 5) short rows are broadcast.
+FILTER_BITS = 24
+
+
+def likely_members(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` may be among ``keys``, chosen where they lie: nothing of them is exchanged.
+
+    Each key sets one bit, by its hash, in a table of fixed size. All rows with a key pass, and of the others a
+    share as large as that of the bits set. For large rows of which few are needed, ahead of an exact join.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int"))
+    words = keys.select(F.shiftright(bit, 5).alias("_word"), mask.alias("_mask")).groupBy("_word").agg(
+        F.bit_or("_mask").alias("_bits")
+    )
+    marked = rows.withColumns({"_word": F.shiftright(bit, 5), "_mask": mask})
+    hit = marked.join(F.broadcast(words), "_word")
+    return hit.filter(F.col("_bits").bitwiseAND(F.col("_mask")) != 0).select(*rows.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from glosswork.functions import comments as c
 from glosswork.functions.paths import parent_folder
-from glosswork.functions.render import run_budget
+from glosswork.functions.render import run_budget, run_seconds
 from glosswork.functions.text import (
     json_list,
     json_map,
@@ -18,13 +18,10 @@ from glosswork.functions.text import (
     strip_newlines,
 )
 from glosswork.operators.comments import MARKER_COLUMNS, with_language
-from glosswork.operators.grouping import PART_BYTES, collect_in_parts
+from glosswork.operators.grouping import PART_BYTES, collect_in_parts, ordered_pieces
 from glosswork.operators.steps import compute_once
 
 
-ERR_REFERENCES = "the folder's references are too long for a request"
-
-
 def folder_references(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Reference documents of each folder: ``folder, part, parts, references`` (sorted)."""
     distinct = docs.select("folder", F.col("path").alias("reference")).distinct()
@@ -85,7 +82,8 @@ def build_review_requests(
 
     ``refs`` are reference documents (``folder, path``); a ``context`` column of ``files``
     takes precedence over the argument. Files without code give an empty ``request.input``.
-    Where a folder's references exceed ``part_bytes``, there is an error instead of a request.
+    Where a folder's references exceed ``part_bytes``, ``request.references`` is NULL, and so is the
+    prompt that ``render_prompts`` makes; ``request_pieces`` gives the whole request in order.
     """
     df = with_language(files)
     if refs is not None:
@@ -108,15 +106,13 @@ def build_review_requests(
         F.col("context"),
         strip_newlines(code).alias("input"),
     )
-    parts = F.col("reference_parts") if "reference_parts" in df.columns else F.lit(0)
-    too_long = parts > 1
-    df = compute_once(df, request=F.when(F.col("language").isNotNull() & ~too_long, request))
+    df = compute_once(df, request=F.when(F.col("language").isNotNull(), request))
     return df.select(
         "path",
         *MARKER_COLUMNS,
         "request",
-        *([parts] if "reference_parts" in df.columns else []),
-        F.coalesce("err", F.when(too_long, ERR_REFERENCES)).alias("err"),
+        *(["reference_parts"] if "reference_parts" in df.columns else []),
+        "err",
     )
 
 
@@ -135,11 +131,60 @@ def request_json(request: Column, fields: list[T.StructField]) -> Column:
     return json_members(members)
 
 
+def list_items(rows: DataFrame, keys: list[str], item: str, text: Column) -> DataFrame:
+    """Rows of indented JSON lists with their text: the first of each key without the comma ahead."""
+    first = rows.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.min(item).alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    comma = F.when(F.col(item) == F.col("_first"), "").otherwise(",")
+    return rows.join(first, same).select(*keys, item, F.concat(comma, F.lit("\n    "), text).alias("text"))
+
+
+def reference_pieces(docs: DataFrame, piece_bytes: int = PART_BYTES) -> DataFrame:
+    """The items of each folder's reference list as JSON text in ordered pieces: ``folder, piece, text``."""
+    distinct = docs.select("folder", F.col("path").alias("reference")).distinct()
+    items = list_items(distinct, ["folder"], "reference", json_string(F.col("reference")))
+    return ordered_pieces(items, ["folder"], ["reference"], "text", piece_bytes)
+
+
+def request_pieces(requests: DataFrame, docs: DataFrame, lang: str = "", piece_bytes: int = PART_BYTES) -> DataFrame:
+    """Whole requests of any size as JSON text in ordered pieces: ``path, piece, text``.
+
+    Joined by ``piece``, the texts of a path are the ``user_prompt`` that a request of ordinary size
+    has. The list of a folder is cut once and repeats for each of the given requests, so pass
+    those that are about to run.
+    """
+    fields = requests.schema["request"].dataType.fields
+    request = F.col("request").withField(
+        "comment_language", c.language_override(lang, F.col("request.comment_language"))
+    ).withField("references", F.array(F.lit("")))
+    asked = requests.filter(F.col("request").isNotNull())
+    # The text around the list, cut at its one empty item.
+    frame = F.split(request_json(request, fields), '\\n    ""\n  ', 2)
+    parts = asked.select("path", parent_folder(F.col("path")).alias("_folder"), frame.alias("_frame"))
+    lists = reference_pieces(docs, piece_bytes)
+    ends = lists.groupBy(F.col("folder").alias("_listed")).agg(F.lit(True).alias("_any"))
+    framed = parts.join(ends, F.col("_folder") == F.col("_listed"), "left")
+    closing = F.when(F.col("_any"), F.lit("\n  ")).otherwise(F.lit(""))
+    around = F.array(
+        F.struct(F.lit(-1).cast("long").alias("piece"), F.get("_frame", F.lit(0)).alias("text")),
+        F.struct(F.lit(2**63 - 1).alias("piece"), F.concat(closing, F.get("_frame", F.lit(1))).alias("text")),
+    )
+    middle = parts.select("path", "_folder").join(lists, F.col("_folder") == F.col("folder")).select("path", "piece", "text")
+    return framed.select("path", F.inline(around)).unionByName(middle)
+
+
+def piece_budgets(pieces: DataFrame, key: str, system_prompt: Column, timeout: Column | int = 0) -> DataFrame:
+    """Time allowed for runs whose requests come in pieces: ``key, seconds``."""
+    chars = pieces.groupBy(key).agg(F.sum(F.length("text").cast("long")).alias("_chars"))
+    return chars.select(key, run_seconds(F.col("_chars") + F.length(system_prompt), timeout).alias("seconds"))
+
+
 def render_prompts(requests: DataFrame, template: str, lang: str = "") -> DataFrame:
     """Add ``system_prompt`` and ``user_prompt``.
 
     ``template`` may hold the placeholders `` `comment_language` `` and, for file requests,
-    `` `programming_language` ``. A non-empty ``lang`` replaces the stored comment language.
+    `` `programming_language` ``. A non-empty ``lang`` replaces the stored comment language. A request
+    with a list in pieces has no ``user_prompt`` here.
     """
     fields = requests.schema["request"].dataType.fields
     df = requests.withColumn(
@@ -157,8 +202,12 @@ def render_prompts(requests: DataFrame, template: str, lang: str = "") -> DataFr
             F.replace(system, F.lit("`programming_language`"), F.col("language")),
         ).otherwise(system)
     has_request = F.col("request").isNotNull()
+    whole = has_request
+    for f in fields:
+        if isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            whole = whole & F.col("request")[f.name].isNotNull()
     return df.withColumn("system_prompt", F.when(has_request, system)).withColumn(
-        "user_prompt", F.when(has_request, request_json(F.col("request"), fields))
+        "user_prompt", F.when(whole, request_json(F.col("request"), fields))
     )
 
 

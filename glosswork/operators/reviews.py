@@ -118,14 +118,14 @@ def _report_head(ai: Column | str, ts: Column | str) -> Column:
     )
 
 
-def _report_tail(raw: Column) -> Column:
+def _report_tail(raw: Column, aside: Column | None) -> Column:
     def text(name: str) -> Column:
         value = v.field(raw, name.lower())
         shown = F.when(v.is_falsy(value), "") if name == "Design" else F.when(value.isNull(), "")
-        return F.concat(F.lit(f"\n# {name}:\n"), shown.otherwise(v.printed(value)), F.lit("\n"))
+        return F.concat(F.lit(f"\n# {name}:\n"), shown.otherwise(v.printed(value, aside)), F.lit("\n"))
 
     lists = [
-        md_list(F.transform(v.items(v.field(raw, title.lower())), v.printed), title)
+        md_list(F.transform(v.items(v.field(raw, title.lower())), lambda x: v.printed(x, aside)), title)
         for title in LIST_SECTIONS
     ]
     return F.concat(text("Overview"), text("Review"), text("Design"), *lists)
@@ -141,13 +141,14 @@ def render_project_reports(
     """Folder reports: ``folder, part, report, err``; texts in order of ``part`` make a report.
 
     ``entries`` come from ``project_entries``; ``payloads(folder, raw, comment_language)`` hold
-    one checked reply per folder. Non-empty ``reviews`` of a reply replace the listed files,
+    one checked reply per folder, with ``aside`` where very long strings were set aside. Non-empty ``reviews`` of a reply replace the listed files,
     and a list of ``sub_module_reviews`` the listed sub-modules.
 
     A report is one row unless its listing exceeds ``part_bytes``; then it is cut into parts
     that are built apart, each sorted, files before sub-modules.
     """
     raw = F.col("raw")
+    aside = F.col("aside") if "aside" in payloads.columns else None
     if "comment_language" not in payloads.columns:
         payloads = payloads.withColumn("comment_language", F.lit(c.DEFAULT_LANGUAGE))
     replies = compute_once(
@@ -155,7 +156,7 @@ def render_project_reports(
         _files=v.field(raw, "reviews"),
         _subs=v.field(raw, "sub_module_reviews"),
         _head=_report_head(ai, ts),
-        _tail=_report_tail(raw),
+        _tail=_report_tail(raw, aside),
     )
     has_files = v.is_object(F.col("_files")) & ~v.is_falsy(F.col("_files"))
     has_subs = v.is_list(F.col("_subs"))
@@ -175,7 +176,7 @@ def render_project_reports(
     names = F.map_keys(F.try_variant_get(F.col("_files"), "$", "map<string,variant>"))
     own = [
         F.transform(F.when(has_files, names), lambda p: row(0, p, none)),
-        F.transform(F.when(has_subs, v.items(F.col("_subs"))), lambda p: row(1, v.printed(p), none)),
+        F.transform(F.when(has_subs, v.items(F.col("_subs"))), lambda p: row(1, v.printed(p, aside), none)),
     ]
     frame = F.array(row(-1, none, F.col("_head")), row(2, none, F.col("_tail")))
     rows = F.concat(frame, *[F.coalesce(x, F.slice(frame, 1, 0)) for x in own])

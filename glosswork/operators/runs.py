@@ -100,8 +100,8 @@ def event_stream_payload(stdout: Column) -> Column:
 def result_object_payload(stdout: Column) -> Column:
     """``STRUCT<payload, err>`` of one JSON object whose ``result`` is the reply."""
 
-    def find(data: Column) -> Column:
-        result = py_strip(v.text_of(v.field(data, "result")))
+    def find(data: Column, aside: Column) -> Column:
+        result = py_strip(v.text_of(v.field(data, "result"), aside))
         err = (
             F.when(data.isNull(), ERR_STDOUT_JSON)
             .when(~v.is_object(data), ERR_STDOUT_KIND)
@@ -112,7 +112,7 @@ def result_object_payload(stdout: Column) -> Column:
             F.when(err.isNull(), unfenced(result)).alias("payload"), err.alias("err")
         )
 
-    return let(v.lenient_json(stdout), find)
+    return let(v.set_aside(stdout), lambda aside: let(v.lenient_json(aside["text"]), lambda data: find(data, aside)))
 
 
 # How each provider's standard output is read; add an entry for another provider.
@@ -174,7 +174,7 @@ def extract_json_objects(payloads: DataFrame) -> DataFrame:
         _json=F.when(
             F.col("_text").isNotNull(),
             F.when(
-                direct & (in_braces | v.lenient_json(F.col("_text")).isNotNull()), whole
+                direct & (in_braces | let(v.set_aside(F.col("_text")), lambda a: v.lenient_json(a["text"])).isNotNull()), whole
             ).otherwise(braces(F.col("_text"))),
         ),
     )
@@ -250,18 +250,22 @@ def _repair(texts: pd.Series) -> pd.DataFrame:
 
 
 def repair_json_rows(json_texts: DataFrame) -> DataFrame:
-    """Add ``data`` (VARIANT), ``repaired`` and the error of texts beyond repair.
+    """Add ``data`` (VARIANT), ``aside``, ``repaired`` and the error of texts beyond repair.
 
     Texts the strict parser accepts never reach Python: the function gets NULL for them. One
-    scan serves both kinds, where a filter and a union would read the runs twice.
+    scan serves both kinds, where a filter and a union would read the runs twice. In very long texts
+    the strings of ``data`` are numbers of those in ``aside`` (``variants.set_aside``),
+    which has none for all others; ``variants.text_of`` puts them back.
     """
     ship(json_texts.sparkSession)
-    df = compute_once(json_texts, _parsed=v.strict_json(F.col("json_text")))
+    df = compute_once(json_texts, _cut=v.set_aside(F.col("json_text")))
+    df = compute_once(df, _parsed=v.strict_json(F.col("_cut.text")))
     df = df.withColumn(
         "_fixed", _repair(F.when(F.col("_parsed").isNull(), F.col("json_text")))
     )
+    df = compute_once(df, aside=F.when(F.col("_parsed").isNotNull(), F.col("_cut")).otherwise(v.set_aside(F.col("_fixed.text"))))
     df = compute_once(
-        df, _data=F.coalesce(F.col("_parsed"), F.try_parse_json(F.col("_fixed.text")))
+        df, _data=F.coalesce(F.col("_parsed"), F.try_parse_json(F.col("aside.text")))
     )
     err = (
         F.when(F.col("err").isNotNull(), F.col("err"))
@@ -271,57 +275,58 @@ def repair_json_rows(json_texts: DataFrame) -> DataFrame:
     return df.select(
         *json_texts.drop("err").columns,
         F.when(err.isNull(), F.col("_data")).alias("data"),
+        F.struct("aside.mark", "aside.longs").alias("aside"),
         (F.coalesce(F.col("_fixed.repaired"), F.lit(False)) & F.col("_data").isNotNull()).alias("repaired"),
         err.alias("err"),
     )
 
 
-def _first_error(data: Column, check_output: bool) -> Column:
-    """First broken rule of a reply, as an error text; NULL when all hold."""
+REPLY_FIELDS = ("error", "overview", "review", "design", *LIST_FIELDS, "output")
+
 
-    error = v.field(data, "error")
-    said = v.printed(error)
+def _first_error(data: Column, fields: Column, check_output: bool, aside: Column | None) -> Column:
+    """First broken rule of a reply, as an error text; NULL when all hold."""
+    error = fields["error"]
+    said = v.printed(error, aside)
     err = (
         F.when(~v.is_object(data), ERR_NOT_OBJECT)
         .when(
-            ~v.is_falsy(error) & (F.coalesce(py_strip(v.text_of(error)), said) != ""),
+            ~v.is_falsy(error) & (F.coalesce(py_strip(v.text_of(error, aside)), said) != ""),
             F.concat(F.lit(ERR_REPORTED), said),
         )
-        .when(
-            v.field(data, "overview").isNull() | v.field(data, "review").isNull(),
-            ERR_KEYS,
-        )
+        .when(fields["overview"].isNull() | fields["review"].isNull(), ERR_KEYS)
     )
-    design = v.field(data, "design")
+    design = fields["design"]
     err = err.when(
         ~v.is_falsy(design) & v.text_of(design).isNull(), ERR_TEXT.format("design")
     )
     for name in LIST_FIELDS:
-        value = v.field(data, name)
+        value = fields[name]
         err = err.when(
             ~v.is_falsy(value) & ~v.is_list(value), ERR_LIST.format(name)
         )
     if check_output:
-        err = err.when(
-            v.text_of(v.field(data, "output")).isNull(), ERR_TEXT.format("output")
-        )
+        err = err.when(v.text_of(fields["output"]).isNull(), ERR_TEXT.format("output"))
     return err
 
 
-def review_payload(data: Column) -> Column:
+def review_payload(fields: Column, aside: Column | None = None) -> Column:
     """Typed reply: text fields NULL unless they are strings, list items that are strings."""
 
+    def text(name: str) -> Column:
+        return v.text_of(fields[name], aside)
+
     def strings(name: str) -> Column:
-        texts = F.transform(v.items(v.field(data, name)), v.text_of)
+        texts = F.transform(v.items(fields[name]), lambda x: v.text_of(x, aside))
         return F.filter(texts, lambda s: s.isNotNull()).alias(name)
 
     return F.struct(
-        v.text_of(v.field(data, "overview")).alias("overview"),
-        v.text_of(v.field(data, "review")).alias("review"),
-        F.coalesce(v.text_of(v.field(data, "design")), F.lit("")).alias("design"),
+        text("overview").alias("overview"),
+        text("review").alias("review"),
+        F.coalesce(text("design"), F.lit("")).alias("design"),
         *[strings(name) for name in LIST_FIELDS],
-        v.text_of(v.field(data, "output")).alias("output"),
-        v.text_of(v.field(data, "error")).alias("error"),
+        text("output").alias("output"),
+        text("error").alias("error"),
     )
 
 
@@ -329,21 +334,26 @@ def validate_review_payloads(payloads: DataFrame, check_output: bool = False) ->
     """Check replies: ``raw`` (VARIANT), typed ``data``, ``err`` and ``severity``.
 
     The first broken rule makes the error; optional fields that are empty in any way get
-    their defaults. Fix replies are checked without ``check_output``.
+    their defaults. Fix replies are checked without ``check_output``. Strings in the ``aside`` of
+    ``repair_json_rows`` are put back in ``data``; ``aside`` goes on with ``raw``.
     """
+    aside = F.col("aside") if "aside" in payloads.columns else None
+    # Members are taken out once, so that the rules and the typed reply read plain columns.
+    members = F.struct(*[v.field(F.col("data"), name).alias(name) for name in REPLY_FIELDS])
+    df = compute_once(payloads, _fields=members)
     df = compute_once(
-        payloads,
+        df,
         _err=F.coalesce(
             F.col("err"),
             F.when(F.col("data").isNull(), ERR_NO_DATA),
-            _first_error(F.col("data"), check_output),
+            _first_error(F.col("data"), F.col("_fields"), check_output, aside),
         ),
     )
     good = F.col("_err").isNull()
     return df.select(
         *payloads.drop("err", "data").columns,
         F.when(good, F.col("data")).alias("raw"),
-        F.when(good, review_payload(F.col("data"))).alias("data"),
+        F.when(good, review_payload(F.col("_fields"), aside)).alias("data"),
         F.col("_err").alias("err"),
         F.when(good, "OK").otherwise("ERROR").alias("severity"),
     )

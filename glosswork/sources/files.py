@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.functions.paths import file_name, parent_folder
+from glosswork.functions.paths import file_name, parent_folder, relative_path
 from glosswork.functions.text import is_blank
 from glosswork.functions.variants import is_object, lenient_json
 from glosswork.languages import LANGUAGES, Language, known_extensions
 from glosswork.operators.comments import filter_reviewable
+from glosswork.operators.steps import compute_once
 from glosswork.session import accept_repeated_keys
 
 # Layout of an event log: one line of a run's output per record.
@@ -36,12 +38,14 @@ def scan_source_files(
     folder: str,
     recursive: bool = False,
     registry: tuple[Language, ...] = LANGUAGES,
+    root: str | None = None,
 ) -> DataFrame:
     """Text of the supported files directly in a folder: ``path, content, err``.
 
     Unsupported names are skipped when files are listed, before any content is read. Line
-    ends are unified. Files that are not UTF-8 have an ``err``. Spark skips names that start
-    with a dot or an underscore.
+    ends are unified. Files that are not UTF-8 have an ``err``. With ``root``, an absolute folder, paths are
+    relative to it, and files outside of it keep their path and have an ``err`` instead of a text.
+    Spark skips names that start with a dot or an underscore.
     """
     raw = (
         spark.read.format("binaryFile")
@@ -50,7 +54,7 @@ def scan_source_files(
         .load(folder)
     )
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    return raw.select(
+    files = raw.select(
         _local_path().alias("path"),
         F.regexp_replace(text, "\r\n?", "\n").alias("content"),
         F.when(
@@ -58,6 +62,20 @@ def scan_source_files(
             F.concat(F.lit("Failed to read source file "), _local_path(), F.lit(": not UTF-8")),
         ).alias("err"),
     )
+    if root is None:
+        return files
+    inner = compute_once(files, _rel=relative_path(F.col("path"), F.lit(root)))
+    outside = F.col("_rel").isNull()
+    return inner.select(
+        F.coalesce("_rel", "path").alias("path"),
+        F.when(~outside, F.col("content")).alias("content"),
+        F.when(outside, outside_root(F.col("path"), root)).otherwise(F.col("err")).alias("err"),
+    )
+
+
+def outside_root(path: Column, root: str) -> Column:
+    """The error of a file that lies outside of the working root."""
+    return F.concat(F.lit("'"), path, F.lit(f"' is not in the subpath of '{root}'"))
 
 
 def source_table(table: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -88,8 +106,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def scan_reference_docs(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """Markdown documents of a folder; contents are not read."""
+def scan_reference_docs(
+    spark: SparkSession, folder: str, recursive: bool = False, root: str | None = None
+) -> DataFrame:
+    """Markdown documents of a folder: ``folder, path``; contents are not read.
+
+    With ``root``, an absolute folder, both are relative to it, and rows outside of it have an ``err``.
+    """
     listing = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.md")
@@ -97,7 +120,15 @@ def scan_reference_docs(spark: SparkSession, folder: str, recursive: bool = Fals
         .load(folder)
         .select(_local_path().alias("path"))
     )
-    return reference_docs(listing)
+    if root is None:
+        return reference_docs(listing)
+    rel = compute_once(listing, _rel=relative_path(F.col("path"), F.lit(root)))
+    placed = rel.select(
+        F.coalesce("_rel", "path").alias("path"), F.when(F.col("_rel").isNull(), outside_root(F.col("path"), root)).alias("err")
+    )
+    return placed.filter(is_reference_doc(F.col("path"))).select(
+        parent_folder(F.col("path")).alias("folder"), "path", "err"
+    )
 
 
 def run_events(lines: DataFrame) -> DataFrame:
@@ -138,8 +169,22 @@ def write_project_reports(df: DataFrame, path: str) -> None:
 
 
 def write_attempt_failures(df: DataFrame, path: str) -> None:
-    """Append failed attempts, one directory per error class."""
-    df.write.mode("append").partitionBy("err_class").parquet(path)
+    """Add failed attempts to a table, one directory per error class, each attempt once.
+
+    Attempts that the table holds already, by request and number, are left out, so a repeated or resumed
+    write gives the same table. Only their keys are read. An interrupted write adds
+    nothing: files count from the job's commit on. One writer at a time.
+    """
+    keys = ["request_id", "attempt"]
+    try:
+        stored = df.sparkSession.read.schema(df.schema).parquet(path).select(*keys).distinct()
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        fresh = df
+    else:
+        fresh = df.join(stored, keys, "left_anti").select(*df.columns)
+    fresh.write.mode("append").partitionBy("err_class").parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str | None:

@@ -204,12 +204,42 @@ def test_repeated_paths_of_a_folder(spark):
     assert got == {"a": {"a/x.py": "zz new", "a/y.py": "r"}, "b": {"b/z.py": "r"}}
 
 
-def test_references_beyond_the_limit_are_an_error(spark):
-    docs = spark.createDataFrame([("a", f"a/{i}.md") for i in range(30)], "folder string, path string")
-    files = spark.createDataFrame([("a/x.py", "x = 1")], "path string, content string")
-    got = rq.build_review_requests(files, docs, part_bytes=200).collect()
-    assert [(r.request, r.err) for r in got] == [(None, rq.ERR_REFERENCES)]
-    assert rq.build_review_requests(files, docs).first().err is None
+def whole(pieces, key):
+    got = {}
+    for r in pieces.collect():
+        got.setdefault(r[key], []).append((r.piece, r.text))
+    return {k: (len(v), "".join(t for _, t in sorted(v))) for k, v in got.items()}
+
+
+def test_requests_of_any_size_in_pieces(spark):
+    docs = spark.createDataFrame([("a", f"a/{i}\".md") for i in range(300)] + [("a", "a/1\".md"), ("c", "c/1.md")], "folder string, path string")
+    files = spark.createDataFrame([("a/x.py", "x = 1"), ("a/y.py", "#\\/ [\n\ny"), ("b/z.py", "z"), ("c/w.py", "w"), ("n.txt", "n")], "path string, content string")
+    expected = {r.path: r.user_prompt for r in rq.render_prompts(rq.build_review_requests(files, docs, "ctx"), "t", "French").collect() if r.user_prompt}
+    asked = rq.build_review_requests(files, docs, "ctx", part_bytes=200)
+    cut = {r.path: r for r in rq.render_prompts(asked, "t", "French").collect()}
+    assert cut["a/x.py"].user_prompt is None and cut["a/x.py"].err is None and cut["a/x.py"].request.input == "x = 1"
+    assert cut["b/z.py"].user_prompt == expected["b/z.py"]
+    for size in (1, 200, 10**9):
+        got = whole(rq.request_pieces(asked, docs, "French", size), "path")
+        assert {k: t for k, (_, t) in got.items()} == expected
+        assert size != 200 or got["a/x.py"][0] > 20
+    seconds = {r.path: r.seconds for r in rq.piece_budgets(rq.request_pieces(asked, docs, "French", 200), "path", F.lit("t")).collect()}
+    budget = {r.path: r.seconds for r in rq.estimate_run_budget(rq.render_prompts(rq.build_review_requests(files, docs, "ctx"), "t", "French")).collect() if r.seconds}
+    assert seconds == budget
+
+
+def test_folder_requests_of_any_size_in_pieces(spark):
+    folders = spark.createDataFrame([("p",), ("p/q",), ("p/r",), ("e",)], "folder string")
+    given = spark.createDataFrame([(f"p/{i}.py", f"r\n{i}\"") for i in range(200)] + [("p/1.py", "older"), ("p/q/c.py", ""), ("p/n.py", None)], "path string, review string")
+    stored = spark.createDataFrame([("p", "$lang: Deutsch x\nold"), ("p/q", "old"), ("p/r", "old")], "folder string, report string")
+    for refs in (None, spark.createDataFrame([("p", f"p/N{i}.md") for i in range(50)], "folder string, path string")):
+        args = (folders, given, stored, refs)
+        expected = {r.folder: r.user_prompt for r in rq.render_prompts(pj.build_project_requests(*args, "c"), "t").collect()}
+        asked = pj.build_project_requests(*args, "c", part_bytes=300)
+        flags = {r.folder: r.pieces for r in asked.collect()}
+        assert flags["p"] and not flags["p/q"] and len(expected) == 4
+        for size in (1, 300, 10**9):
+            assert {k: t for k, (_, t) in whole(pj.project_request_pieces(asked, *args, piece_bytes=size), "folder").items()} == expected
 
 
 def test_snapshots_meet_in_one_shuffle_without_texts(spark, tmp_path):
@@ -235,4 +265,4 @@ def test_project_requests(spark):
     assert got["p/.h"].request.reviews == {} and got["p/.h"].request.comment_language == "English" and len(got) == 3
     many = spark.createDataFrame([(f"p/{i}.py", "r" * 50) for i in range(30)], "path string, review string")
     cut = {r.folder: r for r in pj.build_project_requests(folders, many, stored, part_bytes=500).collect()}
-    assert cut["p"].request is None and cut["p"].err == pj.ERR_LISTS and cut["p/q"].err is None
+    assert cut["p"].pieces and cut["p"].request.reviews is None and not cut["p/q"].pieces

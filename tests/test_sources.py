@@ -62,7 +62,7 @@ def test_sinks(spark, tmp_path):
     failed = spark.createDataFrame([("r", 1, "x")], "request_id string, attempt int, err_class string")
     for _ in range(2):
         so.write_attempt_failures(failed, str(tmp_path / "failures"))
-    assert spark.read.parquet(str(tmp_path / "failures")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "failures")).count() == 1
 
 
 def test_prompts(spark):
@@ -139,3 +139,52 @@ def test_results_do_not_depend_on_partitions(spark, n):
     events = spark.createDataFrame(rows, "request_id string, seq long, line string").repartition(n)
     got = {r.request_id: r.text for r in ru.first_agent_message(events).collect()}
     assert got["hot"] == "m1" and len(got) == 101
+
+
+def test_rooted_scans(spark, tmp_path):
+    (tmp_path / "w" / "a").mkdir(parents=True)
+    (tmp_path / "w" / "a" / "x.py").write_text("x")
+    (tmp_path / "w" / "a" / "N.md").write_text("n")
+    (tmp_path / "out.py").write_text("y")
+    root = str(tmp_path / "w")
+    got = {r.path: (r.content, r.err) for r in so.scan_source_files(spark, str(tmp_path), recursive=True, root=root).collect()}
+    outside = str(tmp_path / "out.py")
+    assert got == {"a/x.py": ("x", None), outside: (None, f"'{outside}' is not in the subpath of '{root}'")}
+    docs = so.scan_reference_docs(spark, str(tmp_path), recursive=True, root=root).collect()
+    assert [tuple(r) for r in docs] == [("a", "a/N.md", None)]
+    other = so.scan_reference_docs(spark, root, recursive=True, root=str(tmp_path / "v")).first()
+    assert other.path == f"{root}/a/N.md" and other.err.endswith(f"is not in the subpath of '{tmp_path}/v'")
+
+
+def test_failures_are_written_once(spark, tmp_path):
+    schema = "request_id string, attempt int, err string, err_class string"
+    rows = [("a", 1, "e1", "c"), ("a", 2, "e2", "d"), ("b", 1, "e3", "c")]
+    path = str(tmp_path / "failures")
+    for upto in (2, 2, 3, 3, 1):
+        so.write_attempt_failures(spark.createDataFrame(rows[:upto], schema), path)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("request_id", "attempt", "err", "err_class").collect()) == rows
+    so.write_attempt_failures(spark.createDataFrame([], schema), path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_stream_with_state_for_open_runs_only(spark, tmp_path):
+    told = '{"msg":{"type":"agent_message","message":"m%d"}}'
+    ended = '{"type":"turn.completed"}'
+    first = [("a", 3, told % 3), ("b", 1, told % 1), ("c", 5, told % 5)]
+    second = [("a", 2, told % 2), ("a", 9, ended), ("b", 2, told % 2), ("c", 6, ended), ("d", 1, '{"type":"start"}'), ("e", 1, ended)]
+    third = [("b", 0, told % 0), ("c", 7, told % 7), ("d", 4, told % 4)]
+    schema = "request_id string, seq long, line string, ts timestamp"
+    source = str(tmp_path / "in")
+    for i, rows in enumerate((first, second, third)):
+        events = spark.createDataFrame([(*r, None) for r in rows], schema).withColumn("ts", F.expr(f"TIMESTAMP'2025-01-01 00:0{i}:00'"))
+        events.coalesce(1).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(schema).parquet(source)
+        out = st.stream_messages_until_end(arriving, ("turn.completed",), idle_ms=3_600_000)
+        st.write_versions(out, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        got = st.last_versions(spark, "request_id string, seq long, text string", str(tmp_path / "out"), "request_id", "-seq")
+        found = {r.request_id: r.text for r in got.collect()}
+        every = spark.read.parquet(source)
+        assert found == {r.request_id: r.text for r in ru.first_agent_message(every).collect()}
+    assert found == {"a": "m2", "b": "m0", "c": "m5", "d": "m4"}
+    left = spark.read.format("statestore").load(str(tmp_path / "state")).select("key.request_id").collect()
+    assert {r.request_id for r in left} == {"b", "c", "d"}  # c spoke again after its end
