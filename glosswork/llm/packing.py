@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -36,8 +37,8 @@ class WordIds(dict):
             return b""
         text = word.decode("utf-8", "replace")
         stem = text.rstrip(".,")
-        # Letters end where the marks begin; other scripts may gain combining marks when they are normalized.
-        if text.isascii() and stem and len(stem) < len(text) and stem[-1].isalpha():
+        # Letters end where the marks begin, unless the last one gains a combining mark when it is normalized.
+        if stem and len(stem) < len(text) and stem[-1].isalpha() and unicodedata.normalize("NFC", stem.lower())[-1].isalpha():
             ids = self[stem.encode()] + self[text[len(stem):].encode()]
         else:
             ids = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
