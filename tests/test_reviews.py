@@ -1,5 +1,7 @@
 """Folder roll-ups, reports, changes, and groups too large for one row."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from glosswork.operators import fingerprint as fg
 from glosswork.operators import projects as pj
 from glosswork.operators import requests as rq
 from glosswork.operators import reviews as rv
-from glosswork.operators.grouping import collect_in_parts
+from glosswork.operators.grouping import collect_in_parts, likely_members
 
 TS = "2025-01-01 00:00:00"
 
@@ -251,6 +253,32 @@ def test_snapshots_meet_in_one_shuffle_without_texts(spark, tmp_path):
     assert "content" not in plan.split("Exchange hashpartitioning")[0]
 
 
+def exchanged(df):
+    """The input columns of every exchange of a plan."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = df._jdf.queryExecution().explainString(mode)
+    return re.findall(r"\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*?)\]\n", text)
+
+
+def test_line_changes_exchange_no_texts(spark, tmp_path):
+    rows = {"old": {"a.py": "x\ny", "b.py": "same", "c.py": "gone\nsame"}, "new": {"a.py": "x\nz\nz", "b.py": "same", "d.py": "n"}}
+    for side, files in rows.items():
+        spark.createDataFrame(list(files.items()), "path string, content string").write.parquet(str(tmp_path / side))
+    old, new = (spark.read.parquet(str(tmp_path / side)) for side in ("old", "new"))
+    changes = ch.line_changes(old, new)
+    moved = exchanged(changes)
+    assert moved and not any("content" in columns for columns in moved)
+    got = sorted(tuple(r) for r in changes.collect())
+    assert got == [("a.py", "y", "removed", 1), ("a.py", "z", "added", 2), ("d.py", "n", "added", 1)]
+
+
+def test_likely_members_lose_no_key(spark):
+    rows = spark.createDataFrame([(f"k{i}", i) for i in range(3000)] + [(None, -1)], "key string, n int")
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(0, 3000, 7)] + [("other",)], "key string")
+    got = {r.key for r in likely_members(rows, keys, "key").collect()}
+    assert {f"k{i}" for i in range(0, 3000, 7)} <= got and len(got) < 450
+
+
 def test_project_requests(spark):
     folders = spark.createDataFrame([("p",), ("p/q",), ("p/.h",), ("p",)], "folder string")
     given = spark.createDataFrame([("p/a.py", "ra"), ("p/b.py", None), ("p/q/c.py", "rc")], "path string, review string")
