@@ -230,6 +230,32 @@ def test_requests_of_any_size_in_pieces(spark):
     assert seconds == budget
 
 
+def test_lists_are_rendered_once_per_folder(spark):
+    docs = spark.createDataFrame([("a", f"a/{i}\".md") for i in range(300)] + [("a", "a/1\".md"), ("c", "c/1.md")], "folder string, path string")
+    rows = [("a/x.py", "x = 1"), ("a/x.py", "x = 1"), ("a/y.py", "#\\/ [\n\ny"), ("b/z.py", "z"), ("c/w.py", "w"), ("n.txt", "n"), (None, "n"), ("a/v.py", None)]
+    files = spark.createDataFrame(rows, "path string, content string")
+    for size in (10**9, 200):
+        plain = rq.render_prompts(rq.build_review_requests(files, docs, "ctx", size), "`programming_language`", "French")
+        light = rq.render_prompts(rq.build_review_requests(files, docs, "ctx", size, rendered=True), "`programming_language`", "French")
+        columns = plain.columns
+        assert sorted(map(repr, light.select(columns).collect())) == sorted(map(repr, plain.collect()))
+        assert light.filter("NOT length(user_prompt) <=> user_chars").isEmpty()
+        for timeout in (0, 45, -10):
+            expected, got = (sorted(map(repr, rq.estimate_run_budget(x, timeout).select(*columns, "seconds").collect())) for x in (plain, light))
+            assert got == expected
+            expected, got = (sorted(map(repr, rq.folder_budgets(x, timeout).collect())) for x in (plain, light))
+            assert got == expected
+
+
+def test_derived_columns_of_lists(spark):
+    docs = spark.createDataFrame([("a", f"a/{i}.md") for i in range(30)], "folder string, path string")
+    files = spark.createDataFrame([("a/x.py",), ("c/z.py",), (None,)], "path string")
+    for size in (10**9, 200):
+        got = rq.attach_references(files, docs, size, told=lambda x: F.array_join(x, "|"), n=F.size)
+        assert got.columns == ["path", "references", "told", "n", "reference_parts"]
+        assert got.filter("NOT (told <=> array_join(references, '|') AND n <=> CASE WHEN references IS NOT NULL THEN size(references) END)").isEmpty()
+
+
 def test_folder_requests_of_any_size_in_pieces(spark):
     folders = spark.createDataFrame([("p",), ("p/q",), ("p/r",), ("e",)], "folder string")
     given = spark.createDataFrame([(f"p/{i}.py", f"r\n{i}\"") for i in range(200)] + [("p/1.py", "older"), ("p/q/c.py", ""), ("p/n.py", None)], "path string, review string")
