@@ -8,6 +8,8 @@ path's history gathers anywhere but in arrays of at most ``budget`` short texts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,16 +92,19 @@ def start_passes(requests: DataFrame) -> DataFrame:
 
 
 def passes_from_runs(
-    requests: DataFrame, runs: DataFrame, ai: Column | str, ts: Column | str, lang: str = ""
+    requests: DataFrame, runs: DataFrame, ai: Column | str, ts: Column | str, lang: str = "",
+    keep: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows,
 ) -> DataFrame:
     """All recorded passes of all files, one row each, for ``resolve_fix_passes`` and ``accumulate_fix_context``.
 
     ``path, pass_no, fix_ok, output_present, fixed, fix_overview, fix_review, reviewed, review, content``.
     ``requests`` come from ``build_review_requests``. Runs of files that need no first review have no pass 0 of
-    their own; ``reviewed`` tells a failed review from one that has not run.
+    their own; ``reviewed`` tells a failed review from one that has not run. ``keep(rows, name)`` may write the fixes and
+    the reviews, which are read more than once, and give the written rows: one plan of all steps reads
+    every reply five times over and takes a driver several times the memory.
     """
-    fixes = played_fixes(runs)
-    reviews = played_reviews(requests, fixes, runs, ai, ts, lang).withColumn("reviewed", F.lit(True))
+    fixes = keep(played_fixes(runs), "played-fixes")
+    reviews = keep(played_reviews(requests, fixes, runs, ai, ts, lang), "played-reviews").withColumn("reviewed", F.lit(True))
     started = start_passes(requests).withColumns({"reviewed": F.lit(True), "content": F.lit(None).cast("string")})
     first = reviews.filter("pass_no = 0").join(started.select("path"), "path", "left_anti")
     zero = first.unionByName(started.select(*first.columns))
