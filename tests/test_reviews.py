@@ -230,6 +230,26 @@ def test_requests_of_any_size_in_pieces(spark):
     assert seconds == budget
 
 
+def test_gathered_pieces_are_joined_without_an_exchange(spark):
+    from catalog.queries import _joined_pieces, _joined_requests
+
+    docs = spark.createDataFrame([("a", f"a/{i}\".md") for i in range(300)] + [("c", "c/1.md"), (None, None)], "folder string, path string")
+    rows = [("a/x.py", "x = 1"), ("a/y.py", "#\\/ [\n\ny"), ("a/y.py", "other"), ("b/z.py", "z"), ("c/w.py", "w"), ("c/v.py", "v"), ("c/v.py", "v"), (None, "n")]
+    asked = rq.build_review_requests(spark.createDataFrame(rows, "path string, content string"), docs, "ctx", part_bytes=200)
+    plain = rq.request_pieces(asked, docs, "French", 200)
+    expected = sorted((r.path, r.whole) for r in _joined_pieces(plain, "path").collect())
+    assert [x for x, _ in expected] == ["a/x.py", "a/y.py", "b/z.py", "c/v.py", "c/w.py"]
+    for part_bytes, inside in ((10**9, {"a/x.py", "b/z.py", "c/w.py"}), (200, {"b/z.py", "c/w.py"})):
+        got = rq.request_pieces(asked, docs, "French", 200, gathered=True, part_bytes=part_bytes)
+        assert {r.path for r in got.filter("whole").collect()} == inside
+        sizes = [x.groupBy("path").agg(F.sum(F.length("text"))).collect() for x in (got.select("path", F.inline("pieces")), plain)]
+        assert sorted(sizes[0]) == sorted(sizes[1])
+        assert sorted((r.path, r.whole) for r in _joined_requests(got).collect()) == expected
+    # Files and lists are dealt by folder; no exchange moves what a file gets of its list.
+    moved = exchanged(rq.request_pieces(asked, docs, "French", 200, gathered=True))
+    assert moved and not any("path" in columns and ("text" in columns or "_list" in columns or "pieces" in columns) for columns in moved)
+
+
 def test_lists_are_rendered_once_per_folder(spark):
     docs = spark.createDataFrame([("a", f"a/{i}\".md") for i in range(300)] + [("a", "a/1\".md"), ("c", "c/1.md")], "folder string, path string")
     rows = [("a/x.py", "x = 1"), ("a/x.py", "x = 1"), ("a/y.py", "#\\/ [\n\ny"), ("b/z.py", "z"), ("c/w.py", "w"), ("n.txt", "n"), (None, "n"), ("a/v.py", None)]
