@@ -290,6 +290,20 @@ def test_folder_requests_of_any_size_in_pieces(spark):
             assert {k: t for k, (_, t) in whole(pj.project_request_pieces(asked, *args, piece_bytes=size), "folder").items()} == expected
 
 
+def test_folder_reports_of_requests_in_pieces_read_texts_once(spark, tmp_path):
+    from catalog import queries as q
+
+    texts = [(i, "a\nb\nc\nd\ne", "en", "s", 9) for i in range(90)] + [(7, "a\nb", "en", "s", 3), (8, None, None, None, None)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    whole = q.review_folders(spark, str(tmp_path))
+    expected = sorted(map(repr, whole.collect()))
+    assert len(expected) == 20 and "f7" in "".join(expected)
+    # Lists that come in pieces are listed too.
+    assert sorted(map(repr, q._reviewed_folders(spark, str(tmp_path), 300).select("folder", "report", "err").collect())) == expected
+    # Reviews and requests are written, so the last plan cuts no text into lines again.
+    assert "documents.parquet" not in "".join(whole.inputFiles())
+
+
 def test_snapshots_meet_in_one_shuffle_without_texts(spark, tmp_path):
     for side in ("old", "new"):
         snapshot(spark, a_py="x", b_py=side).write.parquet(str(tmp_path / side))
