@@ -88,3 +88,34 @@ def test_open_sessions_come_out(spark, tmp_path):
     got = st.last_batch(spark, "request_id string, started timestamp, text string", f"{tmp_path}/table")
     told = {(r.request_id, r.hours, r.text) for r in got.select("request_id", F.hour("started").alias("hours"), "text").collect()}
     assert {(i, t) for i, _, t in told} == {("u", "m0"), ("u", "m2"), ("v", "v")} and got.count() == 3
+
+
+def long_list(spark, n=40):
+    """A folder whose list of references has over 32 MiB, and a file of it."""
+    docs = spark.range(n).selectExpr("'a' AS folder", "concat('a/', id, repeat('x', 1000000), '.md') AS path")
+    return spark.createDataFrame([("a/x.py", "x = 1")], "path string, content string"), docs, n * 1_000_005 + sum(len(str(i)) for i in range(n))
+
+
+def test_attached_lists_are_whole_at_any_size(spark):
+    files, docs, chars = long_list(spark)
+    got = rq.attach_references(files, docs, told=lambda x: F.array_join(x, "")).select(
+        F.size("references").alias("n"), F.length("told").alias("chars"), "reference_parts"
+    ).collect()
+    assert [tuple(r) for r in got] == [(40, chars, 1)]
+
+
+def test_run_budgets_count_lists_of_any_size(spark):
+    files, docs, chars = long_list(spark)
+    few = docs.limit(0)
+    budget = lambda refs: rq.estimate_run_budget(rq.render_prompts(rq.build_review_requests(files, refs, "ctx", rendered=True), "t"))
+    light = rq.render_prompts(rq.build_review_requests(files, few, "ctx", rendered=True), "t").first()
+    # "[]" becomes a line and a comma for each item, and a closing line.
+    expected = len(light.system_prompt) + len(light.user_prompt) - 2 + chars + 40 * 6 + 39 * 2 + 5
+    assert budget(docs).select("seconds").first().seconds == 60 * (expected >> 10) + 300
+
+
+def test_folder_budgets_count_lists_of_any_size(spark):
+    files, docs, _ = long_list(spark)
+    prompts = rq.render_prompts(rq.build_review_requests(files, docs, "ctx", rendered=True), "t")
+    [row] = rq.folder_budgets(prompts).collect()
+    assert row.folder == "a" and row.runs == 1 and row.total_seconds == row.longest_seconds > 60 * 39000
