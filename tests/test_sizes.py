@@ -119,3 +119,18 @@ def test_folder_budgets_count_lists_of_any_size(spark):
     prompts = rq.render_prompts(rq.build_review_requests(files, docs, "ctx", rendered=True), "t")
     [row] = rq.folder_budgets(prompts).collect()
     assert row.folder == "a" and row.runs == 1 and row.total_seconds == row.longest_seconds > 60 * 39000
+
+
+def test_repeated_lists_are_written_once(spark, tmp_path):
+    docs = spark.range(60).selectExpr("'a' AS folder", "concat('a/', id, repeat(sha2(string(id), 256), 1000), '.md') AS path")
+    files = spark.range(200).selectExpr("concat('a/', id, '.py') AS path")
+    got = rq.attach_references(files, docs, told=lambda x: F.array_join(x, "")).select("path", "told")
+    got.coalesce(1).write.parquet(f"{tmp_path}/out")
+    # Of 200 copies of a text of 3.8 MB one is stored, which does not compress below 0.9 MB.
+    assert sum(p.stat().st_size for p in tmp_path.glob("out/*.parquet")) < 8_000_000
+    back = spark.read.parquet(f"{tmp_path}/out")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "64")
+    try:
+        assert back.agg(F.count("told"), F.countDistinct("told"), F.min(F.length("told"))).collect()[0][:2] == (200, 1)
+    finally:
+        spark.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
