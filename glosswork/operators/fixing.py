@@ -29,20 +29,22 @@ def _keyed(rows: DataFrame) -> Column:
     return F.concat_ws("#", F.col("path"), F.col("pass_no").cast("string"))
 
 
-def _replies(runs: DataFrame, step: str) -> DataFrame:
-    """Checked replies of one kind of run: ``path, pass_no, provider, data, err, severity``; the first recorded one of a pass."""
-    own = runs.filter(F.col("step") == step)
-    read = ru.read_replies(own, check_output=step == REVIEW).drop("raw", "aside", "repaired", "used_fallback")
-    return read.withColumn("request_id", _keyed(read))
+def played_replies(runs: DataFrame) -> DataFrame:
+    """Checked replies of both kinds of run: ``path, pass_no, step, provider, data, err, severity``.
+
+    One plan reads them all; only a review must give code.
+    """
+    read = ru.read_replies(runs.filter(F.col("step").isin(REVIEW, FIX)), check_output=F.col("step") == REVIEW)
+    return read.drop("raw", "aside", "repaired", "used_fallback")
 
 
-def played_fixes(runs: DataFrame) -> DataFrame:
-    """Fix runs as ``path, pass_no, fix_ok, output_present, fixed, fix_overview, fix_review``.
+def played_fixes(replies: DataFrame) -> DataFrame:
+    """Replies of fix runs as ``path, pass_no, fix_ok, output_present, fixed, fix_overview, fix_review``.
 
     A reply without an error counts; its code may still be missing.
     """
     good = F.col("err").isNull()
-    return _replies(runs, FIX).select(
+    return replies.filter(F.col("step") == FIX).select(
         "path",
         "pass_no",
         good.alias("fix_ok"),
@@ -54,9 +56,9 @@ def played_fixes(runs: DataFrame) -> DataFrame:
 
 
 def played_reviews(
-    requests: DataFrame, fixes: DataFrame, runs: DataFrame, ai: Column | str, ts: Column | str, lang: str = ""
+    requests: DataFrame, fixes: DataFrame, replies: DataFrame, ai: Column | str, ts: Column | str, lang: str = ""
 ) -> DataFrame:
-    """Review runs as ``path, pass_no, review, content``: the header text and the new file text.
+    """Replies of review runs as ``path, pass_no, review, content``: the header text and the new file text.
 
     The reply's code is held against the code sent: that of the file in pass 0, the fixed one later.
     Code that may have changed is replaced by the code sent, as each of these runs is the last attempt.
@@ -69,7 +71,8 @@ def played_reviews(
     )
     sent = first.unionByName(later)
     sent = sent.select(_keyed(sent).alias("request_id"), "language", F.struct(F.col("code").alias("input")).alias("request"))
-    checked = fg.verify_logic_preserved(sent, _replies(runs, REVIEW))
+    given = replies.filter(F.col("step") == REVIEW).drop("step")
+    checked = fg.verify_logic_preserved(sent, given.withColumn("request_id", _keyed(given)))
     restored = F.col("data").withField("output", F.col("input"))
     data = F.when(F.col("err").isNull(), F.col("data")).when(F.col("data").isNotNull(), restored)
     rows = checked.select("path", "pass_no", data.alias("data")).join(
@@ -99,12 +102,13 @@ def passes_from_runs(
 
     ``path, pass_no, fix_ok, output_present, fixed, fix_overview, fix_review, reviewed, review, content``.
     ``requests`` come from ``build_review_requests``. Runs of files that need no first review have no pass 0 of
-    their own; ``reviewed`` tells a failed review from one that has not run. ``keep(rows, name)`` may write the fixes and
-    the reviews, which are read more than once, and give the written rows: one plan of all steps reads
-    every reply five times over and takes a driver several times the memory.
+    their own; ``reviewed`` tells a failed review from one that has not run. ``keep(rows, name)`` may write the fixes (with
+    the replies of reviews, read in the same plan) and the reviews, which are read more than once, and give the written rows: one
+    plan of all steps reads every reply five times over and takes a driver several times the memory.
     """
-    fixes = keep(played_fixes(runs), "played-fixes")
-    reviews = keep(played_reviews(requests, fixes, runs, ai, ts, lang), "played-reviews").withColumn("reviewed", F.lit(True))
+    replies = keep(played_replies(runs), "played-fixes")
+    fixes = played_fixes(replies)
+    reviews = keep(played_reviews(requests, fixes, replies, ai, ts, lang), "played-reviews").withColumn("reviewed", F.lit(True))
     started = start_passes(requests).withColumns({"reviewed": F.lit(True), "content": F.lit(None).cast("string")})
     first = reviews.filter("pass_no = 0").join(started.select("path"), "path", "left_anti")
     zero = first.unionByName(started.select(*first.columns))

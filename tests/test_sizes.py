@@ -68,6 +68,23 @@ def test_passes_of_kept_steps(spark, tmp_path):
     assert sorted(map(repr, light.collect())) == sorted(map(repr, plain.collect()))
 
 
+def test_replies_of_both_kinds_are_read_in_one_plan(spark, monkeypatch):
+    files = spark.createDataFrame([("a.py", "x = 1")], "path string, content string")
+    told = lambda **x: json.dumps({"result": json.dumps({"overview": "o", "review": "r"} | x)})
+    runs = spark.createDataFrame(
+        [("a.py", 0, "review", "claude", 0, told(output="x = 1")), ("a.py", 1, "fix", "claude", 0, told()),
+         ("a.py", 2, "fix", "claude", 0, told(output="x = 1")), ("a.py", 2, "review", "claude", 0, told()), ("a.py", 2, "other", "claude", 0, told())],
+        "path string, pass_no int, step string, provider string, returncode int, stdout string",
+    )
+    reads = []
+    monkeypatch.setattr(fx.ru, "read_replies", lambda *x, f=fx.ru.read_replies, **more: reads.append(x) or f(*x, **more))
+    passes = fx.passes_from_runs(rq.build_review_requests(files), runs, "me", "now")
+    assert len(reads) == 1
+    # A fix without code is a reply; a review without code is none.
+    got = {r.pass_no: (r.fix_ok, r.output_present, r.reviewed, r.review is not None) for r in passes.collect()}
+    assert got == {0: (None, None, True, True), 1: (True, False, False, False), 2: (True, True, True, False)}
+
+
 def test_replies_share_one_table_of_requests(spark, tmp_path, monkeypatch):
     spark.sql("SELECT 1L AS doc_id, 'a' AS text UNION ALL SELECT 12L, 'b'").write.parquet(f"{tmp_path}/documents.parquet")
     made = []
